@@ -27,9 +27,16 @@ def l2_norm(v: Column | str) -> Column:
 
 
 def l2_normalise(v: Column | str) -> Column:
-    """Unit vector as floats; a zero vector stays zero."""
-    norm = l2_norm(v)
-    return F.transform(_doubles(v), lambda x: F.when(norm == 0, F.lit(0.0)).otherwise(x / norm).cast("float"))
+    """Unit vector as floats; a zero vector stays zero. The norm is computed once per row, in the finish step."""
+    values = _doubles(v)
+    return F.aggregate(
+        values,
+        F.lit(0.0),
+        lambda acc, x: acc + x * x,
+        lambda squares: F.transform(
+            values, lambda x: F.when(squares == 0, F.lit(0.0)).otherwise(x / F.sqrt(squares)).cast("float")
+        ),
+    )
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
