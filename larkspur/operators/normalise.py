@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,16 +46,16 @@ def stamp_provenance(
     )
 
 
-def normalise_articles(df: DataFrame, run_id, pipeline_version: str, ingested_at) -> DataFrame:
+def normalise_articles(df: DataFrame, run_id, pipeline_version: str, ingested_at, keep: Sequence[str] = ()) -> DataFrame:
     stamped = stamp_provenance(df, ARTICLES, run_id, pipeline_version, ingested_at)
     return stamped.select(
         _key("pmid"), _text("title"), "abstract", _empty_list("authors"),
         fx.partial_iso_date("publication_date").alias("publication_date"), "journal",
-        *[f.name for f in ARTICLES.raw_schema.fields[6:]],
+        *[f.name for f in ARTICLES.raw_schema.fields[6:]], *keep,
     )
 
 
-def normalise_trials(df: DataFrame, run_id, pipeline_version: str, ingested_at) -> DataFrame:
+def normalise_trials(df: DataFrame, run_id, pipeline_version: str, ingested_at, keep: Sequence[str] = ()) -> DataFrame:
     stamped = stamp_provenance(df, TRIALS, run_id, pipeline_version, ingested_at)
     is_variant = isinstance(df.schema["sample_size"].dataType, T.VariantType)
     return stamped.select(
@@ -62,13 +63,15 @@ def normalise_trials(df: DataFrame, run_id, pipeline_version: str, ingested_at)
         _empty_list("primary_outcomes"), fx.safe_int("sample_size", variant=is_variant).alias("sample_size"),
         _text("status"), fx.partial_iso_date("start_date").alias("start_date"),
         fx.partial_iso_date("completion_date").alias("completion_date"),
-        *[f.name for f in TRIALS.raw_schema.fields[9:]],
+        *[f.name for f in TRIALS.raw_schema.fields[9:]], *keep,
     )
 
 
-def normalise(df: DataFrame, spec: SourceSpec, run_id, pipeline_version: str, ingested_at) -> DataFrame:
+def normalise(
+    df: DataFrame, spec: SourceSpec, run_id, pipeline_version: str, ingested_at, keep: Sequence[str] = ()
+) -> DataFrame:
     step = {ARTICLES.name: normalise_articles, TRIALS.name: normalise_trials}[spec.name]
-    return step(df, run_id, pipeline_version, ingested_at)
+    return step(df, run_id, pipeline_version, ingested_at, keep)
 
 
 def mark_rejects(df: DataFrame, spec: SourceSpec) -> DataFrame:

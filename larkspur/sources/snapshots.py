@@ -70,13 +70,13 @@ class SnapshotStore:
         commits = self._commits(table, as_of)
         return commits[-1]["snapshot_id"] if commits else UNKNOWN
 
-    def stage(self, table: str, df: DataFrame, snapshot_id: str, partition_by: str | None = None) -> str:
-        """Write the data of a snapshot without making it visible; a repeat replaces it."""
+    def stage(self, table: str, df: DataFrame, snapshot_id: str) -> str:
+        """Write the data of a snapshot without making it visible; a repeat replaces it.
+
+        Every run has its own folder, so the folders are the run partitions of an appended table.
+        """
         path = f"{self.root}/{table}/{snapshot_id}"
-        writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
+        df.write.mode("overwrite").parquet(path)
         return path
 
     def publish(
@@ -96,9 +96,9 @@ class SnapshotStore:
 
     def write(
         self, table: str, df: DataFrame, snapshot_id: str, committed_at: dt.datetime, operation: str = "overwrite",
-        partition_by: str | None = None, job_version: str | None = None,
+        job_version: str | None = None,
     ) -> str:
-        self.stage(table, df, snapshot_id, partition_by)
+        self.stage(table, df, snapshot_id)
         return self.publish(table, snapshot_id, committed_at, operation, job_version=job_version)
 
     def append(self, table: str, df: DataFrame, snapshot_id: str, committed_at: dt.datetime, **options) -> str:
@@ -111,12 +111,7 @@ class SnapshotStore:
             commits = [c for c in commits if c["snapshot_id"] == snapshot_id]
         if not commits:
             raise ValueError(f"no snapshot of {table!r} for as_of={as_of} snapshot_id={snapshot_id}")
-        paths = commits[-1]["paths"]
-        frames = [self.spark.read.parquet(path) for path in paths]
-        out = frames[0]
-        for frame in frames[1:]:
-            out = out.unionByName(frame, allowMissingColumns=True)
-        return out
+        return self.spark.read.parquet(*commits[-1]["paths"])
 
     def rollback(self, table: str, snapshot_id: str, committed_at: dt.datetime) -> str:
         """Make an earlier snapshot current again by a new log row that points at its data."""
