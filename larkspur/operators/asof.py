@@ -22,7 +22,7 @@ def as_of_join(
 ) -> DataFrame:
     """Each request with the newest ``values`` of its key at or before its time, and ``history_ts`` as ``valid_from``.
 
-    Values older than ``ttl_days`` (exactly that age included) count as absent. ``tie_break`` decides between history
+    Values ``ttl_days`` old or older count as absent. ``tie_break`` decides between history
     rows of the same time (highest wins).
     """
     tie = F.col(tie_break).cast("long") if tie_break else F.lit(0).cast("long")
@@ -64,7 +64,7 @@ def as_of_join(
     )
     if ttl_days is not None:
         oldest = F.col("_ts") - F.expr(f"INTERVAL {ttl_days} DAYS")
-        seen = seen.withColumn("_found", F.when(F.col("_found.valid_from") >= oldest, F.col("_found")))
+        seen = seen.withColumn("_found", F.when(F.col("_found.valid_from") > oldest, F.col("_found")))
     return seen.select("_ask.*", "_found.valid_from", *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
