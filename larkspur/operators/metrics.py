@@ -120,12 +120,15 @@ def _band(value: Column, bands: Sequence[float], rising: bool = False) -> Column
 def load_acceptance(requests: DataFrame, p95: DataFrame) -> DataFrame:
     """One row: share of answered requests with citations, the given p95, and whether both targets are met."""
     good = (F.col("http_status") == 200) & (F.col("citations") > 0)
-    share = requests.agg(F.count(F.lit(1)).alias("requests"), (F.count_if(good) / F.count(F.lit(1))).alias("success_rate"))
-    limit = p95.agg(F.max("quantile").alias("p95_s"))
-    # both sides are one aggregated row
-    return share.join(limit, how="inner", on=F.lit(True)).withColumn(
-        "accepted", (F.col("success_rate") >= ACCEPTED_SUCCESS) & (F.col("p95_s") <= ACCEPTED_P95)
+    unknown = F.lit(None)
+    share = requests.agg(
+        F.count(F.lit(1)).alias("requests"), (F.count_if(good) / F.count(F.lit(1))).alias("success_rate")
+    ).withColumn("p95_s", unknown.cast("double"))
+    limit = p95.agg(F.max("quantile").alias("p95_s")).withColumns(
+        {"requests": unknown.cast("long"), "success_rate": unknown.cast("double")}
     )
+    both = share.unionByName(limit).agg(*[F.max(c).alias(c) for c in ("requests", "success_rate", "p95_s")])
+    return both.withColumn("accepted", (F.col("success_rate") >= ACCEPTED_SUCCESS) & (F.col("p95_s") <= ACCEPTED_P95))
 
 
 def language_distribution(documents: DataFrame, lang: str = "lang", home: str = "en", limit: float = 0.5) -> DataFrame:
