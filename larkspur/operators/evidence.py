@@ -236,19 +236,18 @@ def answer_questions(questions: DataFrame, index: DataFrame, article_features: D
     return revision_outcome(review(synthesise_answers(cited)))
 
 
-def build_manifests(reviewed: DataFrame, created_at: Column, timelines: DataFrame | None = None) -> DataFrame:
-    """Twelve-field manifests of answered questions; the id follows from the query id, so a replay finds it again."""
-    timeline_type = "array<struct<step:string,started_at:string,elapsed_ms:bigint>>"
-    if timelines is None:
-        timed = reviewed.withColumn("execution_timeline", F.array().cast(timeline_type))
-    else:
-        timed = reviewed.join(timelines.select("query_id", "execution_timeline"), "query_id", "left")
-    return timed.filter(F.size("citations") > 0).select(
+def build_manifests(reviewed: DataFrame, created_at: Column) -> DataFrame:
+    """Twelve-field manifests of answered questions; the id follows from the query id, so a replay finds it again.
+
+    ``execution_timeline`` is taken from the input where it has one.
+    """
+    empty = F.array().cast("array<struct<step:string,started_at:string,elapsed_ms:bigint>>")
+    timeline = F.coalesce("execution_timeline", empty) if "execution_timeline" in reviewed.columns else empty
+    return reviewed.filter(F.size("citations") > 0).select(
         fx.uuid5(F.concat(F.lit("manifest:"), F.col("query_id").cast("string"))).alias("manifest_id"),
         "query_id", "question", F.struct("source_type", "date_from", "date_to").alias("filters"), "answer", "citations",
         "review_status", "review_feedback", "retrieved_doc_count", "feature_enriched_count",
-        F.coalesce("execution_timeline", F.array().cast(timeline_type)).alias("execution_timeline"),
-        created_at.alias("created_at"),
+        timeline.alias("execution_timeline"), created_at.alias("created_at"),
     )
 
 
@@ -304,11 +303,14 @@ def claim_map(answered: DataFrame) -> DataFrame:
         "statistics": F.filter("docs", lambda d: d["features"].isNotNull()),
         "conclusion": F.slice("docs", 1, 1),
     }
-    claims = F.flatten(F.array(*[
-        F.transform(docs, lambda d, key=key: F.struct(
-            F.lit(key).alias("claim_ref"), d["doc_id"].alias("doc_id"), d["snippet"].alias("snippet"), d["snapshot_ref"].alias("snapshot_ref")))
-        for key, docs in uses.items()
-    ]))
+
+    def claims_of(section: str, docs: Column) -> Column:
+        return F.transform(docs, lambda d: F.struct(
+            F.lit(section).alias("claim_ref"), d["doc_id"].alias("doc_id"), d["snippet"].alias("snippet"),
+            d["snapshot_ref"].alias("snapshot_ref"),
+        ))
+
+    claims = F.flatten(F.array(*[claims_of(section, docs) for section, docs in uses.items()]))
     return answered.select("query_id", F.inline(claims))
 
 
