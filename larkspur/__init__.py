@@ -1 +1,8 @@
 """larkspur: table-in, table-out PySpark operators for a governed evidence lakehouse."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

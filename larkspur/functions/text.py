@@ -7,8 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The Unicode whitespace characters, as one class that Java and RE2 both read, and as plain characters.
-WHITESPACE_CLASS = (
+# The Unicode whitespace characters as a Java pattern, as a class that RE2 reads, and as plain characters.
+WHITESPACE = r"(?U)[\s\x1c-\x1f]"
+WHITESPACE_RE2 = (
     r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 WHITESPACE_CHARS = "".join(
@@ -57,12 +58,13 @@ def is_blank(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """Whitespace-separated words, an empty array for blank or null text."""
-    body = strip(_col(c))
-    return F.when(is_blank(c), F.array().cast("array<string>")).otherwise(F.split(body, WHITESPACE_CLASS + "+"))
+    body = F.coalesce(strip(_col(c)), F.lit(""))
+    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, WHITESPACE + "+"))
 
 
 def word_count(c: Column | str) -> Column:
-    return F.when(is_blank(c), F.lit(0)).otherwise(F.size(F.split(strip(_col(c)), WHITESPACE_CLASS + "+"))).cast("long")
+    body = F.coalesce(strip(_col(c)), F.lit(""))
+    return F.when(body == "", F.lit(0)).otherwise(F.size(F.split(body, WHITESPACE + "+"))).cast("long")
 
 
 def presence_flag(c: Column | str) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +47,6 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(length == 0, F.lit(0.0)).otherwise(dot / length)
 
 
-@lru_cache(maxsize=1 << 16)
 def _slot(token: str) -> int:
     return int(hashlib.md5(token.encode("utf-8"), usedforsecurity=False).hexdigest()[:8], 16) % HASH_DIM
 
@@ -56,8 +54,10 @@ def _slot(token: str) -> int:
 def hash_encoder(texts: list[str]) -> np.ndarray:
     """Default encoder: counts of lower-cased words, hashed to ``HASH_DIM`` slots."""
     out = np.zeros((len(texts), HASH_DIM))
+    slot_of: dict[str, int] = {}
     for row, text in enumerate(texts):
-        slots = [_slot(token) for token in text.lower().split()]
+        tokens = text.lower().split()
+        slots = [slot_of[t] if t in slot_of else slot_of.setdefault(t, _slot(t)) for t in tokens]
         if slots:
             out[row] = np.bincount(slots, minlength=HASH_DIM)
     return out

@@ -42,7 +42,7 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, key: str, order: Sequence[Column | str]) -> DataFrame:
     """Rows of ``old`` whose key is not in ``new``, plus the newest row per key of ``new``."""
     fresh = latest_per_key(new, [key], order)
-    return old.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+    return old.join(new.select(key), key, "left_anti").unionByName(fresh)
 
 
 def merge_newest(curated: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

@@ -14,35 +14,36 @@ MAX_BROADCAST_TERMS = 200_000
 
 
 def part_offsets(text: Column | str, separator: str) -> Column:
-    """Character offset of each part of ``split(text, separator)``; the separator must match single characters."""
+    """Character offset of each part of a text split at single characters; ``separator`` is an RE2 pattern."""
+    literal = len(separator) == 1
 
     def offsets(column: pa.Array) -> pa.Array:
-        parts = pc.split_pattern_regex(pc.fill_null(column.cast(pa.string()), ""), separator)
-        starts = parts.offsets.to_numpy()
+        texts = pc.fill_null(column.cast(pa.string()), "")
+        parts = pc.split_pattern(texts, separator) if literal else pc.split_pattern_regex(texts, separator)
+        bounds = parts.offsets.to_numpy()
         lengths = pc.utf8_length(parts.flatten()).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         before = np.concatenate([[0], np.cumsum(lengths)])
-        counts = np.diff(starts)
-        first = before[starts[:-1] - starts[0]]
-        values = before[:-1] - np.repeat(first, counts)
-        return pa.ListArray.from_arrays(pa.array(starts - starts[0], pa.int32()), pa.array(values.astype(np.int32)))
+        bounds = bounds - bounds[0]
+        values = before[:-1] - np.repeat(before[bounds[:-1]], np.diff(bounds))
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.astype(np.int32)))
 
     offsets.__annotations__ = {"column": pa.Array, "return": pa.Array}
     return F.arrow_udf("array<int>")(offsets)(text)
 
 
-def split_parts(df: DataFrame, text: str, separator: str, position: str, part: str, start: str) -> DataFrame:
-    """Explode a text into its parts with their position and character offset; no shuffle."""
-    zipped = F.arrays_zip(F.split(text, separator).alias("part"), part_offsets(text, separator).alias("start"))
-    others = [c for c in df.columns if c != text]
-    return (
-        df.select(*others, F.posexplode(zipped).alias(position, "_part"))
-        .select(*others, position, F.col("_part.part").alias(part), F.col("_part.start").alias(start))
-    )
+def split_parts(parts: Column, starts: Column) -> Column:
+    """Generator of ``position, part, start`` structs from the parts of a text and their offsets."""
+    return F.posexplode(F.arrays_zip(parts.alias("part"), starts.alias("start")))
 
 
 def sections(documents: DataFrame, text: str = "text") -> DataFrame:
-    """One row per non-blank line: ``section_no, section_text, section_start``."""
-    return split_parts(documents, text, "\n", "section_no", "section_text", "section_start").filter(~fx.is_blank("section_text"))
+    """One row per non-blank line: ``section_no, section_text, section_start``; no shuffle."""
+    others = [c for c in documents.columns if c != text]
+    lines = split_parts(F.split(text, "\n"), part_offsets(text, "\n")).alias("section_no", "_line")
+    exploded = documents.select(*others, lines)
+    return exploded.select(
+        *others, "section_no", F.col("_line.part").alias("section_text"), F.col("_line.start").alias("section_start")
+    ).filter(~fx.is_blank("section_text"))
 
 
 def trial_outcomes(trials: DataFrame) -> DataFrame:
@@ -56,16 +57,17 @@ def entity_mentions(section_rows: DataFrame, terms: DataFrame, max_terms: int =
     Words are compared in lower case without edge punctuation. The dictionary (unique ``term``) is broadcast only when
     a bounded count proves it small; a larger one is joined by shuffle, with adaptive splitting of hot words.
     """
-    tokens = split_parts(
-        section_rows.select("doc_id", "section_no", "section_start", "section_text"),
-        "section_text", fx.WHITESPACE_CLASS, "word_no", "word", "word_start",
+    split = split_parts(
+        F.split(F.lower("section_text"), fx.WHITESPACE), part_offsets("section_text", fx.WHITESPACE_RE2)
     )
-    candidates = tokens.withColumn("term", F.btrim(F.lower("word"), F.lit(fx.PUNCTUATION))).filter(F.col("term") != "")
+    tokens = section_rows.select("doc_id", "section_no", "section_start", split.alias("word_no", "_word"))
+    candidates = tokens.select(
+        "doc_id", "section_no", "word_no", (F.col("section_start") + F.col("_word.start")).alias("mention_start"),
+        F.btrim(F.col("_word.part"), F.lit(fx.PUNCTUATION)).alias("term"),
+    ).filter(F.col("term") != "")
     small = terms.limit(max_terms + 1).count() <= max_terms
     dictionary = F.broadcast(terms) if small else terms
-    return candidates.join(dictionary, "term").select(
-        "doc_id", "section_no", "term", "word_no", (F.col("section_start") + F.col("word_start")).alias("mention_start"),
-    )
+    return candidates.join(dictionary, "term").select("doc_id", "section_no", "term", "word_no", "mention_start")
 
 
 def entity_counts(mentions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ Every step adds columns to one row per question. The only per-question groups ar
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as fx
 from larkspur.functions.render import SECTION_LABELS, citation_badge, citation_detail, score_text
 from larkspur.functions.vectors import Encoder, embed, hash_encoder
-from larkspur.operators.search import SearchColumns, attach_payload, fill_content, vector_topk
+from larkspur.operators.search import SearchColumns, attach_payload, fill_content, only_keys, search
+from larkspur.session import written
 
 # Hits per question, researched documents in the evidence section, revisions before giving up, and how
 # long a manifest can be looked up.
@@ -64,35 +66,49 @@ def route_questions(
     )
 
 
+@dataclass(frozen=True)
+class Retrieved:
+    """Hits with payload, the bare hit keys, and the bound on their number if there is one."""
+
+    hits: DataFrame
+    keys: DataFrame
+    most_hits: int | None
+
+
 def retrieve(
     routed: DataFrame, index: DataFrame, k: int = QUESTION_LIMIT, encoder: Encoder = hash_encoder,
-    staged: DataFrame | None = None, most_questions: int | None = None, **search,
-) -> DataFrame:
+    staged: DataFrame | None = None, staged_text: Column | None = None, **limits,
+) -> Retrieved:
     """The k best index rows per routed question, with payload and filled content.
 
-    ``index`` may hold several collections: the best of all of them are the best of their merged best lists.
-    ``most_questions`` is the caller's bound on the batch; with it the hits are broadcast to fetch their payload.
+    ``index`` may hold several collections: the best of all of them are the best of their merged best lists. The hits
+    are written to the shared folder once, because payload, staged text and features are all looked up by them and
+    the vectors should be scanned a single time. ``staged_text`` reads the text from the columns of ``staged``; it is
+    evaluated for hits only.
     """
     asked = routed.withColumn("query_vector", embed("search_query", encoder))
-    hits = vector_topk(index, asked, k, QUESTION_SEARCH, **search)
-    bound = None if most_questions is None else most_questions * k
-    return fill_content(attach_payload(hits, index, PAYLOAD, bound), staged)
+    top = search(index, asked, k, QUESTION_SEARCH, **limits)
+    keys = written(top.hits, "hits")
+    hits = attach_payload(keys, index, PAYLOAD, top.most_hits)
+    if staged is not None:
+        staged = only_keys(staged, keys, top.most_hits)
+    return Retrieved(fill_content(hits, staged, staged_text), keys, top.most_hits)
 
 
-def enrich(hits: DataFrame, article_features: DataFrame, trial_features: DataFrame) -> DataFrame:
+def enrich(retrieved: Retrieved, article_features: DataFrame, trial_features: DataFrame) -> DataFrame:
     """Features of each hit by source type, null where there are none.
 
-    Both feature tables are reduced to one shape and keyed by document id, so the hits meet them in one left join.
+    Both feature tables are brought to one shape keyed by document id and cut to the hits, then met in one left join.
     """
-    def shape(df: DataFrame, prefix: str, key: str, lead: str, columns: dict[str, str]) -> DataFrame:
-        fields = [F.col(columns[n]).cast("long").alias(n) if n in columns else F.lit(None).cast("long").alias(n) for n in NUMBERS]
-        return df.filter(F.col(lead).isNotNull()).select(fx.doc_key(prefix, key).alias("doc_id"), F.struct(*fields).alias("features"))
+    def shape(df: DataFrame, prefix: str, key: str, lead: str, columns: tuple[str, ...]) -> DataFrame:
+        fields = [(F.col(n) if n in columns else F.lit(None)).cast("long").alias(n) for n in NUMBERS]
+        known = df.filter(F.col(lead).isNotNull())
+        return known.select(fx.doc_key(prefix, key).alias("doc_id"), F.struct(*fields).alias("features"))
 
-    articles = shape(article_features, "PMID", "pmid", "title_word_count", {
-        "abstract_word_count": "abstract_word_count", "publication_year": "publication_year"})
-    trials = shape(trial_features, "NCT", "nct_id", "sample_size", {
-        "sample_size": "sample_size", "has_outcomes": "has_outcomes"})
-    return hits.join(articles.unionByName(trials), "doc_id", "left")
+    articles = shape(article_features, "PMID", "pmid", "title_word_count", ("abstract_word_count", "publication_year"))
+    trials = shape(trial_features, "NCT", "nct_id", "sample_size", ("sample_size", "has_outcomes"))
+    features = only_keys(articles.unionByName(trials), retrieved.keys, retrieved.most_hits)
+    return retrieved.hits.join(features, "doc_id", "left")
 
 
 # Names of the feature values that answers print, in print order.
@@ -228,10 +244,10 @@ def refusals(reviewed: DataFrame) -> DataFrame:
     )
 
 
-def answer_questions(questions: DataFrame, index: DataFrame, article_features: DataFrame, trial_features: DataFrame, **search) -> DataFrame:
+def answer_questions(questions: DataFrame, index: DataFrame, article_features: DataFrame, trial_features: DataFrame, **options) -> DataFrame:
     """The whole chain from questions to reviewed answers."""
     routed = route_questions(questions)
-    hits = enrich(retrieve(routed, index, **search), article_features, trial_features)
+    hits = enrich(retrieve(routed, index, **options), article_features, trial_features)
     cited = build_citations(collect_docs(routed, hits))
     return revision_outcome(review(synthesise_answers(cited)))
 

@@ -184,27 +184,58 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema.fields])
 
 
-def vector_topk(
+@dataclass(frozen=True)
+class TopK:
+    """Hits ``query_id, doc_id, score, rank`` and, if the batch was proven small, how many there can be at most."""
+
+    hits: DataFrame
+    most_hits: int | None
+
+
+def search(
     vectors: DataFrame, questions: DataFrame, k: int, names: SearchColumns = SearchColumns(),
     max_shipped: int = MAX_SHIPPED_QUESTIONS, cell_rows: int = CELL_ROWS,
-) -> DataFrame:
-    """``query_id, doc_id, score, rank``: the k most similar allowed documents of every question.
+) -> TopK:
+    """The k most similar allowed documents of every question.
 
     Scores are cosines rounded to six digits, ties go to the smaller document id.
     """
     schema = _hit_schema(vectors, questions, names)
-    slim_vectors = vectors.select(*names.vector_columns())
     slim_questions = questions.select(*names.question_columns())
     asked = slim_questions.limit(max_shipped + 1).toArrow()
     if asked.num_rows <= max_shipped:
-        partial = _shipped(slim_vectors, asked, k, schema)
+        needed = vectors.filter(_scan_filter(asked, names)).select(*names.vector_columns())
+        partial, most = _shipped(needed, asked, k, schema), asked.num_rows * k
     else:
-        partial = _gridded(slim_vectors, slim_questions, k, schema, cell_rows, max_shipped)
+        needed = vectors.select(*names.vector_columns())
+        partial, most = _gridded(needed, slim_questions, k, schema, cell_rows, max_shipped), None
     window = Window.partitionBy("_query").orderBy(F.desc("_score"), "_doc")
-    return (
+    hits = (
         partial.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
         .select(F.col("_query").alias(names.query_id), F.col("_doc").alias(names.doc_id), F.col("_score").alias("score"), "rank")
     )
+    return TopK(hits, most)
+
+
+def vector_topk(vectors: DataFrame, questions: DataFrame, k: int, names: SearchColumns = SearchColumns(), **limits) -> DataFrame:
+    """``query_id, doc_id, score, rank`` of :func:`search`."""
+    return search(vectors, questions, k, names, **limits).hits
+
+
+def _scan_filter(asked: pa.Table, names: SearchColumns) -> Column:
+    """What no question of the batch can want, as a predicate on the vector table that reaches its scan."""
+    rule = F.lit(True)
+    for i, (column, _) in enumerate(names.equal):
+        wanted = asked[f"_e{i}"]
+        if asked.num_rows and not wanted.null_count:
+            rule = rule & F.col(column).isin(*sorted(set(wanted.to_pylist())))
+    if names.dates and asked.num_rows:
+        first, last = names.dates[:2]
+        if not asked["_d0"].null_count:
+            rule = rule & (F.col(last) >= F.date_from_unix_date(F.lit(pc.min(asked["_d0"]).as_py())))
+        if not asked["_d1"].null_count:
+            rule = rule & (F.col(first) <= F.date_from_unix_date(F.lit(pc.max(asked["_d1"]).as_py())))
+    return rule
 
 
 def merge_topk(hit_sets: Sequence[DataFrame], k: int, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
@@ -217,16 +248,34 @@ def merge_topk(hit_sets: Sequence[DataFrame], k: int, query_id: str = "query_id"
     return union.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k).drop("_set")
 
 
+def _small(most_hits: int | None) -> bool:
+    return most_hits is not None and most_hits <= MAX_BROADCAST_HITS
+
+
 def attach_payload(hits: DataFrame, index: DataFrame, payload: Sequence[str], most_hits: int | None, doc_id: str = "doc_id") -> DataFrame:
-    """Payload columns of the hits. Only hits whose number is known to be small are broadcast to the index scan."""
-    small = most_hits is not None and most_hits <= MAX_BROADCAST_HITS
-    left = F.broadcast(hits) if small else hits
+    """Payload columns of the hits. Hits whose number is known to be small are broadcast to the index scan."""
+    left = F.broadcast(hits) if _small(most_hits) else hits
     return left.join(index.select(doc_id, *payload), doc_id)
 
 
-def fill_content(hits: DataFrame, staged: DataFrame | None = None, doc_id: str = "doc_id") -> DataFrame:
-    """Replace placeholder content by staged text (``doc_id, fetched_text``), and empty content by the snippet."""
-    joined = hits.withColumn("fetched_text", F.lit(None).cast("string")) if staged is None else hits.join(staged, doc_id, "left")
-    fetched = F.when(fx.is_placeholder("content", "source_type"), F.nullif(F.col("fetched_text"), F.lit("")))
+def only_keys(table: DataFrame, hits: DataFrame, most_hits: int | None, doc_id: str = "doc_id") -> DataFrame:
+    """Rows of a large table whose document was hit, cut at its scan when the hits are known to be few.
+
+    With many hits the table is returned whole: the join that follows is then a shuffle join anyway.
+    """
+    return table.join(F.broadcast(hits.select(doc_id)), doc_id, "left_semi") if _small(most_hits) else table
+
+
+def fill_content(
+    hits: DataFrame, staged: DataFrame | None = None, staged_text: Column | None = None, doc_id: str = "doc_id"
+) -> DataFrame:
+    """Replace placeholder content by staged text, and empty content by the snippet.
+
+    ``staged`` has at most one row per document; the text is ``staged_text`` over its columns.
+    """
+    columns = hits.columns
+    joined = hits if staged is None else hits.join(staged, doc_id, "left")
+    text = F.lit(None).cast("string") if staged is None else staged_text
+    fetched = F.when(fx.is_placeholder("content", "source_type"), F.nullif(text, F.lit("")))
     content = F.coalesce(fetched, F.nullif(F.col("content"), F.lit("")), F.col("snippet"))
-    return joined.withColumn("content", content).drop("fetched_text")
+    return joined.withColumn("content", content).select(*columns)

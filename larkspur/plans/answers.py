@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,13 @@ from larkspur.operators import features as ft
 from larkspur.operators import index as ix
 from larkspur.operators import quality as dq
 from larkspur.operators import reports as rp
-from larkspur.plans.data import ARTICLES_SQL, QUESTIONS_SQL, SNAPSHOT, TRIALS_SQL, curated_articles, questions, table, trials
+from larkspur.plans.data import (
+    ARTICLES_SQL, INGESTED_AT, QUESTIONS_SQL, SNAPSHOT, TRIALS_SQL, curated_articles, questions, table, trials,
+)
 from larkspur.plans.knowledge import ARTICLE_STATS_SQL, BLANKS, TRIAL_STATS_SQL, vectors_sql
+from larkspur.session import application_folder
+from larkspur.sources.readers import markup_text
+from larkspur.sources.snapshots import UNKNOWN, SnapshotStore
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -111,24 +118,46 @@ def _routed(spark, sf_dir) -> DataFrame:
     return ev.route_questions(questions(spark, sf_dir))
 
 
-def _index(spark, sf_dir) -> DataFrame:
-    run = ix.IndexRun("run-1")
-    articles = ix.index_articles(curated_articles(spark, sf_dir), SNAPSHOT, run)
-    return articles.unionByName(ix.index_trials(trials(spark, sf_dir), SNAPSHOT, run))
+@dataclass(frozen=True)
+class Knowledge:
+    """Stored tables a question batch reads."""
+
+    index: DataFrame
+    article_features: DataFrame
+    trial_features: DataFrame
+
+
+def _knowledge(spark, sf_dir) -> Knowledge:
+    """Index and features of all articles and trials, read from the snapshot tables their own jobs write.
+
+    The first question batch of an application runs those jobs; later ones find the snapshot published.
+    """
+    store = SnapshotStore(spark, application_folder(spark, "knowledge", sf_dir))
+    if store.latest_snapshot_id("index") == UNKNOWN:
+        run = ix.IndexRun("run-1")
+        articles = curated_articles(spark, sf_dir)
+        store.write("curated_trials", trials(spark, sf_dir), SNAPSHOT, INGESTED_AT)
+        studies = store.read("curated_trials")
+        store.write("article_stats", ft.article_stats(articles), SNAPSHOT, INGESTED_AT)
+        store.write("trial_stats", ft.trial_stats(studies), SNAPSHOT, INGESTED_AT)
+        points = ix.index_articles(articles, SNAPSHOT, run).unionByName(ix.index_trials(studies, SNAPSHOT, run))
+        store.write("index", points, SNAPSHOT, INGESTED_AT)
+    return Knowledge(*[store.read(name) for name in ("index", "article_stats", "trial_stats")])
 
 
-def _staged(spark, sf_dir) -> DataFrame:
-    title = F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(""))
-    return table(spark, sf_dir, "pages").select(fx.doc_key("PMID", F.col("page_id").cast("string")).alias("doc_id"), title.alias("fetched_text"))
+def _retrieved(spark, sf_dir, index: DataFrame) -> ev.Retrieved:
+    """Hits of all questions; placeholder content is filled from the title of the page with the document's number."""
+    pages = table(spark, sf_dir, "pages").select(fx.doc_key("PMID", F.col("page_id").cast("string")).alias("doc_id"), "html")
+    return ev.retrieve(_routed(spark, sf_dir), index, staged=pages, staged_text=markup_text(F.col("html"), "title"))
 
 
 def _hits(spark, sf_dir) -> DataFrame:
-    return ev.retrieve(_routed(spark, sf_dir), _index(spark, sf_dir), staged=_staged(spark, sf_dir))
+    return _retrieved(spark, sf_dir, _knowledge(spark, sf_dir).index).hits
 
 
 def _enriched(spark, sf_dir) -> DataFrame:
-    articles = ft.article_stats(curated_articles(spark, sf_dir))
-    return ev.enrich(_hits(spark, sf_dir), articles, ft.trial_stats(trials(spark, sf_dir)))
+    known = _knowledge(spark, sf_dir)
+    return ev.enrich(_retrieved(spark, sf_dir, known.index), known.article_features, known.trial_features)
 
 
 def _cited(spark, sf_dir) -> DataFrame:
@@ -276,11 +305,11 @@ FROM top t FULL JOIN later l USING (query_id, doc_id) WHERE t.rank IS DISTINCT F
 def q_replay_diff(spark, sf_dir):
     """Hits of the recorded snapshot against a later one that lost three journals."""
     columns = ["query_id", "doc_id", "score", "rank"]
-    run = ix.IndexRun("run-1")
-    kept = curated_articles(spark, sf_dir).filter("journal NOT IN ('src1', 'src2', 'src4')")
-    later = ix.index_articles(kept, "snap-2", run).unionByName(ix.index_trials(trials(spark, sf_dir), "snap-2", run))
-    stored = ev.retrieve(_routed(spark, sf_dir), _index(spark, sf_dir)).select(*columns)
-    return ev.replay_diff(stored, ev.retrieve(_routed(spark, sf_dir), later).select(*columns))
+    index = _knowledge(spark, sf_dir).index
+    lost = curated_articles(spark, sf_dir).filter("journal IN ('src1', 'src2', 'src4')").select(fx.doc_key("PMID", "pmid").alias("doc_id"))
+    later = index.join(lost, "doc_id", "left_anti")
+    stored = ev.retrieve(_routed(spark, sf_dir), index).hits.select(*columns)
+    return ev.replay_diff(stored, ev.retrieve(_routed(spark, sf_dir), later).hits.select(*columns))
 
 
 @query("rank_sources", SEARCH_SQL + " SELECT query_id, rank - 1 AS position, doc_id AS id, rank AS source_no FROM hits")
@@ -335,8 +364,9 @@ UNION ALL SELECT 'DQ-UI-2', 'FAIL', query_id || '#' || (rank - 1), 'Bad citation
 def q_dq_contracts_answers(spark, sf_dir):
     """Answer and citation contracts; the shortest refused questions have no reason, rejected ones no manifest."""
     reason = F.when((F.size("citations") == 0) & (F.length("question") >= 115), F.lit(ev.NO_CITATIONS))
-    answers = _reviewed(spark, sf_dir).withColumns({"refusal_reason": reason, "manifest_found": F.col("review_status") == "approved"})
-    citations = ev.citation_rows(_cited(spark, sf_dir))
+    reviewed = _reviewed(spark, sf_dir)
+    answers = reviewed.withColumns({"refusal_reason": reason, "manifest_found": F.col("review_status") == "approved"})
+    citations = ev.citation_rows(reviewed)
     citation_id = F.concat_ws("#", F.col("query_id").cast("string"), F.col("position").cast("string"))
     return dq.row_violations(answers, dq.answer_rules(), F.col("query_id")).unionByName(
         dq.row_violations(citations, dq.citation_rules(), citation_id)

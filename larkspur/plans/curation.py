@@ -16,7 +16,7 @@ from larkspur.plans.data import (
     ARTICLES_SQL, INGESTED_AT, SNAPSHOT, TRIALS_SQL, VERSION, body_text, delivered_articles, delivered_date, table, trials,
 )
 from larkspur.session import workspace
-from larkspur.sources.readers import as_json_lists, markup_text, read_source_json
+from larkspur.sources.readers import markup_text, read_source_json
 from larkspur.sources.snapshots import SnapshotStore
 from larkspur.sources.specs import ARTICLES, TRIALS
 
@@ -101,9 +101,9 @@ def q_curate_trials(spark, sf_dir):
     first = normalise_trials(records, "run-1", VERSION, INGESTED_AT)
     later = normalise_trials(records.filter("status = 'P'"), "run-2", VERSION, INGESTED_AT + dt.timedelta(days=1))
     curated = project_curated(merge_newest(first, later, "nct_id"), TRIALS, INGESTED_AT)
-    as_text = as_json_lists(curated).select("nct_id", F.when(F.col("conditions") != "[]", F.col("conditions")).alias("conditions_json"))
-    flat = _flat_trials(curated).select(*TRIALS.curated_schema.names[:9], "ingestion_run_id")
-    return flat.join(as_text, "nct_id")
+    as_json = F.when(F.size("conditions") > 0, fx.json_list("conditions"))
+    flat = _flat_trials(curated.withColumn("conditions_json", as_json))
+    return flat.select(*TRIALS.curated_schema.names[:9], "ingestion_run_id", "conditions_json")
 
 
 @query("ingest_roundtrip", GOOD_SQL + """

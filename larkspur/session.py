@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "larkspur", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,14 +31,33 @@ def build_session(app_name: str = "larkspur", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+_local_root: str | None = None
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder, a local one only where none is set."""
+    global _local_root
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    return tempfile.mkdtemp(prefix="larkspur-")
+    if _local_root is None:
+        _local_root = tempfile.mkdtemp(prefix="larkspur-")
+    return _local_root
 
 
 def workspace(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared one; every caller gets its own."""
     return f"{shared_root(spark)}/larkspur/{purpose}-{uuid.uuid4().hex}"
+
+
+def application_folder(spark: SparkSession, purpose: str, source: str) -> str:
+    """A folder that all jobs of this application that read the same source share."""
+    name = uuid.uuid5(uuid.NAMESPACE_URL, source).hex
+    return f"{shared_root(spark)}/larkspur/{spark.sparkContext.applicationId}/{purpose}-{name}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The same rows, written to the shared folder and read back: later plans start from there, also after failures."""
+    path = workspace(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -90,8 +90,12 @@ class SnapshotStore:
         data = paths or [f"{self.root}/{table}/{snapshot_id}"]
         if operation == "append" and commits:
             data = [*commits[-1]["paths"], *data]
-        row = (table, snapshot_id, committed_at, len(commits), operation, data, job_version)
-        self.spark.createDataFrame([row], LOG_SCHEMA).coalesce(1).write.mode("append").parquet(self._log_path)
+        values = (table, snapshot_id, committed_at, len(commits), operation, data, job_version)
+        row = [
+            (F.array(*[F.lit(p) for p in v]) if isinstance(v, list) else F.lit(v)).cast(f.dataType).alias(f.name)
+            for v, f in zip(values, LOG_SCHEMA.fields)
+        ]
+        self.spark.range(1).coalesce(1).select(*row).write.mode("append").parquet(self._log_path)
         return snapshot_id
 
     def write(
