@@ -24,7 +24,7 @@ from larkspur.functions import text as fx
 SCORE_DIGITS = 6
 MAX_SHIPPED_QUESTIONS = 4096
 MAX_BROADCAST_HITS = 200_000
-CELL_ROWS = 200_000
+CELL_ROWS = 50_000
 SCORE_BLOCK = 4_000_000
 
 

@@ -12,6 +12,7 @@ from larkspur.functions.render import parse_event_line
 from larkspur.operators import evidence as ev
 from larkspur.operators import features as ft
 from larkspur.operators import index as ix
+from larkspur.operators import jobs
 from larkspur.operators import quality as dq
 from larkspur.operators import reports as rp
 from larkspur.plans.data import (
@@ -21,6 +22,7 @@ from larkspur.plans.knowledge import ARTICLE_STATS_SQL, BLANKS, TRIAL_STATS_SQL,
 from larkspur.session import application_folder
 from larkspur.sources.readers import markup_text
 from larkspur.sources.snapshots import UNKNOWN, SnapshotStore
+from larkspur.sources.specs import ARTICLES, TRIALS
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -132,17 +134,15 @@ def _knowledge(spark, sf_dir) -> Knowledge:
 
     The first question batch of an application runs those jobs; later ones find the snapshot published.
     """
-    store = SnapshotStore(spark, application_folder(spark, "knowledge", sf_dir))
-    if store.latest_snapshot_id("index") == UNKNOWN:
-        run = ix.IndexRun("run-1")
-        articles = curated_articles(spark, sf_dir)
-        store.write("curated_trials", trials(spark, sf_dir), SNAPSHOT, INGESTED_AT)
-        studies = store.read("curated_trials")
-        store.write("article_stats", ft.article_stats(articles), SNAPSHOT, INGESTED_AT)
-        store.write("trial_stats", ft.trial_stats(studies), SNAPSHOT, INGESTED_AT)
-        points = ix.index_articles(articles, SNAPSHOT, run).unionByName(ix.index_trials(studies, SNAPSHOT, run))
-        store.write("index", points, SNAPSHOT, INGESTED_AT)
-    return Knowledge(*[store.read(name) for name in ("index", "article_stats", "trial_stats")])
+    store, run = SnapshotStore(spark, application_folder(spark, "knowledge", sf_dir)), ix.IndexRun("run-1")
+    if store.latest_snapshot_id(jobs.index_table(TRIALS)) == UNKNOWN:
+        store.write("curated_articles", curated_articles(spark, sf_dir).drop("snapshot_ref"), SNAPSHOT, INGESTED_AT)
+        store.write("curated_trials", trials(spark, sf_dir).drop("snapshot_ref"), SNAPSHOT, INGESTED_AT)
+        jobs.refresh_features(store, run.run_id, INGESTED_AT)
+        for spec in (ARTICLES, TRIALS):
+            jobs.refresh_index(store, spec, run, INGESTED_AT)
+    index = store.read(jobs.index_table(ARTICLES)).unionByName(store.read(jobs.index_table(TRIALS)))
+    return Knowledge(index, store.read("article_stats"), store.read("trial_stats"))
 
 
 def _retrieved(spark, sf_dir, index: DataFrame) -> ev.Retrieved:

@@ -129,7 +129,7 @@ def _event_days(spark: SparkSession, sf_dir: str) -> tuple[SnapshotStore, DataFr
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     for day, name in ((10, "s1"), (20, "s2"), (31, "s3")):
         at = dt.datetime(2024, 1, day)
-        store.write("events", events.filter(F.col("ts") < F.lit(at).cast("timestamp_ntz")), name, at)
+        store.write("events", events.filter(F.col("ts") < F.lit(str(at)).cast("timestamp_ntz")), name, at)
     return store, events
 
 
@@ -280,13 +280,15 @@ def q_dq_orphans(spark, sf_dir):
     """Labels of documents that are not in the English curated table, and outcomes of trials still pending."""
     english = table(spark, sf_dir, "documents").filter("lang = 'en'")
     settled = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'")
-    labels = dq.orphan_rows(table(spark, sf_dir, "labels"), english, "doc_id", "doc_id")
-    lines = dq.orphan_rows(table(spark, sf_dir, "lineitem").select("l_orderkey"), settled, "l_orderkey", "o_orderkey")
 
-    def counted(df: DataFrame, name: str, key: str) -> DataFrame:
-        return df.groupBy(F.col(key).cast("string").alias("record_id")).agg(F.lit(name).alias("child"), F.count(F.lit(1)).alias("orphans"))
+    def counted(child: DataFrame, name: str, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
+        """Children are counted per key first, so a busy key meets its parent as one row."""
+        per_key = child.groupBy(key).agg(F.count(F.lit(1)).alias("orphans"))
+        orphans = dq.orphan_rows(per_key, parent, key, parent_key)
+        return orphans.select(F.lit(name).alias("child"), F.col(key).cast("string").alias("record_id"), "orphans")
 
-    return counted(labels, "labels", "doc_id").unionByName(counted(lines, "lineitem", "l_orderkey"))
+    labels = counted(table(spark, sf_dir, "labels"), "labels", "doc_id", english, "doc_id")
+    return labels.unionByName(counted(table(spark, sf_dir, "lineitem"), "lineitem", "l_orderkey", settled, "o_orderkey"))
 
 
 @query("dq_warnings", "WITH" + ARTICLES_SQL + "," + TRIALS_SQL.lstrip("\n") + """

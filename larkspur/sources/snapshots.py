@@ -8,10 +8,10 @@ row per commit; only that metadata is ever read on the driver.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,12 +40,17 @@ def latest_snapshots(log: DataFrame, as_of: dt.datetime | None = None) -> DataFr
     )
 
 
+def _in_order(commits: list[Row]) -> list[Row]:
+    return sorted(commits, key=lambda c: (c["table_name"], c["committed_at"], c["seq"]))
+
+
 @dataclass
 class SnapshotStore:
-    """A folder of snapshot tables."""
+    """A folder of snapshot tables. The log is read once per store and again before each commit."""
 
     spark: SparkSession
     root: str
+    _seen: list | None = field(default=None, init=False, repr=False)
 
     @property
     def _log_path(self) -> str:
@@ -60,11 +65,14 @@ class SnapshotStore:
                 raise
             return self.spark.createDataFrame([], LOG_SCHEMA)
 
+    def refresh(self) -> None:
+        """Look at the log again; until then the store shows the commits it has seen and its own."""
+        self._seen = _in_order(self.log().collect())
+
     def _commits(self, table: str, as_of: dt.datetime | None = None) -> list:
-        rows = self.log().filter(F.col("table_name") == table)
-        if as_of is not None:
-            rows = rows.filter(F.col("committed_at") <= F.lit(as_of))
-        return rows.orderBy("committed_at", "seq").collect()
+        if self._seen is None:
+            self.refresh()
+        return [c for c in self._seen if c["table_name"] == table and (as_of is None or c["committed_at"] <= as_of)]
 
     def latest_snapshot_id(self, table: str, as_of: dt.datetime | None = None) -> str:
         commits = self._commits(table, as_of)
@@ -84,6 +92,7 @@ class SnapshotStore:
         paths: list[str] | None = None, job_version: str | None = None,
     ) -> str:
         """Make a staged snapshot current. A snapshot id that is already committed is left as it is."""
+        self.refresh()
         commits = self._commits(table)
         if operation != "rollback" and any(c["snapshot_id"] == snapshot_id for c in commits):
             return snapshot_id
@@ -96,6 +105,7 @@ class SnapshotStore:
             for v, f in zip(values, LOG_SCHEMA.fields)
         ]
         self.spark.range(1).coalesce(1).select(*row).write.mode("append").parquet(self._log_path)
+        self._seen = _in_order([*self._seen, Row(**dict(zip(LOG_SCHEMA.names, values)))])
         return snapshot_id
 
     def write(
@@ -127,7 +137,8 @@ class SnapshotStore:
     def list_datasets(self) -> DataFrame:
         """One row per table and column: ``table_name, snapshot_id, column_name, data_type, position``."""
         rows = []
-        for table in [r["table_name"] for r in self.log().select("table_name").distinct().collect()]:
+        self.refresh()
+        for table in sorted({c["table_name"] for c in self._seen}):
             snapshot_id = self.latest_snapshot_id(table)
             for position, field in enumerate(self.read(table).schema.fields):
                 rows.append((table, snapshot_id, field.name, field.dataType.simpleString(), position))
