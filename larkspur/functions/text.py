@@ -177,13 +177,19 @@ def uuid5(name: Column | str, namespace_hex: str = DNS_NAMESPACE_HEX) -> Column:
     )
 
 
+def _constant_words(words_: Iterable[str]) -> Column:
+    """A word list as one literal that the optimizer folds into an array."""
+    return F.split(F.lit(" ".join(words_)), " ")
+
+
 def search_terms(question: Column | str) -> Column:
     """The question without stop words and edge punctuation; the question itself if nothing is left.
 
     Stop words are tested before punctuation is stripped, so ``"is,"`` stays as ``"is"``.
     """
     q = _col(question)
-    kept = F.filter(words(F.lower(q)), lambda t: ~t.isin(*STOP_WORDS))
+    stop = _constant_words(STOP_WORDS)
+    kept = F.filter(words(F.lower(q)), lambda t: ~F.array_contains(stop, t))
     stripped = F.transform(kept, lambda t: F.btrim(t, F.lit(PUNCTUATION)))
     joined = F.array_join(F.filter(stripped, lambda t: t != ""), " ")
     return F.when(F.coalesce(joined, F.lit("")) == "", q).otherwise(joined)
@@ -197,8 +203,8 @@ def implied_source_type(
 ) -> Column:
     """The given source type, else the one whose routing words occur (trial first), else null."""
     tokens = words(F.lower(_col(question)))
-    routed = F.when(F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in trial_words])), F.lit("trial")).when(
-        F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in article_words])), F.lit("article")
+    routed = F.when(F.arrays_overlap(tokens, _constant_words(trial_words)), F.lit("trial")).when(
+        F.arrays_overlap(tokens, _constant_words(article_words)), F.lit("article")
     )
     return routed if given is None else F.coalesce(_col(given), routed)
 

@@ -60,4 +60,4 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """The same rows, written to the shared folder and read back: later plans start from there, also after failures."""
     path = workspace(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
