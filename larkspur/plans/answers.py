@@ -19,25 +19,13 @@ from larkspur.plans.data import (
     ARTICLES_SQL, INGESTED_AT, QUESTIONS_SQL, SNAPSHOT, TRIALS_SQL, curated_articles, questions, table, trials,
 )
 from larkspur.plans.knowledge import ARTICLE_STATS_SQL, BLANKS, TRIAL_STATS_SQL, vectors_sql
+from larkspur.plans.register import new_register
 from larkspur.session import application_folder
 from larkspur.sources.readers import markup_text
 from larkspur.sources.snapshots import UNKNOWN, SnapshotStore
 from larkspur.sources.specs import ARTICLES, TRIALS
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query and its check."""
-
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return register
+QUERIES, ORACLES, query = new_register()
 
 
 def _sql_words(words) -> str:

@@ -15,25 +15,13 @@ from larkspur.operators.normalise import mark_rejects, normalise_articles, norma
 from larkspur.plans.data import (
     ARTICLES_SQL, INGESTED_AT, SNAPSHOT, TRIALS_SQL, VERSION, body_text, delivered_articles, delivered_date, table, trials,
 )
+from larkspur.plans.register import new_register
 from larkspur.session import workspace
-from larkspur.sources.readers import markup_text, read_source_json
+from larkspur.sources.readers import article_text_from_xml, markup_text, read_source_json, trial_text_from_json
 from larkspur.sources.snapshots import SnapshotStore
 from larkspur.sources.specs import ARTICLES, TRIALS
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query and its check."""
-
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return register
+QUERIES, ORACLES, query = new_register()
 
 
 VALID_DATE_SQL = """CASE WHEN regexp_full_match(v, '[0-9]{4}(-[0-9]{1,2}(-[0-9]{1,2})?)?') AND left(v, 4) <> '0000'
@@ -368,3 +356,29 @@ def q_extract_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(
         "page_id", markup_text(F.col("html"), "title").alias("title"), markup_text(F.col("html"), "h1").alias("heading")
     )
+
+
+@query("extract_article_text", """
+SELECT doc_id, CASE WHEN source <> 'src3' THEN nullif(array_to_string([trim(l) FOR l IN string_split(text, chr(10)) IF trim(l) <> ''], chr(10) || chr(10)), '') END AS article_text
+FROM documents""")
+def q_extract_article_text(spark, sf_dir):
+    """Documents staged as abstract XML, one block per line; one source has no numeric ids."""
+    def escape(line):
+        return F.replace(F.replace(F.replace(line, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    blocks = F.transform(F.split("text", "\n"), lambda line: F.concat(F.lit("<AbstractText>"), escape(line), F.lit("</AbstractText>")))
+    xml = F.concat(F.lit("<Abstract>"), F.array_join(blocks, ""), F.lit("</Abstract>"))
+    staged_id = F.concat(F.when(F.col("source") == "src3", "x").otherwise(""), F.col("doc_id").cast("string"))
+    staged = table(spark, sf_dir, "documents").select("doc_id", staged_id.alias("staged_id"), xml.alias("xml"))
+    return staged.select("doc_id", article_text_from_xml(F.col("staged_id"), F.col("xml")).alias("article_text"))
+
+
+@query("extract_trial_text", """
+SELECT conv_id, turn, CASE WHEN role <> 'system' THEN nullif(text, '') END AS trial_text FROM conversations""")
+def q_extract_trial_text(spark, sf_dir):
+    """Turns staged as study documents: user turns have a summary only, system turns no trial id."""
+    detailed = F.when(F.col("role") == "assistant", F.col("text")).otherwise(F.lit(""))
+    module = F.struct(F.struct(F.struct(detailed.alias("detailedDescription"), F.col("text").alias("briefSummary")).alias("descriptionModule")).alias("protocolSection"))
+    trial_id = F.concat(F.when(F.col("role") == "system", "X").otherwise("NCT"), F.col("conv_id").cast("string"))
+    staged = table(spark, sf_dir, "conversations").select("conv_id", "turn", trial_id.alias("trial_id"), F.to_json(module).alias("payload"))
+    return staged.select("conv_id", "turn", trial_text_from_json(F.col("trial_id"), F.col("payload")).alias("trial_text"))

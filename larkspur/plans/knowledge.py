@@ -13,23 +13,11 @@ from larkspur.operators import index as ix
 from larkspur.operators.quantiles import exact_quantiles
 from larkspur.operators.search import SearchColumns, merge_topk, vector_topk
 from larkspur.plans.data import ARTICLES_SQL, SNAPSHOT, TRIALS_SQL, curated_articles, table, trials
+from larkspur.plans.register import new_register
 from larkspur.sources.snapshots import latest_snapshots
 from larkspur.sources.specs import ARTICLES, TRIALS
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query and its check."""
-
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return register
+QUERIES, ORACLES, query = new_register()
 
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -14,25 +14,13 @@ from larkspur.operators.quantiles import exact_quantiles
 from larkspur.plans.answers import event_lines
 from larkspur.plans.curation import GOOD_SQL
 from larkspur.plans.data import INGESTED_AT, LOG_SQL, VERSION, delivered_articles, query_log, table
+from larkspur.plans.register import new_register
 from larkspur.session import workspace
 from larkspur.sources.snapshots import SnapshotStore
 from larkspur.sources.specs import ARTICLES
 from larkspur.streaming import jobs
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query and its check."""
-
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return register
+QUERIES, ORACLES, query = new_register()
 
 
 @query("timeline_steps", """
