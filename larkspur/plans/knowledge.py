@@ -162,14 +162,17 @@ SELECT view, count(*) AS fields, CAST(sum(CASE WHEN units IS NULL AND data_type
   ('trial_stats', 'string', NULL), ('trial_stats', 'bigint', 'n'), ('trial_stats', 'string', NULL)) v(view, data_type, units)
 WHERE EXISTS (SELECT 1 FROM documents) GROUP BY 1""")
 def q_feature_registry(spark, sf_dir):
-    """Registered fields of the feature tables that the driver data fills."""
-    stats = {"article_stats": ft.article_stats(curated_articles(spark, sf_dir)), "trial_stats": ft.trial_stats(trials(spark, sf_dir))}
-    registry = ft.feature_registry(spark)
-    present = [
-        df.limit(1).select(F.lit(view).alias("view"), F.explode(F.array(*[F.lit(c) for c in df.columns])).alias("field")) for view, df in stats.items()
-    ]
-    found = present[0].unionByName(present[1])
-    return registry.join(found, ["view", "field"], "left_semi").groupBy("view").agg(
+    """Registered fields that hold a value anywhere in the feature tables."""
+
+    def filled(view: str, df: DataFrame) -> DataFrame:
+        counted = df.agg(*[F.count(c).alias(c) for c in df.columns])
+        fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("values")) for c in df.columns])
+        return counted.select(F.lit(view).alias("view"), F.inline(fields)).filter(F.col("values") > 0)
+
+    found = filled("article_stats", ft.article_stats(curated_articles(spark, sf_dir))).unionByName(
+        filled("trial_stats", ft.trial_stats(trials(spark, sf_dir)))
+    )
+    return ft.feature_registry(spark).join(found, ["view", "field"], "left_semi").groupBy("view").agg(
         F.count(F.lit(1)).alias("fields"), F.count_if(F.col("units").isNull() & (F.col("data_type") == "bigint")).alias("without_units")
     )
 
