@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,18 +30,10 @@ def build_session(app_name: str = "larkspur", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-_local_root: str | None = None
-
-
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's checkpoint folder, a local one only where none is set."""
-    global _local_root
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="larkspur-")
-    return _local_root
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else the warehouse folder. Never a machine-local temporary one."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
+    return configured.rstrip("/")
 
 
 def workspace(spark: SparkSession, purpose: str) -> str:
