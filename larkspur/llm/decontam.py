@@ -24,6 +24,8 @@ LEAST_PERCENT = 75
 #: deviation of 3; 23 = 8 blocks * 3 - 1 leaves out about one in 10,000 of those right at the threshold.
 BLOCKS, BLOCK_ERRORS = 8, 2
 BLOCK_BITS = 64 // BLOCKS
+#: Item shingles that are sent out at once: about 40 MB.
+SLICE_ROWS = 1_000_000
 RADIUS = BLOCKS * (BLOCK_ERRORS + 1) - 1
 
 
@@ -74,6 +76,14 @@ def item_shingles(benchmark: DataFrame) -> DataFrame:
     return hashed.select("item_id", F.size("shingles").alias("n"), "shingles").filter((F.col("n") > 0) & F.col("item_id").isNotNull()).distinct()
 
 
+def _met(placed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Join on ``shingle`` by sending ``wanted`` to the corpus, in slices of a bounded number of rows, so that no corpus shingle is
+    shuffled. Nearly always there is one slice."""
+    slices = max(1, -(-wanted.count() // SLICE_ROWS))
+    parts = [F.broadcast(wanted.filter(F.pmod("shingle", F.lit(slices)) == i)) for i in range(slices)]
+    return reduce(DataFrame.unionAll, [placed.join(part, "shingle") for part in parts])
+
+
 def leaking_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, start, n, same``: every window of a document that is similar enough to an item of its size.
 
@@ -88,7 +98,7 @@ def leaking_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # 1. Shingles of the corpus that an item has; rare, as most of a corpus has nothing to do with a benchmark.
     placed = texts.select("doc_id", F.posexplode(shingles_of(words_of(F.col("text")))).alias("at", "shingle"))
-    hits = placed.join(item_counts.select("shingle", "item_id", "n"), "shingle").select("doc_id", "item_id", "n", "at").distinct()
+    hits = _met(placed, item_counts.select("shingle", "item_id", "n")).select("doc_id", "item_id", "n", "at").distinct()
 
     # 2. Window starts that leave room for enough hits: the i-th hit is the first in the window and the needed-th is inside.
     runs = hits.groupBy("doc_id", "item_id", "n").agg(F.array_sort(F.collect_list("at")).alias("at")).filter(F.size("at") >= 1)
