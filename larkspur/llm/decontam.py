@@ -41,6 +41,12 @@ def shingles_of(words: Column) -> Column:
     return F.when(last >= 0, many).when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
 
 
+def with_shingles(rows: DataFrame, *kept: str) -> DataFrame:
+    """``kept`` and ``shingles`` of ``text``. The words are a column of their own, so that they are split once per row; a filter on the
+    shingles (also the one that ``explode`` implies) would be pushed below it and split them for every shingle."""
+    return rows.select(*kept, words_of(F.col("text")).alias("words")).select(*kept, shingles_of(F.col("words")).alias("shingles"))
+
+
 def needed(n: Column) -> Column:
     """Shingles that a window of ``n`` shingles must share with an item of ``n``: 100 * same >= 75 * (2 n - same)."""
     return F.ceil(F.lit(2 * LEAST_PERCENT) * n / (100 + LEAST_PERCENT)).cast("int")
@@ -72,8 +78,8 @@ def _errors() -> Column:
 
 def item_shingles(benchmark: DataFrame) -> DataFrame:
     """``item_id, n (shingles), shingles`` of the items that have words; items of equal id are one row each."""
-    hashed = benchmark.select(F.col("item_id").cast("long").alias("item_id"), shingles_of(words_of(F.col("text"))).alias("shingles"))
-    return hashed.select("item_id", F.size("shingles").alias("n"), "shingles").filter((F.col("n") > 0) & F.col("item_id").isNotNull()).distinct()
+    hashed = with_shingles(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.col("item_id").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]")), "item_id")
+    return hashed.select("item_id", F.size("shingles").alias("n"), "shingles").distinct()
 
 
 def _met(placed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -97,7 +103,7 @@ def leaking_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
 
     # 1. Shingles of the corpus that an item has; rare, as most of a corpus has nothing to do with a benchmark.
-    placed = texts.select("doc_id", F.posexplode(shingles_of(words_of(F.col("text")))).alias("at", "shingle"))
+    placed = with_shingles(texts, "doc_id").select("doc_id", F.posexplode_outer("shingles").alias("at", "shingle"))
     hits = _met(placed, item_counts.select("shingle", "item_id", "n")).select("doc_id", "item_id", "n", "at").distinct()
 
     # 2. Window starts that leave room for enough hits: the i-th hit is the first in the window and the needed-th is inside.
@@ -115,15 +121,15 @@ def leaking_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # 3. Fingerprints of those windows, from the whole texts of their documents.
     asked = windows.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("asked"))
-    hashed = texts.join(asked, "doc_id").select("doc_id", "asked", shingles_of(words_of(F.col("text"))).alias("shingles")).distinct()
+    hashed = with_shingles(texts.join(asked, "doc_id"), "doc_id", "asked").distinct()
     cut = hashed.select("doc_id", F.xxhash64("shingles").alias("version"), "shingles", F.explode("asked").alias("w"))
     cut = cut.select("doc_id", "version", F.col("w.start").alias("start"), F.col("w.n").alias("n"), F.slice("shingles", F.col("w.start") + 1, F.col("w.n")).alias("part"))
     inside = stored(cut.filter(F.size("part") == F.col("n")).select("doc_id", "version", "start", "n", F.explode("part").alias("shingle")), "inside")
     keys = ["doc_id", "version", "start", "n"]
-    prints = fingerprint(inside, keys, "shingle")
+    prints = stored(fingerprint(inside, keys, "shingle"), "prints")
 
     # 4. Multi-index join on blocks, then the radius.
-    item_prints = fingerprint(items.select("item_id", "n", F.explode("shingles").alias("shingle")), ["item_id", "n"], "shingle")
+    item_prints = stored(fingerprint(items.select("item_id", "n", F.explode("shingles").alias("shingle")), ["item_id", "n"], "shingle"), "item-prints")
     listed = item_prints.select("item_id", "n", F.col("fingerprint").alias("item_print"), F.posexplode(_blocks(F.col("fingerprint"))).alias("block", "value"))
     listed = listed.select("item_id", "n", "item_print", "block", F.explode(F.transform(_errors(), lambda e: F.col("value").bitwiseXOR(e))).alias("value"))
     blocks = prints.select(*keys, "fingerprint", F.posexplode(_blocks(F.col("fingerprint"))).alias("block", "value"))

@@ -85,10 +85,10 @@ def op3_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOPK_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) AS BIGINT) AS score
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
@@ -144,17 +144,17 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LEAK_SQL = r"""
 WITH
-iw AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
-it AS (SELECT item_id, len(w) - 4 AS n, list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) AS s FROM iw WHERE len(w) >= 5),
+iw AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+it AS (SELECT item_id, len(w) - 4 AS n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) AS s FROM iw WHERE len(w) >= 5),
 ic AS (SELECT item_id, n, sh, count(*) AS k FROM (SELECT item_id, n, unnest(s) AS sh FROM it) GROUP BY ALL),
-dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-dp AS (SELECT doc_id, len(w) - 4 AS m, unnest(range(1, len(w) - 3)) AS at, w FROM dw WHERE len(w) >= 5),
-ds AS (SELECT doc_id, m, at - 1 AS at, array_to_string(w[at:at+4], ' ') AS sh FROM dp),
-hit AS (SELECT DISTINCT doc_id, m, at, sh, item_id, n, k FROM ds JOIN ic USING (sh)),
+dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+dp AS (SELECT doc_id, len(w) - 4 AS m, unnest(range(1, len(w) - 3)) AS p, w FROM dw WHERE len(w) >= 5),
+ds AS (SELECT doc_id, m, p - 1 AS pos, array_to_string(w[p:p+4], ' ') AS sh FROM dp),
+hit AS (SELECT DISTINCT doc_id, m, pos, sh, item_id, n, k FROM ds JOIN ic USING (sh)),
 enough AS (SELECT doc_id, item_id FROM hit GROUP BY ALL HAVING count(*) >= ceil(150 * any_value(n) / 175.0)),
 h AS (SELECT hit.* FROM hit JOIN enough USING (doc_id, item_id)),
-st AS (SELECT DISTINCT doc_id, item_id, n, unnest(range(greatest(0, at - n + 1), least(at, m - n) + 1)) AS start FROM h),
-inw AS (SELECT st.doc_id, st.item_id, st.n, st.start, h.sh, h.k, count(*) AS t FROM st JOIN h ON st.doc_id = h.doc_id AND st.item_id = h.item_id AND h.at BETWEEN st.start AND st.start + st.n - 1 GROUP BY ALL),
+st AS (SELECT DISTINCT doc_id, item_id, n, unnest(range(greatest(0, pos - n + 1), least(pos, m - n) + 1)) AS start FROM h),
+inw AS (SELECT st.doc_id, st.item_id, st.n, st.start, h.sh, h.k, count(*) AS t FROM st JOIN h ON st.doc_id = h.doc_id AND st.item_id = h.item_id AND h.pos BETWEEN st.start AND st.start + st.n - 1 GROUP BY ALL),
 sm AS (SELECT doc_id, item_id, n, start, sum(least(t, k)) AS same FROM inw GROUP BY ALL),
 ok AS (SELECT * FROM sm WHERE 100 * same >= 75 * (2 * n - same)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY same DESC, start, n DESC) AS r FROM ok)
