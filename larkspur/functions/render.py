@@ -60,6 +60,6 @@ EVENT_SCHEMA = "node STRING, elapsed_ms BIGINT, query_id STRING, status STRING,
 
 def parse_event_line(line: Column, schema: str = EVENT_SCHEMA) -> Column:
     """Struct from a ``data:{json}`` line; null for other lines and for malformed JSON."""
-    body = F.trim(F.substring(line, 6, 1_000_000_000))
+    body = F.trim(F.substr(line, F.lit(6)))
     valid = F.try_parse_json(body).isNotNull()
     return F.when(line.startswith("data:") & valid, F.from_json(body, schema))

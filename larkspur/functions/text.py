@@ -35,7 +35,6 @@ TRIAL_WORDS = ("trial", "trials", "rct", "randomised", "randomized", "clinical",
 ARTICLE_WORDS = ("article", "articles", "paper", "publication", "study", "research", "pubmed")
 
 # Length limits of embedded text and snippets.
-EMBED_CHARS = 2048
 SNIPPET_CHARS = 500
 
 # Fixed value: the RFC 4122 DNS namespace.
@@ -139,14 +138,14 @@ def join_nonempty(*cols: Column | str) -> Column:
 
 
 def article_text(title: Column | str, abstract: Column | str) -> Column:
-    """Text of an article as it is embedded."""
+    """Text of an article as it is embedded: all of it."""
     both = F.concat(F.coalesce(_col(title), F.lit("")), F.lit(" "), F.coalesce(_col(abstract), F.lit("")))
-    return F.substring(strip(both), 1, EMBED_CHARS)
+    return strip(both)
 
 
 def trial_text(title: Column | str, conditions: Column | str, interventions: Column | str) -> Column:
-    """Text of a trial as it is embedded."""
-    return F.substring(join_nonempty(title, conditions, interventions), 1, EMBED_CHARS)
+    """Text of a trial as it is embedded: all of it."""
+    return join_nonempty(title, conditions, interventions)
 
 
 def snippet(c: Column | str) -> Column:

@@ -26,8 +26,8 @@ def _start(ts: str, width: str, slide: str | None = None) -> Column:
 
 
 def success_ratio(log: DataFrame, ts: str = "ts", status: str = "status", count_blocked: bool = False, width: str = RATE_WINDOW, slide: str | None = None) -> DataFrame:
-    """Approved share per window. Blocked questions are not counted unless asked for."""
-    rows = log if count_blocked else log.filter(F.col(status) != "blocked")
+    """Approved share per window. Blocked questions are not counted unless asked for; one without a status counts as not approved."""
+    rows = log if count_blocked else log.filter(~F.col(status).eqNullSafe("blocked"))
     return (
         rows.groupBy(_start(ts, width, slide))
         .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(status) == "approved").alias("approved"))
@@ -44,11 +44,11 @@ def volume_by_status(log: DataFrame, ts: str = "ts", status: str = "status", wid
 
 
 def latency_buckets(log: DataFrame, duration: str = "duration_s", group: Sequence[Column | str] = ()) -> DataFrame:
-    """Counts per latency bucket; bucket ``len(LATENCY_BOUNDS)`` holds what is above the last bound."""
+    """Counts per latency bucket; bucket ``len(LATENCY_BOUNDS)`` holds what is above the last bound. Null durations are in no bucket."""
     bucket = F.lit(len(LATENCY_BOUNDS))
     for i in range(len(LATENCY_BOUNDS) - 1, -1, -1):
         bucket = F.when(F.col(duration) <= LATENCY_BOUNDS[i], F.lit(i)).otherwise(bucket)
-    return log.groupBy(*group, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return log.filter(F.col(duration).isNotNull()).groupBy(*group, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def latency_quantiles(log: DataFrame, probabilities: Sequence[float], duration: str = "duration_s", ts: str | None = None, width: str = RATE_WINDOW) -> DataFrame:

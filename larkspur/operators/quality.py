@@ -241,11 +241,9 @@ def dq_results(df: DataFrame, spec: SourceSpec, run: str = "ingestion_run_id", s
 
 def sample_ids(df: DataFrame, group: Sequence[str], record_id: str, n: int) -> DataFrame:
     """The first ``n`` distinct ids per group as a sorted array ``failed_ids``."""
-    window = Window.partitionBy(*group).orderBy(record_id)
-    ranked = (
-        df.groupBy(*group, record_id).agg(F.lit(1).alias("_one"))
-        .withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= n)
-    )
+    # The rank limit is applied in the map tasks, so few rows are shuffled; equal ids share a rank.
+    rank = F.dense_rank().over(Window.partitionBy(*group).orderBy(record_id))
+    ranked = df.select(*group, record_id).withColumn("_rank", rank).filter(F.col("_rank") <= n).select(*group, record_id).distinct()
     return ranked.groupBy(*group).agg(F.array_sort(F.collect_list(record_id)).alias("failed_ids"))
 
 

@@ -46,11 +46,11 @@ docs AS (
     CAST(CASE length(publication_date) WHEN 4 THEN publication_date || '-01-01' WHEN 7 THEN publication_date || '-01' ELSE publication_date END AS DATE) AS first_day,
     CASE length(publication_date) WHEN 4 THEN CAST(publication_date || '-12-31' AS DATE)
       WHEN 7 THEN last_day(CAST(publication_date || '-01' AS DATE)) ELSE CAST(publication_date AS DATE) END AS last_day,
-    substr(trim(title || ' ' || coalesce(abstract, ''), {BLANKS}), 1, 2048) AS embedding_text FROM articles
+    trim(title || ' ' || coalesce(abstract, ''), {BLANKS}) AS embedding_text FROM articles
   UNION ALL
   SELECT 'NCT:' || nct_id, brief_title, coalesce(concat_ws(' ', array_to_string(conditions, ', '), array_to_string(interventions, ', ')), ''), 'trial', NULL,
     CAST(start_date AS DATE), CAST(start_date AS DATE),
-    substr(concat_ws(' ', brief_title, array_to_string(conditions, ', '), array_to_string(interventions, ', ')), 1, 2048) FROM trials),
+    concat_ws(' ', brief_title, array_to_string(conditions, ', '), array_to_string(interventions, ', ')) FROM trials),
 question_texts AS (SELECT query_id AS doc_id, search_query AS embedding_text FROM routed)"""
 
 PAIRS_SQL = "," + vectors_sql("docs", "dvec") + "," + vectors_sql("question_texts", "qvec") + """,

@@ -14,12 +14,8 @@ SNAPSHOT = "snap-1"
 VERSION = "1.0.0"
 
 
-# Keys by which the tables with costly rows are spread when they come in a few splits only.
-SPREAD_KEYS = {"documents": "doc_id", "lineitem": "l_orderkey"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet", SPREAD_KEYS.get(name))
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def delivered_articles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,10 +235,10 @@ def q_cooccurrence(spark, sf_dir):
 
 
 @query("embedding_text", "WITH" + ARTICLES_SQL + "," + TRIALS_SQL.lstrip("\n") + f"""
-SELECT 'PMID:' || pmid AS doc_id, md5(substr(trim(title || ' ' || coalesce(abstract, ''), {BLANKS}), 1, 2048)) AS text_md5,
+SELECT 'PMID:' || pmid AS doc_id, md5(trim(title || ' ' || coalesce(abstract, ''), {BLANKS})) AS text_md5,
   md5(substr(coalesce(abstract, ''), 1, 500)) AS snippet_md5 FROM articles
 UNION ALL
-SELECT 'NCT:' || nct_id, md5(substr(concat_ws(' ', brief_title, array_to_string(conditions, ', '), array_to_string(interventions, ', ')), 1, 2048)),
+SELECT 'NCT:' || nct_id, md5(concat_ws(' ', brief_title, array_to_string(conditions, ', '), array_to_string(interventions, ', '))),
   md5(substr(coalesce(concat_ws(' ', array_to_string(conditions, ', '), array_to_string(interventions, ', ')), ''), 1, 500)) FROM trials""")
 def q_embedding_text(spark, sf_dir):
     both = ix.index_texts(curated_articles(spark, sf_dir), ARTICLES).unionByName(ix.index_texts(trials(spark, sf_dir), TRIALS))
@@ -268,7 +268,7 @@ def vectors_sql(source: str, name: str) -> str:
 
 
 ARTICLE_TEXTS_SQL = f"""
-article_texts AS (SELECT 'PMID:' || pmid AS doc_id, substr(trim(title || ' ' || coalesce(abstract, ''), {BLANKS}), 1, 2048) AS embedding_text FROM articles)"""
+article_texts AS (SELECT 'PMID:' || pmid AS doc_id, trim(title || ' ' || coalesce(abstract, ''), {BLANKS}) AS embedding_text FROM articles)"""
 
 
 @query("hash_embed", "WITH" + ARTICLES_SQL + "," + ARTICLE_TEXTS_SQL + "," + vectors_sql("article_texts", "vec") + """

@@ -9,16 +9,9 @@ from pyspark.sql import types as T
 from larkspur.sources.specs import SourceSpec
 
 
-def read_table(spark: SparkSession, path: str, spread_key: str | None = None) -> DataFrame:
-    """A Parquet table. One that arrives in fewer splits than there are cores is spread over them by ``spread_key``.
-
-    A large table has more splits than cores and is read as it is, without a shuffle.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread_key and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, spread_key)
-    return df
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, read as it is split; ``spark.sql.files.maxPartitionBytes`` sets the size of the splits."""
+    return spark.read.parquet(path)
 
 
 def read_source_json(spark: SparkSession, path: str | list[str], spec: SourceSpec, lines: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ Every job takes a streaming DataFrame and a checkpoint folder in shared storage,
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,28 +59,37 @@ def read_step_events(changes: DataFrame) -> DataFrame:
     return newest.select("query_id", "events", "first_ts", "last_ts", F.floor(micros / 1000).cast("long").alias("elapsed_ms"))
 
 
+def _stream_name(name: str | None, checkpoint: str) -> str:
+    """The given name, else one that follows from the checkpoint, which belongs to one stream only."""
+    return name or f"stream-{uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex}"
+
+
 def stream_ingest(
-    records: DataFrame, store: SnapshotStore, spec: SourceSpec, pipeline_version: str, ingested_at: dt.datetime, checkpoint: str
+    records: DataFrame, store: SnapshotStore, spec: SourceSpec, pipeline_version: str, ingested_at: dt.datetime, checkpoint: str, name: str | None = None
 ) -> StreamingQuery:
     """Ingest every micro-batch as one run in quarantine mode.
 
-    The run id is the batch id, so a repeated batch replaces its own data. Uniqueness is judged inside a batch; across
+    The run id is the stream's name and the batch id, so a repeated batch replaces its own data and no other stream's. Uniqueness is judged inside a batch; across
     batches curation keeps the newest version.
     """
 
+    stream = _stream_name(name, checkpoint)
+
     def load(batch: DataFrame, batch_id: int) -> None:
-        ingest(store, batch, spec, IngestRun(f"stream-{batch_id}", pipeline_version, ingested_at, mode="quarantine"))
+        ingest(store, batch, spec, IngestRun(f"{stream}-{batch_id}", pipeline_version, ingested_at, mode="quarantine"))
 
     return (
         records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(load).trigger(availableNow=True).start()
     )
 
 
-def stream_curate(raw: DataFrame, store: SnapshotStore, table: str, key: str, committed_at: dt.datetime, checkpoint: str) -> StreamingQuery:
+def stream_curate(raw: DataFrame, store: SnapshotStore, table: str, key: str, committed_at: dt.datetime, checkpoint: str, name: str | None = None) -> StreamingQuery:
     """Append the newest version per key of every batch to ``table``; :func:`read_curated` merges on read."""
 
+    stream = _stream_name(name, checkpoint)
+
     def merge(batch: DataFrame, batch_id: int) -> None:
-        store.append(table, newest_version(batch, key), f"batch-{batch_id}", committed_at)
+        store.append(table, newest_version(batch, key), f"{stream}-{batch_id}", committed_at)
 
     return raw.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
 

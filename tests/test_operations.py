@@ -108,7 +108,7 @@ def test_stream_ingest_restart_adds_only_new_files(spark, tmp_path):
     def deliver(name, records):
         (tmp_path / "in" / name).write_text("\n".join(json.dumps(r) for r in records), encoding="utf-8")
         stream = spark.readStream.schema(ARTICLES.input_schema()).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-        jobs.stream_ingest(stream, store, ARTICLES, "1", T0, str(tmp_path / "cp")).awaitTermination()
+        jobs.stream_ingest(stream, store, ARTICLES, "1", T0, str(tmp_path / "cp"), "stream").awaitTermination()
 
     base = {"source_version": "v", "source_uri": "u"}
     deliver("a.json", [{"pmid": "1", "title": "A", **base}, {"pmid": " ", "title": "x", **base}])
