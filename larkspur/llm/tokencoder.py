@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MAGIC = b"LRC1"
+MAGIC = b"LRC2"
 #: Bits of the order-0 histogram's total, of the weights' total, and of context tables.
 HISTOGRAM_BITS, WEIGHT_BITS, TABLE_BITS = 18, 12, 12
 _TOTAL_BITS = HISTOGRAM_BITS + WEIGHT_BITS
@@ -39,67 +39,79 @@ def scaled_histogram(counts: np.ndarray) -> np.ndarray:
     return scaled
 
 
+def _transitions() -> tuple[np.ndarray, np.ndarray]:
+    """By hit (bit 4) and confidence (bits 0 to 3): the change of a table entry, and whether the new id replaces it.
+
+    A hit adds one to the confidence up to 15, a miss halves it; a miss at confidence 1 or an empty entry takes the new id.
+    """
+    confidence = np.arange(_CONFIDENCES)
+    change = np.concatenate([(confidence >> 1) - confidence, confidence < _CONFIDENCES - 1]).astype(np.int32)
+    return change, np.concatenate([confidence <= 1, np.zeros(_CONFIDENCES, bool)])
+
+
+_CHANGE, _REPLACED = _transitions()
+
+
 class _Lanes:
-    """Adaptive state of the blocks of a segment, all at the same position."""
+    """Adaptive state of the blocks of a segment, all at the same position. Orders 1 and 2 are rows 0 and 1 of each array."""
 
     def __init__(self, lanes: int, histogram: np.ndarray):
-        self.n = lanes
-        self.own = np.arange(lanes, dtype=np.int64)
-        self.tables = np.zeros((2, lanes << TABLE_BITS), dtype=np.uint32)  # id << 4 | confidence; 0: nothing yet
-        self.rate = np.full((2, lanes * _CONFIDENCES), 1 << 10, dtype=np.int64)  # hit rate in 1 / 2**16
+        slots = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes)
+        self.table_base, self.rate_base = slots << TABLE_BITS, (slots << 4).astype(np.int32)
+        self.table = np.full(2 * lanes << TABLE_BITS, -16, dtype=np.int32)  # id << 4 | confidence; id -1 at confidence 0: nothing yet
+        self.rate = np.full(2 * lanes * _CONFIDENCES, 1 << 10, dtype=np.int32)  # hit rate in 1 / 2**16
+        self.rate[::_CONFIDENCES] = 0
         self.before, self.last = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-        self.frequency = histogram
-        self.below = np.cumsum(histogram) - histogram
+        self.hashed = np.zeros((2, lanes), dtype=np.int64)
+        self.frequency = histogram.astype(np.int32)
+        self.below = (np.cumsum(histogram) - histogram).astype(np.int32)
 
     def predict(self, m: int) -> None:
         """Predicted ids and weights of the first ``m`` lanes."""
-        last, base = self.last[:m], self.own[:m] << TABLE_BITS
-        self.place = (
-            base + ((last * 40503 >> 3) & ((1 << TABLE_BITS) - 1)),
-            base + ((last * 40503 + self.before[:m] * 60493 + (last * self.before[:m] >> 5)) & ((1 << TABLE_BITS) - 1)),
-        )
-        self.entry = [self.tables[k][self.place[k]].astype(np.int64) for k in (0, 1)]
-        self.guess = [e >> 4 for e in self.entry]
-        self.state = [(self.own[:m] << 4) + (e & 15) for e in self.entry]
-        rates = [np.where(self.entry[k] > 0, self.rate[k][self.state[k]] >> 4, 0) for k in (0, 1)]
-        two = np.minimum(rates[1], 4000)
-        one = rates[0] * (4064 - two) >> WEIGHT_BITS
-        self.weight = [one << HISTOGRAM_BITS, two << HISTOGRAM_BITS]
+        last, before, hashed = self.last[:m], self.before[:m], self.hashed[:, :m]
+        mixed = last * 40503
+        np.right_shift(mixed, 3, out=hashed[0])
+        np.add(mixed, before * 60493 + (last * before >> 5), out=hashed[1])
+        self.place = (hashed & ((1 << TABLE_BITS) - 1)) + self.table_base[:, :m]
+        self.entry = self.table[self.place]
+        self.guess, self.confidence = self.entry >> 4, self.entry & 15
+        self.state = self.rate_base[:, :m] + self.confidence
+        self.rates = self.rate[self.state]
+        scaled = self.rates >> 4
+        two = np.minimum(scaled[1], 4000)
+        one = scaled[0] * (4064 - two) >> WEIGHT_BITS
         self.rest = (1 << WEIGHT_BITS) - one - two
+        self.weight = np.stack([one, two]) << HISTOGRAM_BITS
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cumulative sum below the ids and their frequencies, in 1 / 2**30."""
-        below, size = self.rest * self.below[ids], self.rest * self.frequency[ids]
-        for k in (0, 1):
-            below = below + self.weight[k] * (ids > self.guess[k])
-            size = size + self.weight[k] * (ids == self.guess[k])
-        return below, size
+        self.hit = ids == self.guess
+        above, on = self.weight * (ids > self.guess), self.weight * self.hit
+        return self.rest * self.below[ids] + above[0] + above[1], self.rest * self.frequency[ids] + on[0] + on[1]
 
     def find(self, target: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold the targets: cut out the two point masses in order, else look up the histogram."""
-        swap = self.guess[0] > self.guess[1]
-        first, second = np.where(swap, self.guess[1], self.guess[0]), np.where(swap, self.guess[0], self.guess[1])
-        mass1, mass2 = np.where(swap, self.weight[1], self.weight[0]), np.where(swap, self.weight[0], self.weight[1])
+        guess = np.maximum(self.guess, 0)
+        swap = guess[0] > guess[1]
+        first, second = np.where(swap, guess[::-1], guess)
+        mass1, mass2 = np.where(swap, self.weight[::-1], self.weight)
         start1, start2 = self.rest * self.below[first], self.rest * self.below[second]
-        on1 = (target >= start1) & (target < start1 + self.rest * self.frequency[first] + mass1)
-        past1 = (target >= start1) & ~on1
+        past1 = target >= start1
+        on1 = past1 & (target - start1 < self.rest * self.frequency[first] + mass1)
+        past1 ^= on1
         left = target - mass1 * past1
-        on2 = past1 & (left >= start2) & (left < start2 + self.rest * self.frequency[second] + mass2)
-        left = left - mass2 * (past1 & (left >= start2) & ~on2)
-        slot = np.minimum(left // self.rest, len(slots) - 1)
+        past2 = past1 & (left >= start2)
+        on2 = past2 & (left - start2 < self.rest * self.frequency[second] + mass2)
+        left -= mass2 * (past2 ^ on2)
+        slot = np.minimum((left / self.rest).astype(np.int64), len(slots) - 1)
         return np.where(on1, first, np.where(on2, second, slots[slot]))
 
     def learn(self, ids: np.ndarray) -> None:
-        m = len(ids)
-        for k in (0, 1):
-            hit, seen, state = ids == self.guess[k], self.entry[k] > 0, self.state[k]
-            rate = self.rate[k][state]
-            self.rate[k][state] = rate + (np.where(seen, (hit * 65535 - rate), 0) >> 5)
-            confidence = self.entry[k] & 15
-            kept = hit & seen
-            doubted = ~kept & (confidence > 1)
-            new = np.where(kept, (self.guess[k] << 4) + np.minimum(confidence + 1, 15), np.where(doubted, (self.guess[k] << 4) + (confidence >> 1), (ids << 4) + 1))
-            self.tables[k][self.place[k]] = new.astype(np.uint32)
+        """Takes the ids of the positions that ``predict`` and ``interval`` looked at last."""
+        m, hit = len(ids), self.hit
+        self.rate[self.state] = self.rates + ((hit * np.int32(65535) - self.rates) >> 5)
+        move = self.confidence + (hit * np.int32(_CONFIDENCES))
+        self.table[self.place] = np.where(_REPLACED[move], (ids << 4) + 1, self.entry + _CHANGE[move])
         self.before[:m], self.last[:m] = self.last[:m].copy(), ids
 
 
@@ -126,8 +138,8 @@ class Segment:
 
 
 def encode_segment(ids: np.ndarray, block: int = 4096) -> bytes:
-    """All ids of a segment (below 2**28) as bytes: header, histogram, then count, checksum, size and payload per block."""
-    ids = np.ascontiguousarray(ids, dtype=np.int64)
+    """All ids of a segment (below 2**27) as bytes: header, histogram, then count, checksum, size and payload per block."""
+    ids = np.ascontiguousarray(ids, dtype=np.int32)
     counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
     histogram = scaled_histogram(counts)
     used = np.flatnonzero(histogram)
@@ -138,10 +150,9 @@ def encode_segment(ids: np.ndarray, block: int = 4096) -> bytes:
         return header
     sizes = np.full(lanes, block, dtype=np.int64)
     sizes[-1] = len(ids) - block * (lanes - 1)
-    grid = np.zeros((block, lanes), dtype=np.int64)
-    padded = np.zeros(block * lanes, dtype=np.int64)
+    padded = np.zeros(block * lanes, dtype=np.int32)
     padded[: len(ids)] = ids
-    grid[:] = padded.reshape(lanes, block).T
+    grid = np.ascontiguousarray(padded.reshape(lanes, block).T)
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
     words, filled = np.zeros((lanes, block + 4), dtype=np.uint32), np.zeros(lanes, dtype=np.int64)
     model = _Lanes(lanes, histogram)
@@ -191,17 +202,17 @@ def decode_segment(data: bytes) -> np.ndarray:
         sizes[lane], sums[lane], size = struct.unpack_from("<III", data, at)
         words[lane, : size // 4] = np.frombuffer(data, dtype="<u4", count=size // 4, offset=at + 12)
         at += 12 + size
-    slots = np.repeat(np.arange(len(histogram)), histogram)
+    slots = np.repeat(np.arange(len(histogram), dtype=np.int32), histogram)
     model = _Lanes(lanes, histogram)
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
     code = (words[:, 0].astype(np.uint64) << _U(32)) | words[:, 1]
     read = np.full(lanes, 2, dtype=np.int64)
-    grid = np.zeros((block, lanes), dtype=np.int64)
+    grid = np.zeros((block, lanes), dtype=np.int32)
     for t in range(int(sizes[0])):
         m = lanes if t < sizes[-1] else lanes - 1
         model.predict(m)
         unit = span[:m] >> _U(_TOTAL_BITS)
-        target = np.minimum((code[:m] - low[:m]) // unit, _U((1 << _TOTAL_BITS) - 1)).astype(np.int64)
+        target = np.minimum((code[:m] - low[:m]) // unit, _U((1 << _TOTAL_BITS) - 1)).astype(np.int32)
         now = model.find(target, slots)
         below, size = model.interval(now)
         low[:m] += unit * below.astype(np.uint64)

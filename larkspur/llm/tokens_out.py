@@ -7,16 +7,15 @@ Spark reaches can hold it.
 
 from __future__ import annotations
 
-import re
 import sys
 import types
 import zlib
-from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,82 +23,87 @@ from pyspark.sql import functions as F
 from larkspur.llm.tokencoder import decode_segment, encode_segment
 
 END_ID = 2
-_DOUBLE_BLANK = re.compile(r"\s\s|\x00")
-_MARK_AFTER_WORD = re.compile(r"(?<=[^\W_])([.,])")
+#: Texts are tokenized together up to this many bytes, or one longer text.
+RUN_BYTES = 1 << 24
+#: Two blanks of any kind in a row, or the mark used for cutting (RE2 syntax).
+_DOUBLE_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}|\x00"
+_MARK_AFTER_WORD = r"([A-Za-z0-9À-ÖØ-öø-ÿ])([.,])"
 
 
 class ChunkEncoder:
-    """Exact ids of a byte-level BPE tokenizer, with a bounded memo of text chunks.
+    """Exact ids of a byte-level BPE tokenizer. Each distinct text chunk of a batch is tokenized once.
 
     A text is cut only where the tokenizer's own pre-split always cuts: before a lone blank, around a lone line end, and before a
     full stop or comma after a letter or digit. Texts with blanks in a row, or with a special token's string, are encoded whole.
+    Distinct chunks that start with a blank are tokenized in a row: the ids that start with a blank show where each begins.
     """
 
-    def __init__(self, definition: str, room: int = 400_000):
+    def __init__(self, definition: str, in_a_row: int = 256):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room = Tokenizer.from_str(definition), room
+        self.tokenizer, self.in_a_row = Tokenizer.from_str(definition), in_a_row
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        size = self.tokenizer.get_vocab_size()
-        self.starts_blank = np.zeros(size, dtype=bool)
+        self.starts_blank = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.starts_blank[i] = token.startswith("Ġ")
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {"": 0}
-        self.first, self.size, self.pool = array("q", [0]), array("q", [0]), array("I")
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.int64) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _add(self, chunk: str, ids: np.ndarray) -> None:
-        self.place[chunk] = len(self.first)
-        self.first.append(len(self.pool))
-        self.size.append(len(ids))
-        self.pool.extend(ids.tolist())
-
-    def learn(self, chunks: set[str]) -> None:
-        new = sorted(chunks.difference(self.place))
-        spaced = [c for c in new if len(c) > 1 and c[0] == " " and not c[1].isspace()]
-        for first in range(0, len(spaced), 2048):
-            groups = [spaced[i : i + 32] for i in range(first, min(first + 2048, len(spaced)), 32)]
-            for group, coded in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
-                ids = np.array(coded.ids, dtype=np.int64)
-                for chunk, part in zip(group, np.split(ids, np.flatnonzero(self.starts_blank[ids])[1:])):
-                    self._add(chunk, part)
-        rest = [c for c in new if not (len(c) > 1 and c[0] == " " and not c[1].isspace())]
-        for chunk, ids in zip(rest, self.whole(rest)):
-            self._add(chunk, ids)
+        return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cuttable(self, texts: pa.Array) -> np.ndarray:
+        whole = pc.match_substring_regex(texts, _DOUBLE_BLANK)
+        for mark in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, mark))
+        return ~whole.to_numpy(zero_copy_only=False)
+
+    def _chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct chunks: all ids one after the other, and where each chunk's begin and how many they are."""
+        spaced = pc.and_(pc.starts_with(chunks, " "), pc.greater(pc.binary_length(chunks), 1)).to_numpy(zero_copy_only=False)
+        first, size = np.zeros(len(chunks), np.int32), np.zeros(len(chunks), np.int32)
+        row = chunks.filter(pa.array(spaced))
+        pool = [np.zeros(0, np.int32)]
+        if len(row):
+            offsets = np.frombuffer(row.buffers()[1], np.int64, len(row) + 1, row.offset * 8)
+            data, cuts = row.buffers()[2], [*range(0, len(row), self.in_a_row), len(row)]
+            pool += self.whole([data[offsets[a] : offsets[b]].to_pybytes().decode() for a, b in zip(cuts, cuts[1:])])
+        flat = np.concatenate(pool)
+        begins = np.flatnonzero(self.starts_blank[flat])
+        if len(begins) != len(row):
+            raise ValueError("the tokenizer does not keep a lone blank at the start of its chunk")
+        first[spaced], size[spaced] = begins, np.diff(begins, append=len(flat))
+        others = self.whole(chunks.filter(pa.array(~spaced)).to_pylist())
+        size[~spaced] = [len(x) for x in others]
+        first[~spaced] = len(flat) + np.cumsum(size[~spaced]) - size[~spaced]
+        return np.concatenate([flat, *others]), first, size
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, a bounded batch at a time."""
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if _DOUBLE_BLANK.search(text) or any(s in text for s in self.special):
-                cut.append(None)
-            else:
-                marked = _MARK_AFTER_WORD.sub("\x00\\1", text.replace("\n", "\x00\n\x00").replace(" ", "\x00 "))
-                cut.append(marked.split("\x00"))
-        if len(self.place) > self.room:
-            self.clear()
-        self.learn({c for chunks in cut if chunks is not None for c in chunks})
-        first, size, pool = (np.frombuffer(x, dtype=kind) for x, kind in ((self.first, np.int64), (self.size, np.int64), (self.pool or array("I", [0]), np.uint32)))
-        out = []
-        for text, chunks in zip(texts, cut):
-            if chunks is None:
-                out += self.whole([text])
-                continue
-            at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
-            sizes = size[at]
-            ends = np.cumsum(sizes)
-            out.append(pool[np.repeat(first[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]))].astype(np.int64))
-        del first, size, pool
+        """Ids of each text. What is held at once grows with the texts given, so callers pass bounded batches."""
+        every = pa.array(texts, pa.large_string())
+        cut = self._cuttable(every)
+        out: list[np.ndarray] = [None] * len(texts)
+        at_whole = np.flatnonzero(~cut)
+        for i, ids in zip(at_whole, self.whole([texts[i] for i in at_whole])):
+            out[i] = ids
+        if not cut.any():
+            return out
+        marked = pc.replace_substring_regex(every.filter(pa.array(cut)), _MARK_AFTER_WORD, "\\1\x00\\2")
+        marked = pc.replace_substring(pc.replace_substring(marked, "\n", "\x00\n\x00"), " ", "\x00 ")
+        split = pc.split_pattern(marked, "\x00")
+        coded = pc.dictionary_encode(split.flatten())
+        pool, first, size = self._chunk_ids(coded.dictionary)
+        at = coded.indices.to_numpy()
+        sizes = size[at]
+        ends = np.cumsum(sizes)
+        shift = (first[at] - (ends - sizes)).astype(np.int32)
+        flat = pool[np.repeat(shift, sizes) + np.arange(int(ends[-1]), dtype=np.int32)]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()[1:]]
+        for i, ids in zip(np.flatnonzero(cut), np.split(flat, bounds[:-1])):
+            out[i] = ids
         return out
 
 
 def _shared_encoder(definition: str) -> ChunkEncoder:
-    """The worker process keeps its encoder and memo from task to task."""
+    """The worker process keeps its encoder from task to task."""
     shelf = sys.modules.setdefault("_larkspur_worker", types.ModuleType("_larkspur_worker"))
     key = zlib.crc32(definition.encode())
     if key not in shelf.__dict__.setdefault("encoders", {}):
@@ -123,20 +127,22 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         def closed() -> pa.RecordBatch:
             doc_ids, parts = [d for d, _ in held], [x for _, x in held]
-            ids = np.concatenate([np.zeros(0, np.int64), *parts])
+            ids = np.concatenate([np.zeros(0, np.int32), *parts])
             sizes = [len(x) for x in parts]
             columns = [pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays([*columns, pa.array([encode_segment(ids, block)], pa.binary())], ["shard", "segment", "n_ids", "doc_ids", "sizes", "payload"])
 
         for batch in batches:
-            for first in range(0, batch.num_rows, 200):
-                part = batch.slice(first, 200)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts)):
+            texts, doc_ids = batch.column("text").fill_null(""), batch.column("doc_id").to_pylist()
+            text_bytes = pc.binary_length(texts).to_numpy()
+            runs = np.searchsorted(np.cumsum(text_bytes), np.arange(1, int(text_bytes.sum()) // RUN_BYTES + 1) * RUN_BYTES)
+            cuts = np.unique([0, *(runs + 1), batch.num_rows]).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                for doc_id, ids in zip(doc_ids[a:b], encoder.encode(texts.slice(a, b - a).to_pylist())):
                     if held and ids_held + len(ids) + 1 > segment_ids:
                         yield closed()
                         held, ids_held, segment = [], 0, segment + 1
-                    held.append((doc_id, np.append(ids, end_id)))
+                    held.append((doc_id, np.append(ids, np.int32(end_id))))
                     ids_held += len(ids) + 1
         if held:
             yield closed()
