@@ -24,7 +24,7 @@ from larkspur.llm.tokencoder import decode_segment, encode_segment
 
 END_ID = 2
 #: Texts are tokenized together up to this many bytes, or one longer text.
-RUN_BYTES = 1 << 24
+RUN_BYTES = 1 << 22
 #: Two blanks of any kind in a row, or the mark used for cutting (RE2 syntax).
 _DOUBLE_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}|\x00"
 _MARK_AFTER_WORD = r"([A-Za-z0-9À-ÖØ-öø-ÿ])([.,])"
@@ -89,14 +89,15 @@ class ChunkEncoder:
         marked = pc.replace_substring_regex(every.filter(pa.array(cut)), _MARK_AFTER_WORD, "\\1\x00\\2")
         marked = pc.replace_substring(pc.replace_substring(marked, "\n", "\x00\n\x00"), " ", "\x00 ")
         split = pc.split_pattern(marked, "\x00")
-        coded = pc.dictionary_encode(split.flatten())
+        coded, bounds = pc.dictionary_encode(split.flatten()), split.offsets.to_numpy()[1:]
+        del every, marked, split
         pool, first, size = self._chunk_ids(coded.dictionary)
         at = coded.indices.to_numpy()
         sizes = size[at]
         ends = np.cumsum(sizes)
         shift = (first[at] - (ends - sizes)).astype(np.int32)
         flat = pool[np.repeat(shift, sizes) + np.arange(int(ends[-1]), dtype=np.int32)]
-        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()[1:]]
+        bounds = np.concatenate([[0], ends])[bounds]
         for i, ids in zip(np.flatnonzero(cut), np.split(flat, bounds[:-1])):
             out[i] = ids
         return out
