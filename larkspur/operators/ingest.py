@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators.dedup import newest_version
 from larkspur.operators.normalise import mark_rejects, normalise, project_curated
-from larkspur.operators.quality import dq_results, gate, source_rules, split_quarantine
+from larkspur.operators.quality import dq_results, gate, run_dq, source_rules, split_quarantine
 from larkspur.sources.snapshots import SnapshotStore
 from larkspur.sources.specs import SourceSpec
 
@@ -28,9 +28,10 @@ class IngestRun:
 def ingest(store: SnapshotStore, records: DataFrame, spec: SourceSpec, run: IngestRun) -> DataFrame:
     """Ingest one delivery and return its rule results.
 
-    The records are parsed once into staged tables; the rules then scan the staged columns, and the run becomes visible
-    only when its log row is written. ``mode="block"`` refuses the run on any failing rule, ``mode="quarantine"``
-    sets bad rows aside and lets the rest pass.
+    The records are parsed once into staged tables; the rules judge every delivered record there, rejects included, and the
+    run becomes visible only when its log row is written. All violations are stored by run, also those of a refused run.
+    ``mode="block"`` refuses the run on any failing rule, ``mode="quarantine"`` sets bad rows aside and lets the rest pass;
+    its report still counts them. A refused delivery is repeated under a new run id.
     """
     marked = mark_rejects(records, spec)
     base = f"{spec.collection}_{run.run_id}"
@@ -43,7 +44,8 @@ def ingest(store: SnapshotStore, records: DataFrame, spec: SourceSpec, run: Inge
         good, bad = split_quarantine(good, source_rules(spec))
         broken = bad.withColumn("parse_error", F.array_join("dq_rules", ",")).drop("dq_rules")
         rejected = rejected.unionByName(broken)
-    results = dq_results(good, spec)
+    results = dq_results(parsed, spec)
+    store.append(f"{spec.raw_table}_violations", run_dq(parsed, spec), base, run.ingested_at, job_version=run.pipeline_version)
     if run.mode == "block":
         gate(results)
     store.append(f"{spec.raw_table}_rejects", rejected, base, run.ingested_at)

@@ -46,11 +46,13 @@ def refresh_index(store: SnapshotStore, spec: SourceSpec, run: IndexRun, at: dt.
     """Embed a curated table and publish its collection with the new points upserted. Returns one row ``indexed``.
 
     Curated rows are unique by key, so a first run needs no shuffle at all; later ones shuffle to replace old points.
+    A run that is already published is not computed again, whichever run came after it.
     """
-    ref = store.latest_snapshot_id(spec.curated_table)
-    points = index_rows(store.read(spec.curated_table, snapshot_id=ref), spec, ref, run)
     name = index_table(spec)
-    if store.latest_snapshot_id(name) not in (UNKNOWN, run.run_id):
-        points = upsert_points(store.read(name), points)
-    store.write(name, points, run.run_id, at)
+    if not store.has(name, run.run_id):
+        ref = store.latest_snapshot_id(spec.curated_table)
+        points = index_rows(store.read(spec.curated_table, snapshot_id=ref), spec, ref, run)
+        if store.latest_snapshot_id(name) != UNKNOWN:
+            points = upsert_points(store.read(name), points)
+        store.write(name, points, run.run_id, at)
     return store.read(name).filter(F.col("indexing_run_id") == run.run_id).agg(F.count(F.lit(1)).alias("indexed"))

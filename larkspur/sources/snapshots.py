@@ -44,6 +44,12 @@ def _in_order(commits: list[Row]) -> list[Row]:
     return sorted(commits, key=lambda c: (c["table_name"], c["committed_at"], c["seq"]))
 
 
+def _folders(commits: list[Row]) -> list[str]:
+    """Folders of a table after its commits: those of the last replacing commit and of every append since."""
+    base = max((i for i, c in enumerate(commits) if c["operation"] != "append"), default=0)
+    return list(dict.fromkeys(p for c in commits[base:] for p in c["paths"]))
+
+
 @dataclass
 class SnapshotStore:
     """A folder of snapshot tables. The log is read once per store and again before each commit."""
@@ -78,8 +84,13 @@ class SnapshotStore:
         commits = self._commits(table, as_of)
         return commits[-1]["snapshot_id"] if commits else UNKNOWN
 
+    def has(self, table: str, snapshot_id: str) -> bool:
+        """Whether the snapshot id is committed, by a fresh look at the log."""
+        self.refresh()
+        return any(c["snapshot_id"] == snapshot_id for c in self._commits(table))
+
     def stage(self, table: str, df: DataFrame, snapshot_id: str) -> str:
-        """Write the data of a snapshot without making it visible; a repeat replaces it.
+        """Write the data of a snapshot without making it visible; a repeat before the commit replaces it.
 
         Every run has its own folder, so the folders are the run partitions of an appended table.
         """
@@ -91,14 +102,14 @@ class SnapshotStore:
         self, table: str, snapshot_id: str, committed_at: dt.datetime, operation: str = "overwrite",
         paths: list[str] | None = None, job_version: str | None = None,
     ) -> str:
-        """Make a staged snapshot current. A snapshot id that is already committed is left as it is."""
-        self.refresh()
-        commits = self._commits(table)
-        if operation != "rollback" and any(c["snapshot_id"] == snapshot_id for c in commits):
+        """Make a staged snapshot current. A snapshot id that is already committed is left as it is.
+
+        The log row of an append names its own folder only, so writers that append at the same time never hide each other.
+        """
+        if self.has(table, snapshot_id) and operation != "rollback":
             return snapshot_id
+        commits = self._commits(table)
         data = paths or [f"{self.root}/{table}/{snapshot_id}"]
-        if operation == "append" and commits:
-            data = [*commits[-1]["paths"], *data]
         values = (table, snapshot_id, committed_at, len(commits), operation, data, job_version)
         row = [
             (F.array(*[F.lit(p) for p in v]) if isinstance(v, list) else F.lit(v)).cast(f.dataType).alias(f.name)
@@ -112,6 +123,9 @@ class SnapshotStore:
         self, table: str, df: DataFrame, snapshot_id: str, committed_at: dt.datetime, operation: str = "overwrite",
         job_version: str | None = None,
     ) -> str:
+        """Stage and publish. Data of a committed snapshot id is never written again."""
+        if self.has(table, snapshot_id):
+            return snapshot_id
         self.stage(table, df, snapshot_id)
         return self.publish(table, snapshot_id, committed_at, operation, job_version=job_version)
 
@@ -122,17 +136,22 @@ class SnapshotStore:
         """The current table, the table at a time, or a recorded snapshot."""
         commits = self._commits(table, as_of)
         if snapshot_id is not None:
-            commits = [c for c in commits if c["snapshot_id"] == snapshot_id]
+            commits = self._until(commits, snapshot_id)
         if not commits:
             raise ValueError(f"no snapshot of {table!r} for as_of={as_of} snapshot_id={snapshot_id}")
-        return self.spark.read.parquet(*commits[-1]["paths"])
+        return self.spark.read.parquet(*_folders(commits))
+
+    @staticmethod
+    def _until(commits: list[Row], snapshot_id: str) -> list[Row]:
+        """The commits up to the last one of a snapshot id; none if there is no such commit."""
+        return commits[: max((i for i, c in enumerate(commits, 1) if c["snapshot_id"] == snapshot_id), default=0)]
 
     def rollback(self, table: str, snapshot_id: str, committed_at: dt.datetime) -> str:
         """Make an earlier snapshot current again by a new log row that points at its data."""
-        commits = [c for c in self._commits(table) if c["snapshot_id"] == snapshot_id]
+        commits = self._until(self._commits(table), snapshot_id)
         if not commits:
             raise ValueError(f"no snapshot {snapshot_id!r} of {table!r}")
-        return self.publish(table, snapshot_id, committed_at, "rollback", paths=list(commits[-1]["paths"]))
+        return self.publish(table, snapshot_id, committed_at, "rollback", paths=_folders(commits))
 
     def list_datasets(self) -> DataFrame:
         """One row per table and column: ``table_name, snapshot_id, column_name, data_type, position``."""

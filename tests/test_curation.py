@@ -108,7 +108,7 @@ def test_gate_blocks_and_nothing_is_published(spark, deliver):
 
 def test_ingest_curate_rerun(spark, deliver):
     store = SnapshotStore(spark, workspace(spark, "ingest"))
-    run = IngestRun("r1", "1.0", NOW)
+    run = IngestRun("r1", "1.0", NOW, mode="quarantine")
     for _ in range(2):  # a repeated run changes nothing
         ingest(store, deliver([article("1"), article("2"), article(None)], ARTICLES), ARTICLES, run)
     ingest(store, deliver([article("2", title="new")], ARTICLES, "b.json"), ARTICLES, IngestRun("r2", "1.0", NOW + dt.timedelta(days=1)))
@@ -123,9 +123,46 @@ def test_ingest_curate_rerun(spark, deliver):
 
 def test_quarantine_mode(spark, deliver):
     store = SnapshotStore(spark, workspace(spark, "quarantine"))
-    ingest(store, deliver([article("1"), article("2", title=" ")], ARTICLES), ARTICLES, IngestRun("r", "1", NOW, mode="quarantine"))
+    delivery = deliver([article("1"), article("2", title=" "), article(None)], ARTICLES)
+    results = {r["rule_id"]: r for r in ingest(store, delivery, ARTICLES, IngestRun("r", "1", NOW, mode="quarantine")).collect()}
+    assert {name: (r["outcome"], r["failed_count"], r["record_count"]) for name, r in results.items()} == {
+        "DQ-PUB-RAW-1": ("FAIL", 1, 3), "DQ-PUB-CUR-2": ("FAIL", 1, 3), "DQ-P1": ("PASS", 0, 3), "DQ-PUB-CUR-1": ("PASS", 0, 3)}
+    violations = store.read("raw_articles_violations").collect()
+    assert {(r["rule_id"], r["record_id"]) for r in violations} == {("DQ-PUB-RAW-1", "unknown"), ("DQ-PUB-CUR-2", "2")}
     assert [r["pmid"] for r in store.read("raw_articles").collect()] == ["1"]
-    assert [(r["pmid"], r["parse_error"]) for r in store.read("raw_articles_rejects").collect()] == [("2", "DQ-PUB-CUR-2")]
+    rejects = {(r["pmid"], r["parse_error"]) for r in store.read("raw_articles_rejects").collect()}
+    assert rejects == {("2", "DQ-PUB-CUR-2"), (None, "Record is missing required field 'pmid'")}
+
+
+@pytest.mark.parametrize("spec, record, rule", [(ARTICLES, article(None), "DQ-PUB-RAW-1"), (TRIALS, trial(" "), "DQ-CT-RAW-1")])
+def test_missing_id_refuses_a_run(spark, deliver, spec, record, rule):
+    store = SnapshotStore(spark, workspace(spark, "missing"))
+    with pytest.raises(dq.QualityGateError, match=rule):
+        ingest(store, deliver([record], spec), spec, IngestRun("r", "1", NOW))
+    assert store.latest_snapshot_id(spec.raw_table) == UNKNOWN
+    assert rule in {r["rule_id"] for r in store.read(f"{spec.raw_table}_violations").collect()}
+
+
+def test_appends_at_the_same_time_are_both_kept(spark):
+    root = workspace(spark, "appends")
+    first, second = SnapshotStore(spark, root), SnapshotStore(spark, root)
+    first.append("t", spark.range(0, 2), "a", NOW)
+    second.refresh()
+    first.append("t", spark.range(10, 12), "b", NOW)
+    second.refresh = lambda: None  # has not seen the other's commit
+    second.append("t", spark.range(20, 23), "c", NOW)
+    assert sorted(r["id"] for r in SnapshotStore(spark, root).read("t").collect()) == [0, 1, 10, 11, 20, 21, 22]
+
+
+def test_a_committed_snapshot_stays(spark):
+    store = SnapshotStore(spark, workspace(spark, "committed"))
+    store.write("t", spark.range(3), "s1", NOW)
+    store.append("t", spark.range(5, 6), "s2", NOW + dt.timedelta(days=1))
+    store.write("t", spark.range(7), "s1", NOW + dt.timedelta(days=2))
+    assert (store.read("t", snapshot_id="s1").count(), store.read("t").count()) == (3, 4)
+    store.write("t", spark.range(1), "s3", NOW + dt.timedelta(days=3))
+    store.rollback("t", "s2", NOW + dt.timedelta(days=4))
+    assert (store.read("t").count(), store.read("t", snapshot_id="s3").count()) == (4, 1)
 
 
 def test_corrupt_lines_are_rejected(spark, tmp_path):

@@ -31,3 +31,7 @@ def test_refresh_jobs(spark):
     assert jobs.refresh_index(store, ARTICLES, IndexRun("i2"), later).first()["indexed"] == 2
     points = {r["doc_id"]: (r["title"], r["indexing_run_id"], r["snapshot_ref"]) for r in store.read("index_articles").collect()}
     assert points == {"PMID:1": ("a b", "i1", "a1"), "PMID:2": ("c d e", "i2", "a2"), "PMID:3": ("f", "i2", "a2")}
+
+    for run in ("i2", "i1"):  # repeated runs, also an older one, drop nothing
+        jobs.refresh_index(store, ARTICLES, IndexRun(run), later)
+        assert store.read("index_articles").count() == 3
