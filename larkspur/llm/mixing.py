@@ -1,7 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are summed per cell (source, language, topic). Raking scales the cells until the token shares of every marginal meet
-their targets; the factor of a cell, divided by the largest one, is the probability with which its documents are drawn.
+their targets; the factor of a cell, divided by the largest one, is the probability with which its documents are drawn. Cells that
+hold next to nothing of the mixture do not count as the largest one, so that a handful of rows can't thin out all others.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OTHER = "other"
+#: Share of the mixture's tokens that may be missed, so that cells of a few rows do not set the scale of the draw.
+SLACK = 0.001
 
 
 @dataclass(frozen=True)
 class Marginal:
-    """Target shares of the named values of ``column``; all further values and nulls are ``other`` and get what is left."""
+    """Target shares of the named values of ``column``; all further values and nulls are ``other`` and get what is left, but no more
+    than they have. A share stated for ``other`` itself counts like that of a name."""
 
     name: str
     column: Column
@@ -29,10 +33,14 @@ class Marginal:
     def values(self) -> list[str]:
         return [*sorted(v for v in self.shares if v != OTHER), OTHER]
 
-    def targets(self) -> np.ndarray:
+    def targets(self, tokens: np.ndarray) -> np.ndarray:
+        """Targets of ``values`` that hold ``tokens``. What ``other`` lacks is spread over the names in proportion to their shares."""
         given = np.array([self.shares.get(v, 0.0) for v in self.values()])
-        if OTHER not in self.shares:
-            given[-1] = max(0.0, 1.0 - given.sum())
+        if OTHER in self.shares:
+            return given
+        left, named = max(0.0, 1.0 - given.sum()), given.sum()
+        given[-1] = min(left, tokens[-1] / max(tokens.sum(), 1.0))
+        given[:-1] *= (1.0 - given[-1]) / named if named > 0 else 1.0
         return given
 
 
@@ -62,6 +70,20 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 500, toler
     return np.divide(fitted, tokens, out=np.zeros(tokens.shape), where=tokens > 0)
 
 
+def chances_of(tokens: np.ndarray, factors: np.ndarray, slack: float = SLACK) -> np.ndarray:
+    """Drawing probabilities in proportion to ``factors``, as large as they can be.
+
+    The cells of the largest factors that together make up at most ``slack`` of the mixture are drawn whole and lack the rest of their
+    share; the next factor sets the scale. Every other cell has its exact proportion.
+    """
+    if factors.max() <= 0:
+        return np.ones(tokens.shape)
+    falling = np.argsort(-factors, axis=None, kind="stable")
+    made_up = np.cumsum((tokens * factors).ravel()[falling])
+    scale = factors.ravel()[falling[np.searchsorted(made_up, slack * made_up[-1], side="right")]]
+    return np.minimum(1.0, factors / scale)
+
+
 def with_probabilities(docs: DataFrame, marginals: list[Marginal], tokens: Column) -> DataFrame:
     """Every row of ``docs`` with ``mix_tokens`` and ``mix_probability`` (columns of these names are replaced).
 
@@ -74,8 +96,8 @@ def with_probabilities(docs: DataFrame, marginals: list[Marginal], tokens: Colum
     grid = np.zeros([len(p) for p in places])
     for row in sums:
         grid[tuple(place[row[i]] for i, place in enumerate(places))] = float(row["n"] or 0)
-    factors = rake(grid, [m.targets() for m in marginals])
-    share = factors / factors.max() if factors.max() > 0 else np.ones(grid.shape)
+    totals = [grid.sum(axis=tuple(i for i in range(grid.ndim) if i != axis)) for axis in range(grid.ndim)]
+    share = chances_of(grid, rake(grid, [m.targets(n) for m, n in zip(marginals, totals)]))
     place = F.lit(0)
     for marginal, size in zip(marginals, grid.shape):
         names = F.array(*[F.lit(v) for v in marginal.values()])

@@ -173,6 +173,26 @@ def test_mix(spark, docs):
     assert mixing.mix(empty(spark), marginals, mixing.word_count(F.col("text"))).count() == 0
 
 
+def test_few_unnamed_rows_leave_the_mixture(spark):
+    sources, langs = {f"s{i}": 0.1 for i in range(9)}, {"en": 0.5, "de": 0.3, "fr": 0.16}
+    marginals = [mixing.Marginal("source", F.col("source"), sources), mixing.Marginal("lang", F.col("lang"), langs)]
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 9).alias("source"), F.element_at(F.array(*map(F.lit, langs)), (F.col("id") % 7 % 3 + 1).cast("int")).alias("lang"), F.lit(100).alias("n"))
+    odd = spark.createDataFrame([(9000, None, "fr", 1), (9001, "new", "en", 100), (9002, "s1", None, 100), (9003, "s2", "xx", 1), (9004, None, None, 1)], "doc_id long, source string, lang string, n int")
+
+    def kept(docs):
+        rated = mixing.with_probabilities(docs, marginals, F.col("n"))
+        return {r.doc_id: r.mix_probability for r in rated.collect()}
+
+    before, one, more = kept(rows), kept(rows.union(odd.limit(1))), kept(rows.union(odd))
+    assert sum(one.values()) > 0.99 * sum(before.values()) and sum(more.values()) > 0.99 * sum(before.values())
+    lang_of = {r.doc_id: r.lang for r in rows.collect()}
+    shares = {v: sum(p for d, p in more.items() if lang_of.get(d) == v) / sum(more.values()) for v in langs}
+    assert all(shares[v] == pytest.approx(langs[v] / 0.96, abs=0.002) for v in langs)
+    # Many unnamed rows still get no more than what is left.
+    many = kept(rows.union(rows.select(F.col("doc_id") + 20000, F.lit("new"), "lang", "n")))
+    assert sum(p for d, p in many.items() if d >= 20000) / sum(many.values()) == pytest.approx(0.1, abs=1e-6)
+
+
 # 7 class model
 
 
