@@ -1,6 +1,7 @@
 """Benchmark decontamination with SimHash over item-sized windows, in DataFrame functions only.
 
-Windows of as many words as an item are fingerprinted (64-bit SimHash of their 5-word shingles). Fingerprints are cut into blocks;
+Windows of as many words as an item are fingerprinted (64-bit SimHash of their 5-word shingles); a document that is shorter than the
+item is one window as a whole. Fingerprints are cut into blocks;
 item blocks are listed with all their allowed bit errors, so an equi-join on blocks meets every window within the radius
 (pigeonhole). Candidates are confirmed by the exact weighted similarity of the shingle multisets.
 
@@ -47,9 +48,9 @@ def with_shingles(rows: DataFrame, *kept: str) -> DataFrame:
     return rows.select(*kept, words_of(F.col("text")).alias("words")).select(*kept, shingles_of(F.col("words")).alias("shingles"))
 
 
-def needed(n: Column) -> Column:
-    """Shingles that a window of ``n`` shingles must share with an item of ``n``: 100 * same >= 75 * (2 n - same)."""
-    return F.ceil(F.lit(2 * LEAST_PERCENT) * n / (100 + LEAST_PERCENT)).cast("int")
+def needed(n: Column, size: Column) -> Column:
+    """Shingles that a window of ``size`` shingles must share with an item of ``n``: 100 * same >= 75 * (n + size - same)."""
+    return F.ceil(F.lit(LEAST_PERCENT) * (n + size) / (100 + LEAST_PERCENT)).cast("int")
 
 
 def fingerprint(rows: DataFrame, keys: list[str], hashed: str) -> DataFrame:
@@ -91,10 +92,11 @@ def _met(placed: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def leaking_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, item_id, start, n, same``: every window of a document that is similar enough to an item of its size.
+    """``doc_id, item_id, start, n, size, same``: every window of a document that is similar enough to an item.
 
-    ``start`` is the window's first word (from 0), ``n`` its shingles, ``same`` the shingles it shares with the item, counted as
-    often as both have them. Similarity: 100 * same >= 75 * (2 n - same). Items of fewer than five words are one shingle and are met by
+    ``start`` is the window's first word (from 0), ``n`` the item's shingles, ``size`` the window's: as many, or those of the whole
+    document where it has fewer. ``same`` are the shingles it shares with the item, counted as often as both have them.
+    Similarity: 100 * same >= 75 * (n + size - same). Items of fewer than five words are one shingle and are met by
     whole documents of the same words only. Null ids, null texts and texts without words leak nothing. Rows that repeat an id
     are one document each and give their windows once. Other columns are not read.
     """
@@ -103,12 +105,13 @@ def leaking_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
 
     # 1. Shingles of the corpus that an item has; rare, as most of a corpus has nothing to do with a benchmark.
-    placed = with_shingles(texts, "doc_id").select("doc_id", F.posexplode_outer("shingles").alias("at", "shingle"))
-    hits = _met(placed, item_counts.select("shingle", "item_id", "n")).select("doc_id", "item_id", "n", "at").distinct()
+    placed = with_shingles(texts, "doc_id").select("doc_id", F.size("shingles").alias("m"), F.posexplode_outer("shingles").alias("at", "shingle"))
+    hits = _met(placed, item_counts.select("shingle", "item_id", "n")).select("doc_id", "m", "item_id", "n", "at").distinct()
 
-    # 2. Window starts that leave room for enough hits: the i-th hit is the first in the window and the needed-th is inside.
-    runs = hits.groupBy("doc_id", "item_id", "n").agg(F.array_sort(F.collect_list("at")).alias("at")).filter(F.size("at") >= 1)
-    need = needed(F.col("n"))
+    # 2. Window starts that leave room for enough hits: the i-th hit is the first in the window and the needed-th is inside. A
+    # document shorter than the item has one window only, from 0.
+    runs = hits.groupBy("doc_id", "m", "item_id", "n").agg(F.array_sort(F.collect_list("at")).alias("at")).filter(F.size("at") >= 1)
+    need = needed(F.col("n"), F.least("n", "m"))
 
     def starts(i: Column) -> Column:
         first, last = F.get("at", i), F.get("at", i + F.col("need") - 1)
@@ -116,7 +119,8 @@ def leaking_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return F.when(low <= first, F.sequence(low, F.greatest(low, first))).otherwise(F.array().cast("array<int>"))
 
     dense = runs.withColumn("need", need).filter(F.size("at") >= F.col("need"))
-    opened = dense.select("doc_id", "item_id", "n", F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), starts)).alias("starts"))
+    several = F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), starts))
+    opened = dense.select("doc_id", "item_id", "n", F.when(F.col("m") < F.col("n"), F.array(F.lit(0))).otherwise(several).alias("starts"))
     windows = stored(opened.select("doc_id", "item_id", "n", F.explode(F.array_distinct("starts")).alias("start")), "windows")
 
     # 3. Fingerprints of those windows, from the whole texts of their documents.
@@ -124,8 +128,9 @@ def leaking_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hashed = with_shingles(texts.join(asked, "doc_id"), "doc_id", "asked").distinct()
     cut = hashed.select("doc_id", F.xxhash64("shingles").alias("version"), "shingles", F.explode("asked").alias("w"))
     cut = cut.select("doc_id", "version", F.col("w.start").alias("start"), F.col("w.n").alias("n"), F.slice("shingles", F.col("w.start") + 1, F.col("w.n")).alias("part"))
-    inside = stored(cut.filter(F.size("part") == F.col("n")).select("doc_id", "version", "start", "n", F.explode("part").alias("shingle")), "inside")
-    keys = ["doc_id", "version", "start", "n"]
+    cut = cut.withColumn("size", F.size("part")).filter((F.col("size") == F.col("n")) | (F.col("start") == 0))
+    keys = ["doc_id", "version", "start", "n", "size"]
+    inside = stored(cut.select(*keys, F.explode("part").alias("shingle")), "inside")
     prints = stored(fingerprint(inside, keys, "shingle"), "prints")
 
     # 4. Multi-index join on blocks, then the radius.
@@ -140,16 +145,16 @@ def leaking_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     window_counts = inside.groupBy(*keys, "shingle").agg(F.count("*").alias("times"))
     both = window_counts.join(close, keys).join(item_counts, ["item_id", "n", "shingle"])
     same = both.groupBy("item_id", *keys).agg(F.sum(F.least("times", "item_times")).alias("same"))
-    sure = same.filter(100 * F.col("same") >= LEAST_PERCENT * (2 * F.col("n") - F.col("same")))
-    return sure.groupBy("doc_id", "item_id", "start", "n").agg(F.max("same").alias("same"))
+    sure = same.filter(100 * F.col("same") >= LEAST_PERCENT * (F.col("n") + F.col("size") - F.col("same")))
+    return sure.groupBy("doc_id", "item_id", "start", "n", "size").agg(F.max("same").alias("same"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per leaking document and item: ``doc_id, item_id, start, n_words, similarity`` of the best window (the first of
-    equals)."""
-    best = leaking_windows(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max(F.struct("same", -F.col("start"), "n")).alias("top"))
-    flat = best.select("doc_id", "item_id", (-F.col("top.col2")).cast("long").alias("start"), F.col("top.n").alias("n"), F.col("top.same").alias("same"))
-    return flat.select("doc_id", "item_id", "start", F.col("n").cast("long").alias("n_shingles"), (F.col("same") / (2 * F.col("n") - F.col("same"))).alias("similarity"))
+    """One row per leaking document and item: ``doc_id, item_id, start, n_shingles, similarity`` of the best window (the first of
+    equals). ``n_shingles`` are the window's."""
+    best = leaking_windows(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max(F.struct("same", (-F.col("start")).alias("before"), "size", (-F.col("n")).alias("less"))).alias("top"))
+    flat = best.select("doc_id", "item_id", (-F.col("top.before")).cast("long").alias("start"), F.col("top.size").alias("size"), (-F.col("top.less")).alias("n"), F.col("top.same").alias("same"))
+    return flat.select("doc_id", "item_id", "start", F.col("size").cast("long").alias("n_shingles"), (F.col("same") / (F.col("n") + F.col("size") - F.col("same"))).alias("similarity"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

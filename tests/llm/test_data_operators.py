@@ -316,3 +316,33 @@ def test_leaks_equal_brute_force(spark, docs):
     clean = decontam.keep_clean(every, bench)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in every.collect()} - {d for d, _ in want}
     assert decontam.leaks(empty(spark), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_documents_shorter_than_an_item_leak(spark):
+    item = [f"x{i}" for i in range(40)]
+    changed = [*item[:37]]
+    changed[18] = "other"
+    texts = {
+        1: item[:38], 2: item[2:], 3: item[:31], 4: item[:30], 5: changed, 6: item[1:10], 7: ["x1"], 8: [*item[:20], *item[:18]],
+        9: [*item[:39], "y", "z"], 10: ["a1", "a2", "a3", "a4", "a5", "a6"], 11: ["a1", "a2", "a3", "a4"], 12: [f"a{i}" for i in range(2, 9)],
+    }
+    rows = [(d, " ".join(words)) for d, words in texts.items()] + [(4, " ".join(item[:38])), (1, " ".join(item[:38]))]
+    items = {1: item, 2: [f"a{i}" for i in range(1, 9)]}
+
+    def grams(words):
+        return [tuple(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [tuple(words)] * bool(words)
+
+    want = {}
+    for d, text in rows:
+        for k, words in items.items():
+            g, own = grams(words), grams(text.split())
+            for s in range(max(1, len(own) - len(g) + 1)):
+                window = own[s : s + len(g)]
+                same = sum(min(window.count(x), g.count(x)) for x in set(window))
+                if 100 * same >= 75 * (len(g) + len(window) - same):
+                    want[d, k] = max(want.get((d, k), (0,)), (same, -s, len(window), same / (len(g) + len(window) - same)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(words)) for k, words in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (-r.start, r.n_shingles, r.similarity) for r in decontam.leaks(docs, bench).collect()}
+    assert got == {k: v[1:] for k, v in want.items()} and {1, 2, 3, 4, 9, 12} == {d for d, _ in want}
+    assert {r.doc_id for r in decontam.keep_clean(docs, bench).collect()} == set(texts) - {d for d, _ in want}
