@@ -1,7 +1,8 @@
 """URL filter: a bit-parallel wildcard automaton over canonical URLs.
 
 All globs are laid side by side in one bit string of 64-bit words. For each byte of a URL the state of every glob moves on by
-one shift and one mask (Shift-And); a ``*`` keeps its bit set. A batch of URLs advances together, so one numpy step moves
+one shift and one mask (Shift-And); a ``*`` keeps its bit set. The star before a subdomain keeps it up to the first ``/`` only, which
+is where the path begins. A batch of URLs advances together, so one numpy step moves
 all globs of all URLs by one byte.
 """
 
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STAR = -1
+#: Any bytes but ``/``.
+HOST_STAR = -2
 
 
 @dataclass(frozen=True)
@@ -33,7 +36,7 @@ class HostRule:
 
     def globs(self) -> list[list[int]]:
         tail = list((self.host + self.path).encode())
-        return [[*tail, STAR], [STAR, ord("."), *tail, STAR]]
+        return [[*tail, STAR], [HOST_STAR, ord("."), *tail, STAR]]
 
 
 @dataclass(frozen=True)
@@ -48,15 +51,17 @@ class GlobRule:
 
 
 class Automaton:
-    """Masks of a list of globs (lists of bytes and ``STAR``) in words of 64 bits."""
+    """Masks of a list of globs (lists of bytes, ``STAR`` and ``HOST_STAR``) in words of 64 bits."""
 
     def __init__(self, globs: list[list[int]]):
-        starts, ends, loops, moves, at = [], [], [], [], 0
+        starts, ends, loops, host_loops, moves, at = [], [], [], [], [], 0
         for glob in globs:
             starts.append(at)
             for c in glob:
                 if c == STAR:
                     loops.append(at)
+                elif c == HOST_STAR:
+                    host_loops.append(at)
                 else:
                     at += 1
                     moves.append((c, at))
@@ -64,7 +69,9 @@ class Automaton:
             at += 1
         self.words = max(1, -(-at // 64))
         self.ends = np.array(ends, dtype=np.int64)
-        self.start, self.loop = self._mask(starts), self._mask(loops)
+        self.start = self._mask(starts)
+        self.loop = np.repeat(self._mask([*loops, *host_loops])[None, :], 256, axis=0)
+        self.loop[ord("/")] = self._mask(loops)
         self.step = np.zeros((256, self.words), dtype=np.uint64)
         for c, bit in moves:
             self.step[c, bit >> 6] |= np.uint64(1) << np.uint64(bit & 63)
@@ -94,8 +101,9 @@ class Automaton:
                 now = state[:alive]
                 moved = now << one
                 moved[:, 1:] |= now[:, :-1] >> top
-                moved &= self.step[text[begin[:alive] + position]]
-                state[:alive] = moved | (now & self.loop)
+                byte = text[begin[:alive] + position]
+                moved &= self.step[byte]
+                state[:alive] = moved | (now & self.loop[byte])
             hit = (state[:, self.ends >> 6] >> (self.ends & 63).astype(np.uint64)) & one
             for lane, i in enumerate(own):
                 yield int(i), np.flatnonzero(hit[lane])

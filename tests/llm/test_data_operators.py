@@ -104,6 +104,20 @@ def test_url_rules(spark):
     assert urls.judge_urls(df.limit(0), rules, []).count() == 0
 
 
+def test_host_rules_do_not_match_inside_the_path(spark):
+    rules = [urls.HostRule("net", "/", "block"), urls.HostRule("example.net", "/en/", "allow")]
+    want = {
+        "http://example.com/asp.net/x": None, "http://a.com/old/www.example.net/en/1": None, "http://a.com/.net/": None, "http://a.com//x.example.net/en/": None, "http:///x.net/": None,
+        "http://a.b.net/old/www.example.net/en/1": "net/", "http://www.example.net/de/x.example.net/en/": "net/", "http://a.www.example.net/en/asp.net/": "example.net/en/",
+        "http://net/x": "net/", "http://.net/": "net/", "http://example.net.net/en/": "net/",
+    }
+    df = spark.createDataFrame([(u,) for u in want], "url string")
+    assert {r.url: r.rule for r in urls.judge_urls(df, rules, []).collect()} == want
+    # A glob still runs over the path.
+    spam = urls.judge_urls(df, [], [urls.GlobRule("*asp.*", "block")]).filter("verdict = 'block'").collect()
+    assert {r.url for r in spam} == {u for u in want if "asp." in u}
+
+
 # 3 quality, 5 toxicity
 
 
