@@ -1,7 +1,7 @@
 """Range coder over token ids, driven by mixed order-0 to order-2 predictions.
 
 A segment of ids is cut into blocks. Every block starts from a fresh model and coder and carries its own checksum, so any block
-decodes by itself. All blocks of a segment are coded in step, one numpy lane each.
+decodes from itself and the segment's header, which holds the histogram. All blocks of a segment are coded in step, one numpy lane each.
 
 Model of the next id: a mixture of three distributions. Orders 1 and 2 each predict the id that last followed the previous one or
 two ids, with a confidence; order 0 is the segment's id histogram. The weights of orders 1 and 2 are their hit rates so far
