@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import classlm, decontam, langid, linededup, mixing, neardup, quality_rank, tokens_out, topk, toxicity, urls
+from larkspur.llm import classlm, decontam, langid, linededup, mixing, neardup, quality_rank, runs, tokens_out, topk, toxicity, urls
 from larkspur.llm.common import fold_of, table
 from larkspur.plans.register import new_register
 from larkspur.session import workspace
@@ -168,6 +168,46 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+_RUNS_SQL = r"""
+WITH ids AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: ascii(d)::BIGINT)), lambda c, b: list_reduce(
+      list_prepend(xor(c, b), range(8)), lambda y, i: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)), 4294967295) AS h
+  FROM documents),
+cut AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, h, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM ids),
+words AS MATERIALIZED (
+  SELECT doc_id, n, i, CASE WHEN i < a THEN w[i + 1] WHEN a IS NULL THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM cut)),
+same AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same),
+found AS (
+  SELECT doc_id, start, length, min(q) AS period FROM (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island)
+  WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM found),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS rest FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM found GROUP BY doc_id),
+best AS (
+  SELECT f.* FROM found f ANTI JOIN found g
+    ON f.doc_id = g.doc_id AND (g.length * f.period > f.length * g.period OR (g.length * f.period = f.length * g.period AND (g.start < f.start OR (g.start = f.start AND g.period < f.period)))))
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op11_periodic_runs", _RUNS_SQL)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, strongest and digest of the periodic runs of every document, and a digest of its words without the repeats."""
+    docs = runs.with_repeated_tail(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = runs.periodic_runs(docs).withColumn("top", runs.strongest(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    milli = F.expr("1000 * top.length div top.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", milli.alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 _LINES_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 e AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS pos, unnest(lines) AS line FROM d),
