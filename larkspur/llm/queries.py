@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import classlm, decontam, langid, linededup, mixing, neardup, quality_rank, runs, tokens_out, topk, toxicity, urls
+from larkspur.llm import align, classlm, decontam, langid, linededup, mixing, neardup, quality_rank, runs, tokens_out, topk, toxicity, urls
 from larkspur.llm.common import fold_of, table
 from larkspur.plans.register import new_register
 from larkspur.session import workspace
@@ -208,6 +209,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op12_tokenizer_alignment")
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of every document under two tokenizers, and how its links rank in the corpus."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = align.alignment(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 _LINES_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 e AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS pos, unnest(lines) AS line FROM d),
