@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import stored
 
 #: Texts are aligned together up to so many bytes, or one longer text; pieces known to a worker, before it forgets them all.
-RUN_BYTES, KNOWN_PIECES = 1 << 23, 300_000
+RUN_BYTES, KNOWN_PIECES = 1 << 22, 300_000
+#: New pieces worked on together.
+LEARN_PIECES = 16_384
 #: Parts by B id, runs merged at a time, and runs that meet one copy of a radix's counts.
 RADIXES, FAN_IN, RUNS_PER_COPY = 64, 256, 64
 #: Pieces tokenized in a row.
@@ -109,10 +111,13 @@ class PieceAligner:
         return self.a_size[a].sum() == len(raw) == self.b_size[b].sum() and b"".join([self.a_bytes[i] for i in a.tolist()]) == raw == b"".join([self.b_bytes[i] for i in b.tolist()])
 
     def learn(self) -> None:
-        """Tokenizes and aligns the noted pieces."""
+        """Tokenizes and aligns the noted pieces, a bounded number at a time."""
         fresh, self.fresh = self.fresh, []
-        if not fresh:
-            return
+        for first in range(0, len(fresh), LEARN_PIECES):
+            self._learn(fresh[first : first + LEARN_PIECES])
+        self.link_ends = np.cumsum(self.counts[:, 3])
+
+    def _learn(self, fresh: list[str]) -> None:
         # Only pieces without blanks at their ends keep their tokens apart when they stand in a row.
         apart = [bool(p) and not p[0].isspace() and not p[-1].isspace() for p in fresh]
         rows = [i for i, x in enumerate(apart) if x]
@@ -152,7 +157,6 @@ class PieceAligner:
         self.counts = np.concatenate([self.counts, np.stack(sizes, axis=1)])
         self.fits = np.concatenate([self.fits, fits])
         self.links = np.concatenate([self.links, (b[b_at] << _A_BITS) | a[a_at]])
-        self.link_ends = np.cumsum(self.counts[:, 3])
         sides = []
         for ids, group in ((a, a_group), (b, b_group)):
             spelled, bounds = [str(i) for i in ids.tolist()], np.searchsorted(group, np.arange(len(cuts) + 1)).tolist()
