@@ -18,7 +18,7 @@ from larkspur.plans.register import new_register
 from larkspur.session import workspace
 from larkspur.sources.snapshots import SnapshotStore
 from larkspur.sources.specs import ARTICLES
-from larkspur.streaming import jobs
+from larkspur.streaming import jobs, state
 
 QUERIES, ORACLES, query = new_register()
 
@@ -176,17 +176,56 @@ def q_stream_slo(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("stream_events", """
-SELECT CAST(user_id AS VARCHAR) AS query_id, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts,
-  CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000) AS BIGINT) AS elapsed_ms FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1""")
-def q_stream_events(spark, sf_dir):
-    """Step event lines written as files, parsed and combined per query by the stream."""
-    base = workspace(spark, "stream-events")
+VISITS_SQL = """
+WITH steps AS (
+  SELECT CAST(user_id AS VARCHAR) AS query_id, event_id, ts, CASE event_type WHEN 'view' THEN 'cmo_router' WHEN 'click' THEN 'peer_reviewer' ELSE 'custom_step' END AS node
+  FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+mark AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTES AS passed FROM steps),
+split AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY query_id ORDER BY ts, event_id) <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM steps),
+visits AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id ORDER BY ts, event_id) AS visit FROM split)"""
+
+
+def _line_stream(spark, sf_dir: str, base: str) -> DataFrame:
+    """Step event lines written as files, as a stream."""
     lines = event_lines(spark, sf_dir).select("ts", "line")
     lines.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    jobs.stream_step_events(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return jobs.read_step_events(spark.read.option("mergeSchema", "false").parquet(f"{base}/out"))
+    return spark.readStream.schema(lines.schema).parquet(f"{base}/in").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_events", VISITS_SQL + """
+SELECT query_id, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000) AS BIGINT) AS elapsed_ms
+FROM visits GROUP BY query_id, visit HAVING max(ts) + INTERVAL 6 HOURS <= (SELECT passed FROM mark)""")
+def q_stream_events(spark, sf_dir):
+    """Visits of each query that the watermark has closed; the state of the others is still open."""
+    base = workspace(spark, "stream-events")
+    jobs.stream_step_events(_line_stream(spark, sf_dir, base), f"{base}/out", f"{base}/checkpoint", idle="6 hours").awaitTermination()
+    return spark.read.parquet(f"{base}/out").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
+
+
+@query("stream_step_times", VISITS_SQL + """
+SELECT query_id, row_number() OVER v AS step_no, node, ts, CAST(floor((epoch_us(ts) - epoch_us(first(ts) OVER v)) / 1000) AS BIGINT) AS elapsed_ms,
+  CAST(floor((epoch_us(ts) - epoch_us(coalesce(lag(ts) OVER v, ts))) / 1000) AS BIGINT) AS step_ms
+FROM visits WHERE ts <= (SELECT passed FROM mark) WINDOW v AS (PARTITION BY query_id, visit ORDER BY ts, event_id)""")
+def q_stream_step_times(spark, sf_dir):
+    """Number and times of every step that the watermark has passed, from keyed state with timers."""
+    base = workspace(spark, "stream-steps")
+    state.stream_step_times(_line_stream(spark, sf_dir, base), f"{base}/out", f"{base}/checkpoint", idle_ms=6 * 3_600_000).awaitTermination()
+    return spark.read.parquet(f"{base}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("stream_uniqueness", GOOD_SQL + """,
+again AS (SELECT trim(pmid, ' ') AS k FROM delivered UNION ALL SELECT trim(pmid, ' ') FROM delivered WHERE lang = 'de' UNION ALL SELECT trim(pmid, ' ') FROM delivered WHERE source = 'src1')
+SELECT 'DQ-PUB-CUR-1' AS rule_id, 'FAIL' AS severity, k AS record_id, 'Duplicate pmid found: ' || k AS message, count(*) AS copies FROM again WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1""")
+def q_stream_uniqueness(spark, sf_dir):
+    """Three deliveries, an hour apart, of which the later two repeat records of the first: repeated ids over all micro-batches."""
+    base = workspace(spark, "stream-unique")
+    delivered = delivered_articles(spark, sf_dir).select("pmid", F.element_at("authors", 2).alias("lang"), F.col("journal").alias("source"))
+    parts = [delivered, delivered.filter("lang = 'de'"), delivered.filter("source = 'src1'")]
+    for hour, part in enumerate(parts):
+        part.select("pmid", F.lit(dt.datetime(2024, 5, 1, 12 + hour)).alias("delivered_at")).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema("pmid STRING, delivered_at TIMESTAMP").option("maxFilesPerTrigger", 8).parquet(f"{base}/in")
+    state.stream_uniqueness(stream, ARTICLES, "delivered_at", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return state.uniqueness_violations(spark.read.schema(state.REPEAT_SCHEMA).parquet(f"{base}/out"), ARTICLES)
 
 
 @query("stream_ingest", GOOD_SQL + """

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from larkspur.functions.render import parse_event_line
-from larkspur.operators.dedup import latest_per_key, newest_version
+from larkspur.operators.dedup import newest_version
 from larkspur.operators.ingest import IngestRun, ingest
 from larkspur.operators.metrics import success_ratio
 from larkspur.operators.reports import event_rows
@@ -32,33 +32,24 @@ def stream_slo(
     )
 
 
-def stream_step_events(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """First and last time and number of events per query from ``data:`` lines (columns ``line, ts``).
+def stream_step_events(lines: DataFrame, out: str, checkpoint: str, delay: str = "10 minutes", idle: str = "30 minutes") -> StreamingQuery:
+    """First and last time and number of events per visit of a query from ``data:`` lines (columns ``line, ts``).
 
-    Malformed lines are dropped. The state per query is one combined row, so a busy query is combined in the map tasks
-    first. Each batch writes the changed queries to its own folder; :func:`read_step_events` takes the newest.
+    Malformed lines are dropped. A visit ends when its query was idle for ``idle``; it is written, and its state dropped, once the
+    watermark has passed that time. Sessions are merged in the map tasks first, so a busy query is no single task's work.
     """
-    parsed = event_rows(lines, parse_event_line(F.col("line")), ["ts"])
-    per_query = parsed.groupBy("query_id").agg(
+    parsed = event_rows(lines, parse_event_line(F.col("line")), ["ts"]).withWatermark("ts", delay)
+    visits = parsed.groupBy("query_id", F.session_window("ts", idle).alias("visit")).agg(
         F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/part={batch_id}")
-
+    micros = F.timestamp_diff("MICROSECOND", F.col("first_ts"), F.col("last_ts"))
+    closed = visits.select("query_id", "events", "first_ts", "last_ts", F.floor(micros / 1000).cast("long").alias("elapsed_ms"))
     return (
-        per_query.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
-        .trigger(availableNow=True).start()
+        closed.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start(out)
     )
 
 
-def read_step_events(changes: DataFrame) -> DataFrame:
-    """Current row per query with ``elapsed_ms``."""
-    newest = latest_per_key(changes, ["query_id"], [F.desc("batch_id")])
-    micros = F.timestamp_diff("MICROSECOND", F.col("first_ts"), F.col("last_ts"))
-    return newest.select("query_id", "events", "first_ts", "last_ts", F.floor(micros / 1000).cast("long").alias("elapsed_ms"))
-
-
 def _stream_name(name: str | None, checkpoint: str) -> str:
     """The given name, else one that follows from the checkpoint, which belongs to one stream only."""
     return name or f"stream-{uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex}"

@@ -1,15 +1,17 @@
 import datetime as dt
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators import metrics as mt
 from larkspur.operators import reports as rp
+from larkspur.operators.visits import step_times
 from larkspur.session import workspace
 from larkspur.sources.snapshots import SnapshotStore
 from larkspur.sources.specs import ARTICLES
-from larkspur.streaming import jobs
+from larkspur.streaming import jobs, state
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -90,15 +92,51 @@ def test_stream_slo_drops_late_rows_and_equals_batch(spark, tmp_path):
     assert got == {tuple(r) for r in batch.filter(F.col("window_start") < F.lit(at(45))).collect()} and len(got) == 2
 
 
-def test_stream_events_over_batches(spark, tmp_path):
-    def line(q):
-        return 'data: {"node": "cmo_router", "query_id": "%s"}' % q
+def line(q, node="cmo_router", n=0):
+    return 'data: {"node": "%s", "query_id": "%s", "elapsed_ms": %d}' % (node, q, n)
+
 
-    batches = [[(line("a"), at(1)), ("data: {bad", at(0))], [(line("a"), at(5)), (line("b"), at(2))], [(line("a"), at(0))]]
+def test_stream_events_over_batches(spark, tmp_path):
+    """Visits that the watermark closed, over batches out of order; the open one stays in the state."""
+    batches = [[(line("a"), at(1)), ("data: {bad", at(0))], [(line("a"), at(5)), (line("b"), at(2))], [(line("a"), at(0))], [(line("a"), at(50)), (line("c"), at(90))]]
     stream = write_batches(spark, batches, "line STRING, ts TIMESTAMP", tmp_path).parquet(str(tmp_path / "in"))
     jobs.stream_step_events(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = {tuple(r) for r in jobs.read_step_events(spark.read.parquet(str(tmp_path / "out"))).collect()}
-    assert got == {("a", 3, at(0), at(5), 300000), ("b", 1, at(2), at(2), 0)}
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("a", 3, at(0), at(5), 300000), ("b", 1, at(2), at(2), 0), ("a", 1, at(50), at(50), 0)}
+
+
+def test_stream_step_times_equal_batch_and_leave_no_state(spark, tmp_path):
+    """Steps out of order within the watermark, ties, a late step, an idle query and a restart from the checkpoint."""
+    out, folder = str(tmp_path / "out"), str(tmp_path / "in")
+    first = [[(line("a", "x", 2), at(1)), (line("a", "w", 1), at(1)), ("data: {bad", at(0)), ('data: {"node": "n"}', at(0))], [(line("a", "y"), at(0)), (line("b"), at(2))]]
+    second = [[(line("a", "z"), at(8)), (line("c"), at(60))], [(line("a", "again"), at(100))], [(line("a", "late"), at(3)), (line("d"), at(101))], [(line("z"), at(300))]]
+    for turn, batches in enumerate((first, second)):
+        write_batches(spark, batches, "line STRING, ts TIMESTAMP", f"{tmp_path}/in{turn}")
+    (tmp_path / "in").mkdir()
+    for turn in (0, 1):
+        for i in range(len((first, second)[turn])):
+            for f in (tmp_path / f"in{turn}" / "in" / f"b{i}").glob("part-*"):
+                shutil.copy2(f, f"{folder}/{turn}-{i}-{f.name}")
+        stream = spark.readStream.schema("line STRING, ts TIMESTAMP").option("maxFilesPerTrigger", 1).parquet(folder)
+        query = state.stream_step_times(stream, out, str(tmp_path / "cp"), "10 minutes")
+        query.awaitTermination()
+    rows = [r for b in first + second for r in b if '"late"' not in r[0]]
+    batch = step_times(state.step_events(spark.createDataFrame(rows, "line STRING, ts TIMESTAMP")), 1_800_000)
+    want = {tuple(r) for r in batch.filter(F.col("ts") <= F.lit(at(290))).collect()}
+    assert {tuple(r) for r in spark.read.parquet(out).collect()} == want and len(want) == 8
+    # Only the last query, which the watermark has not passed, still has state.
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def test_stream_uniqueness_over_batches(spark, tmp_path):
+    batches = [[("1", at(0)), (" 2", at(1)), (None, at(1)), ("", at(1))], [("2", at(2)), ("3", at(2))], [("", at(3))] * 50, [("2 ", at(4)), ("9", at(2000))], [("1", at(2001))], [("8", at(9000))]]
+    stream = write_batches(spark, batches, "pmid STRING, at TIMESTAMP", tmp_path).parquet(str(tmp_path / "in"))
+    query = state.stream_uniqueness(stream, ARTICLES, "at", str(tmp_path / "out"), str(tmp_path / "cp"), "1 minute", idle_ms=24 * 3_600_000)
+    query.awaitTermination()
+    found = state.uniqueness_violations(spark.read.parquet(str(tmp_path / "out")), ARTICLES).collect()
+    # The second 1 comes after its first was forgotten.
+    assert {(r["record_id"], r["copies"], r["rule_id"]) for r in found} == {("2", 3, "DQ-PUB-CUR-1"), ("", 51, "DQ-PUB-CUR-1")}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
 
 
 def test_stream_ingest_restart_adds_only_new_files(spark, tmp_path):
