@@ -35,7 +35,7 @@ def ingest(store: SnapshotStore, records: DataFrame, spec: SourceSpec, run: Inge
     """
     marked = mark_rejects(records, spec)
     base = f"{spec.collection}_{run.run_id}"
-    store.stage(f"{spec.raw_table}_parsed", _outcomes(marked, spec, run), base)
+    store.stage(f"{spec.raw_table}_parsed", delivered_outcomes(marked, spec, run), base)
     parsed = store.spark.read.parquet(f"{store.root}/{spec.raw_table}_parsed/{base}")
 
     good = parsed.filter(F.col("parse_error").isNull())
@@ -53,7 +53,7 @@ def ingest(store: SnapshotStore, records: DataFrame, spec: SourceSpec, run: Inge
     return results
 
 
-def _outcomes(marked: DataFrame, spec: SourceSpec, run: IngestRun) -> DataFrame:
+def delivered_outcomes(marked: DataFrame, spec: SourceSpec, run: IngestRun) -> DataFrame:
     """Normalised columns plus ``parse_error`` and, for rejects only, the delivered record as JSON."""
     delivered = [F.col(c) for c in marked.columns if c != "parse_error"]
     record = F.when(F.col("parse_error").isNotNull(), F.to_json(F.struct(*delivered)))

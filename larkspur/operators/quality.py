@@ -239,11 +239,31 @@ def dq_results(df: DataFrame, spec: SourceSpec, run: str = "ingestion_run_id", s
     )
 
 
+def results_of(violations: DataFrame, records: DataFrame, rules: Sequence[tuple[str, str]], run_id: str, sample: int = 10) -> DataFrame:
+    """The rows of :func:`dq_results` for one run, counted from its stored violations (``rule_id``, ``record_id``) and its records.
+
+    ``rules`` are the ids and severities of all rules that were judged; those without a violation passed.
+    """
+    listed = F.inline(F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity")) for r, s in rules]))
+    total = records.agg(F.count(F.lit(1)).alias("record_count")).select("record_count", listed)
+    failed = violations.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    joined = total.join(failed, "rule_id", "left").join(sample_ids(violations, ["rule_id"], "record_id", sample), "rule_id", "left")
+    counted = joined.withColumn("failed_count", F.coalesce("n", F.lit(0)))
+    return counted.select(
+        F.lit(run_id).alias("ingestion_run_id"), "rule_id",
+        F.when(F.col("failed_count") == 0, F.lit(PASS)).otherwise(F.col("severity")).alias("outcome"),
+        F.concat(F.col("failed_count").cast("string"), F.lit(" of "), F.col("record_count").cast("string"), F.lit(" failed")).alias("message"),
+        "record_count", "failed_count", F.coalesce("failed_ids", F.array().cast("array<string>")).alias("failed_ids"),
+    )
+
+
 def sample_ids(df: DataFrame, group: Sequence[str], record_id: str, n: int) -> DataFrame:
     """The first ``n`` distinct ids per group as a sorted array ``failed_ids``."""
-    # The rank limit is applied in the map tasks, so few rows are shuffled; equal ids share a rank.
-    rank = F.dense_rank().over(Window.partitionBy(*group).orderBy(record_id))
-    ranked = df.select(*group, record_id).withColumn("_rank", rank).filter(F.col("_rank") <= n).select(*group, record_id).distinct()
+    # Equal ids are combined in the map tasks, so an id that most rows share is one row per task; of the distinct ids, the rank limit
+    # leaves the first ones before the next shuffle.
+    distinct = df.select(*group, record_id).distinct()
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(record_id))
+    ranked = distinct.withColumn("_rank", rank).filter(F.col("_rank") <= n)
     return ranked.groupBy(*group).agg(F.array_sort(F.collect_list(record_id)).alias("failed_ids"))
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as fx
 from larkspur.operators import quality as dq
 from larkspur.operators.dedup import duplicate_keys, latest_per_key, merge_newest, newest_version
-from larkspur.operators.ingest import IngestRun, curate, ingest, run_counts
+from larkspur.operators.index import IndexRun
+from larkspur.operators.ingest import IngestRun, run_counts
+from larkspur.operators.lake import Lake, curate_runs, index_changes, ingest_run
 from larkspur.operators.normalise import mark_rejects, normalise_articles, normalise_trials, project_curated, split_rejects
 from larkspur.plans.data import (
     ARTICLES_SQL, INGESTED_AT, SNAPSHOT, TRIALS_SQL, VERSION, body_text, delivered_articles, delivered_date, table, trials,
@@ -101,16 +103,36 @@ def q_ingest_roundtrip(spark, sf_dir):
     """Write the delivery as JSON lines, ingest it in quarantine mode, curate it and read the curated table."""
     base = workspace(spark, "ingest")
     delivered_articles(spark, sf_dir).write.json(f"{base}/delivery")
-    store = SnapshotStore(spark, f"{base}/lake")
+    lake = Lake(spark, f"{base}/lake", buckets=16)
     records = read_source_json(spark, f"{base}/delivery", ARTICLES, lines=True)
-    ingest(store, records, ARTICLES, IngestRun("run-1", VERSION, INGESTED_AT, mode="quarantine"))
-    curate(store, ARTICLES, "curated-1", INGESTED_AT)
-    return store.read("curated_articles").select(
+    ingest_run(lake, records, ARTICLES, IngestRun("run-1", VERSION, INGESTED_AT, mode="quarantine"))
+    curate_runs(lake, ARTICLES, ["run-1"], INGESTED_AT)
+    return lake.curated(ARTICLES).read().select(
         "pmid", "title", F.coalesce("abstract", F.lit("")).alias("abstract"), F.array_join("authors", "|").alias("authors"),
         "publication_date", "journal", "snippet_count", "ingestion_run_id",
     )
 
 
+@query("lake_refresh", GOOD_SQL + """,
+fit AS (SELECT * FROM good WHERE (trim(title) <> '' OR journal IN ('src1', 'src2')) AND source_version <> '' AND source_uri <> ''),
+newest AS (
+  SELECT 'PMID:' || pmid AS doc_id, CASE WHEN journal IN ('src1', 'src2') THEN 'Revised: ' || title ELSE title END AS title,
+    CASE WHEN journal IN ('src1', 'src2') THEN 'run-2' ELSE 'run-1' END AS ingestion_run_id FROM fit)
+SELECT doc_id, title, replace(ingestion_run_id, 'run', 'index') AS indexing_run_id, replace(ingestion_run_id, 'run', 'snap') AS snapshot_ref, CAST(64 AS INTEGER) AS dimension FROM newest""")
+def q_lake_refresh(spark, sf_dir):
+    """Two deliveries, the second with revised titles of two journals: each is ingested, curated and indexed by itself, and the later run
+    is curated first. Only what a delivery changed is embedded."""
+    lake = Lake(spark, workspace(spark, "lake"), buckets=16)
+    delivered = delivered_articles(spark, sf_dir)
+    revised = delivered.filter("journal IN ('src1', 'src2')").withColumn("title", F.concat(F.lit("Revised: "), F.coalesce("title", F.lit(""))))
+    for no, part in ((2, revised), (1, delivered)):
+        at = INGESTED_AT + dt.timedelta(days=no)
+        ingest_run(lake, part, ARTICLES, IngestRun(f"run-{no}", VERSION, at, mode="quarantine"))
+        changed = curate_runs(lake, ARTICLES, [f"run-{no}"], at)
+        index_changes(lake, ARTICLES, changed, f"snap-{no}", IndexRun(f"index-{no}"), at)
+    return lake.index(ARTICLES).read().select("doc_id", "title", "indexing_run_id", "snapshot_ref", F.size("vector").alias("dimension"))
+
+
 def _event_days(spark: SparkSession, sf_dir: str) -> tuple[SnapshotStore, DataFrame]:
     """Events in three snapshots: up to day 10, up to day 20, all."""
     store = SnapshotStore(spark, workspace(spark, "snapshots"))

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from larkspur.operators import metrics as mt
 from larkspur.operators import reports as rp
 from larkspur.operators.asof import timeline_steps
+from larkspur.operators.lake import Lake
 from larkspur.operators.quantiles import exact_quantiles
 from larkspur.plans.answers import event_lines
 from larkspur.plans.curation import GOOD_SQL
 from larkspur.plans.data import INGESTED_AT, LOG_SQL, VERSION, delivered_articles, query_log, table
 from larkspur.plans.register import new_register
 from larkspur.session import workspace
-from larkspur.sources.snapshots import SnapshotStore
 from larkspur.sources.specs import ARTICLES
+from larkspur.sources.tables import KeyedTable
 from larkspur.streaming import jobs, state
 
 QUERIES, ORACLES, query = new_register()
@@ -237,23 +238,22 @@ def q_stream_ingest(spark, sf_dir):
     """The delivery as JSON line files, ingested file by file in quarantine mode."""
     base = workspace(spark, "stream-ingest")
     delivered_articles(spark, sf_dir).repartition(3).write.json(f"{base}/in")
-    store = SnapshotStore(spark, f"{base}/lake")
+    lake = Lake(spark, f"{base}/lake")
     stream = spark.readStream.schema(ARTICLES.input_schema()).option("maxFilesPerTrigger", 1).json(f"{base}/in")
-    jobs.stream_ingest(stream, store, ARTICLES, VERSION, INGESTED_AT, f"{base}/checkpoint").awaitTermination()
+    jobs.stream_ingest(stream, lake, ARTICLES, VERSION, INGESTED_AT, f"{base}/checkpoint").awaitTermination()
     columns = ["pmid", "title", F.array_join("authors", "|").alias("authors"), "publication_date"]
-    raw = store.read("raw_articles").select(*columns, F.lit("raw").alias("target"))
-    return raw.unionByName(store.read("raw_articles_rejects").select(*columns, F.lit("rejects").alias("target")))
+    raw = lake.raw(ARTICLES).read().select(*columns, F.lit("raw").alias("target"))
+    return raw.unionByName(lake.rejects(ARTICLES).read().select(*columns, F.lit("rejects").alias("target")))
 
 
 @query("stream_curate", """
-SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, event_id) AS r FROM events) WHERE r = 1""")
+SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
 def q_stream_curate(spark, sf_dir):
-    """Events written as files by type: newest event per user, batch by batch, then compacted."""
+    """Events written as files by type: newest event per user, merged batch by batch into buckets."""
     base = workspace(spark, "stream-curate")
     versions = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.col("ts").alias("ingested_at"), F.col("event_type").alias("ingestion_run_id"))
     versions.repartition(4, "event_type").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(versions.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    store = SnapshotStore(spark, f"{base}/lake")
-    jobs.stream_curate(stream, store, "curated_events", "user_id", dt.datetime(2024, 2, 1), f"{base}/checkpoint").awaitTermination()
-    jobs.compact(store, "curated_events", "user_id", "compacted", dt.datetime(2024, 2, 2))
-    return store.read("curated_events").select("user_id", "event_id", "event_type")
+    curated = KeyedTable(spark, f"{base}/curated", "user_id", ["ingested_at", "ingestion_run_id", "event_id"], 16)
+    jobs.stream_curate(stream, curated, f"{base}/checkpoint").awaitTermination()
+    return curated.read().select("user_id", "event_id", "event_type")

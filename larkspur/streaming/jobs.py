@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from larkspur.functions.render import parse_event_line
-from larkspur.operators.dedup import newest_version
-from larkspur.operators.ingest import IngestRun, ingest
+from larkspur.operators.ingest import IngestRun
+from larkspur.operators.lake import Lake, ingest_run
 from larkspur.operators.metrics import success_ratio
 from larkspur.operators.reports import event_rows
-from larkspur.sources.snapshots import SnapshotStore
 from larkspur.sources.specs import SourceSpec
+from larkspur.sources.tables import KeyedTable
 
 
 def stream_slo(
@@ -56,40 +56,31 @@ def _stream_name(name: str | None, checkpoint: str) -> str:
 
 
 def stream_ingest(
-    records: DataFrame, store: SnapshotStore, spec: SourceSpec, pipeline_version: str, ingested_at: dt.datetime, checkpoint: str, name: str | None = None
+    records: DataFrame, lake: Lake, spec: SourceSpec, pipeline_version: str, ingested_at: dt.datetime, checkpoint: str, name: str | None = None
 ) -> StreamingQuery:
     """Ingest every micro-batch as one run in quarantine mode.
 
-    The run id is the stream's name and the batch id, so a repeated batch replaces its own data and no other stream's. Uniqueness is judged inside a batch; across
-    batches curation keeps the newest version.
+    The run id is the stream's name and the batch id, so a repeated batch replaces its own data and no other stream's. Uniqueness is
+    judged inside a batch here and over all batches by :func:`larkspur.streaming.state.stream_uniqueness`; curation keeps the newest version.
     """
 
     stream = _stream_name(name, checkpoint)
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        ingest(store, batch, spec, IngestRun(f"{stream}-{batch_id}", pipeline_version, ingested_at, mode="quarantine"))
+        ingest_run(lake, batch, spec, IngestRun(f"{stream}-{batch_id}", pipeline_version, ingested_at, mode="quarantine"))
 
     return (
         records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(load).trigger(availableNow=True).start()
     )
 
 
-def stream_curate(raw: DataFrame, store: SnapshotStore, table: str, key: str, committed_at: dt.datetime, checkpoint: str, name: str | None = None) -> StreamingQuery:
-    """Append the newest version per key of every batch to ``table``; :func:`read_curated` merges on read."""
+def stream_curate(raw: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """Merge every micro-batch into ``table``: the newest version per key stays, in the buckets that the batch touches.
 
-    stream = _stream_name(name, checkpoint)
+    A repeated batch changes nothing, so no batch ids are kept.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        store.append(table, newest_version(batch, key), f"{stream}-{batch_id}", committed_at)
+        table.upsert(batch)
 
     return raw.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
-
-
-def read_curated(store: SnapshotStore, table: str, key: str) -> DataFrame:
-    """Newest version per key over all batches."""
-    return newest_version(store.read(table), key)
-
-
-def compact(store: SnapshotStore, table: str, key: str, snapshot_id: str, committed_at: dt.datetime) -> str:
-    """Replace the batches of a curated table by their merged rows."""
-    return store.write(table, read_curated(store, table, key), snapshot_id, committed_at)
