@@ -124,7 +124,8 @@ def fit_codes(profiles: np.ndarray, language: list[str], rounds: int = 120) -> C
 def train_languages(docs: DataFrame, sample_rows: int = 4_000) -> CodeModel | None:
     """A model from the text and ``lang`` of at most ``sample_rows`` rows (a documented bound; those of lowest id hash).
 
-    Rows without a language, or whose text has no letter, teach nothing; with nothing to learn from the model is None.
+    Rows without a language, or whose text has no letter, teach nothing; with nothing to learn from the model is None. Of rows that
+    share an id one teaches, the first by language and text.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     wanted = bounded_rows(known.select("doc_id").distinct(), "doc_id", sample_rows)
@@ -137,7 +138,8 @@ def train_languages(docs: DataFrame, sample_rows: int = 4_000) -> CodeModel | No
                 packed = [None if x is None else x.tobytes() for x in found]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(packed, pa.binary())], ["doc_id", "lang", "profile"])
 
-    found = known.select("doc_id", "lang", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "lang", "text")
+    sampled = known.select("doc_id", "lang", "text").join(F.broadcast(wanted), "doc_id")
+    found = sampled.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row")).select("doc_id", "row.lang", "row.text")
     got = found.mapInArrow(profiles, "doc_id long, lang string, profile binary").filter("profile is not null").toPandas()
     got = got.sort_values(["doc_id", "lang", "profile"], kind="stable")
     return fit_codes(np.frombuffer(b"".join(got["profile"]), dtype=np.float32).reshape(-1, BINS), got["lang"].tolist())
@@ -175,7 +177,13 @@ def identify(docs: DataFrame, model: CodeModel | None, least_margin: float = 0.2
 
 
 def keep_identified(docs: DataFrame, model: CodeModel | None) -> DataFrame:
-    """The documents whose language is determined; undetermined and ambiguous ones are rejected. Same columns."""
-    tagged = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns if c != "text"})
-    judged = identify(tagged, model).filter((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous"))
-    return judged.select(*[F.col(c if c == "text" else f"in_{c}").alias(c) for c in docs.columns])
+    """The documents whose language is determined; undetermined and ambiguous ones are rejected. Same columns, whatever their names.
+
+    Without a model, as when no document names its language, nothing can be judged and every document stays.
+    """
+    if model is None:
+        return docs
+    others = [c for c in docs.columns if c != "text"]
+    packed = docs.select("text", F.struct(F.lit(1).alias("row"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("others"))
+    judged = identify(packed, model).filter((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous"))
+    return judged.select(*[F.col("text") if c == "text" else F.col("others")[f"c{others.index(c)}"].alias(c) for c in docs.columns])

@@ -102,8 +102,9 @@ def fit_preferences(features: np.ndarray, label: np.ndarray, rounds: int = 400,
 def train_quality(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int = 16_384) -> PreferenceModel:
     """A model from at most ``sample_rows`` labelled documents (a documented bound; those of lowest id hash).
 
-    ``labels`` has ``doc_id`` and ``label`` (0 or 1; other values and nulls teach nothing). Texts stay on the executors, which
-    send one short feature row per sampled document.
+    ``labels`` has ``doc_id`` and ``label`` (0 or 1; other values and nulls teach nothing; the higher of two labels of an id counts).
+    Texts stay on the executors, which send one short feature row per sampled document; of rows that share an id one teaches,
+    the first by text. Documents of equal features are ordered by id; without labelled documents all texts score alike.
     """
     wanted = bounded_rows(labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")), "doc_id", sample_rows)
 
@@ -112,7 +113,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str, sample_rows: i
             x = np.array([text_features(t) for t in batch.column("text").to_pylist()]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    found = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "y", "text")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     got = found.mapInArrow(features, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(list(got["x"])).reshape(-1, FEATURES)
     return fit_preferences(x[np.lexsort((*x.T, got["doc_id"]))] if len(x) else x, got["y"].to_numpy())

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +13,7 @@ from larkspur.session import workspace
 
 QUERIES, ORACLES, query = new_register()
 
-#: Folder of the public tokenizer definitions, and the one in use.
-TOKENIZERS = os.environ.get("LARKSPUR_TOKENIZERS", "/opt/tokenizers")
+#: The tokenizer in use, one of the public ones.
 TOKENIZER = "byte_bpe_50k.json"
 
 HOST_RULES = [
@@ -40,7 +37,7 @@ def marginals() -> list[mixing.Marginal]:
 
 
 def tokenizer_path() -> str:
-    return os.path.join(TOKENIZERS, TOKENIZER)
+    return public_tokenizers.path(TOKENIZER)
 
 
 @query("op1_token_output")
@@ -213,7 +210,7 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, groups and links of every document under two tokenizers, and how its links rank in the corpus."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = align.alignment(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    found = align.alignment(docs, tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 

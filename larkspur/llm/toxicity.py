@@ -16,7 +16,7 @@ from math import fsum
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,15 +118,21 @@ def fit_sentences(texts: list[str | None], label: np.ndarray, min_documents: int
     return SentenceModel({w: float(weight[i]) for w, i in index.items() if weight[i]}, float(bias))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int = 4_096) -> SentenceModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int = 4_096, sample_bytes: int = 1 << 26) -> SentenceModel:
     """A model from at most ``sample_rows`` labelled documents, half of them of each label where there are enough.
 
-    The bound and the vocabulary bound are documented parameters. The documents of lowest id hash are taken; of a very long one
-    all sentences count. Null or other labels teach nothing.
+    The documents of lowest id hash are taken, as long as their texts together keep to ``sample_bytes``; of each, all sentences
+    count. These bounds and the vocabulary bound are documented parameters. Null or other labels teach nothing; the higher of
+    two labels of an id counts, and of rows that share an id one teaches, the first by text.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     wanted = bounded_rows(known.filter("y = 1"), "doc_id", sample_rows // 2).unionByName(bounded_rows(known.filter("y = 0"), "doc_id", sample_rows // 2))
-    got = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "y", "text").toPandas().sort_values(["doc_id", "text"], kind="stable")
+    sampled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    # The window orders the bounded sample only, by its sizes.
+    sizes = sampled.select("doc_id", F.octet_length("text").alias("bytes"))
+    summed = sizes.withColumn("all_bytes", F.sum("bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")))
+    fitting = summed.filter(F.col("all_bytes") <= sample_bytes).select("doc_id")
+    got = sampled.join(F.broadcast(fitting), "doc_id").select("doc_id", "y", "text").toPandas().sort_values(["doc_id", "text"], kind="stable")
     return fit_sentences(got["text"].tolist(), got["y"].to_numpy())
 
 
