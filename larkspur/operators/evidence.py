@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as fx
 from larkspur.functions.render import SECTION_LABELS, citation_badge, citation_detail, score_text
 from larkspur.functions.vectors import Encoder, embed, hash_encoder
-from larkspur.operators.search import SearchColumns, attach_payload, fill_content, only_keys, search
+from larkspur.operators.search import ClusteredVectors, SearchColumns, attach_payload, cluster_vectors, fill_content, only_keys, search
 from larkspur.session import written
 
 # Hits per question, researched documents in the evidence section, revisions before giving up, and how
@@ -42,7 +42,8 @@ NO_CITATIONS = "No citations found. Answer must be backed by retrieved evidence.
 PAYLOAD = ("title", "snippet", "content", "source_type", "snapshot_ref", "indexing_run_id")
 
 QUESTION_SEARCH = SearchColumns(
-    equal=(("source_type", "source_type"),), dates=("date_from", "date_to", "date_from", "date_to")
+    equal=(("source_type", "source_type"),), dates=("date_from", "date_to", "date_from", "date_to"),
+    within=(("collection", "collections"),), limit="search_limit",
 )
 
 
@@ -51,7 +52,8 @@ def route_questions(
 ) -> DataFrame:
     """Add ``search_query``, ``search_limit`` and the implied ``source_type`` to questions.
 
-    Optional filter columns ``source_type, date_from, date_to`` of the user are kept and win.
+    Optional columns of the user are kept and win: the filters ``source_type, date_from, date_to``, the limit ``search_limit`` and
+    the list ``collections``.
     """
     have = set(questions.columns)
     given = F.col("source_type") if "source_type" in have else None
@@ -59,7 +61,8 @@ def route_questions(
     return questions.withColumns(
         {
             "search_query": fx.search_terms("question"),
-            "search_limit": F.lit(QUESTION_LIMIT),
+            "search_limit": F.coalesce(F.col("search_limit").cast("int"), F.lit(QUESTION_LIMIT)) if "search_limit" in have else F.lit(QUESTION_LIMIT),
+            "collections": F.col("collections").cast("array<string>") if "collections" in have else F.lit(None).cast("array<string>"),
             "source_type": fx.implied_source_type("question", given, trial_words, article_words),
             **dates,
         }
@@ -68,31 +71,33 @@ def route_questions(
 
 @dataclass(frozen=True)
 class Retrieved:
-    """Hits with payload, the bare hit keys, and the bound on their number if there is one."""
+    """Hits with payload, and the bare hit keys."""
 
     hits: DataFrame
     keys: DataFrame
-    most_hits: int | None
 
 
 def retrieve(
     routed: DataFrame, index: DataFrame, k: int = QUESTION_LIMIT, encoder: Encoder = hash_encoder,
-    staged: DataFrame | None = None, staged_text: Column | None = None, **limits,
+    staged: DataFrame | None = None, staged_text: Column | None = None, clustered: ClusteredVectors | None = None, **limits,
 ) -> Retrieved:
-    """The k best index rows per routed question, with payload and filled content.
+    """The best index rows per routed question, with payload and filled content.
 
-    ``index`` may hold several collections: the best of all of them are the best of their merged best lists. The hits
+    A question has its own ``search_limit`` (else ``k``) and its own ``collections``; without any it searches all. The best of several
+    collections are the best of their merged best lists. ``clustered`` is the index in cells, where it is kept. The hits
     are written to the shared folder once, because payload, staged text and features are all looked up by them and
     the vectors should be scanned a single time. ``staged_text`` reads the text from the columns of ``staged``; it is
     evaluated for hits only.
     """
+    missing = {"collections": "array<string>", "search_limit": "int"}
+    routed = routed.withColumns({c: F.lit(None).cast(t) for c, t in missing.items() if c not in routed.columns})
     asked = routed.withColumn("query_vector", embed("search_query", encoder))
-    top = search(index, asked, k, QUESTION_SEARCH, **limits)
-    keys = written(top.hits, "hits")
-    hits = attach_payload(keys, index, PAYLOAD, top.most_hits)
+    cells = clustered if clustered is not None else cluster_vectors(index, QUESTION_SEARCH, **limits)
+    keys = written(search(cells, asked, k), "hits")
+    hits = attach_payload(keys, index, PAYLOAD)
     if staged is not None:
-        staged = only_keys(staged, keys, top.most_hits)
-    return Retrieved(fill_content(hits, staged, staged_text), keys, top.most_hits)
+        staged = only_keys(staged, keys)
+    return Retrieved(fill_content(hits, staged, staged_text), keys)
 
 
 def enrich(retrieved: Retrieved, article_features: DataFrame, trial_features: DataFrame) -> DataFrame:
@@ -107,7 +112,7 @@ def enrich(retrieved: Retrieved, article_features: DataFrame, trial_features: Da
 
     articles = shape(article_features, "PMID", "pmid", "title_word_count", ("abstract_word_count", "publication_year"))
     trials = shape(trial_features, "NCT", "nct_id", "sample_size", ("sample_size", "has_outcomes"))
-    features = only_keys(articles.unionByName(trials), retrieved.keys, retrieved.most_hits)
+    features = only_keys(articles.unionByName(trials), retrieved.keys)
     return retrieved.hits.join(features, "doc_id", "left")
 
 

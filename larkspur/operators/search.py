@@ -1,14 +1,14 @@
-"""Filtered exact top-k search of a batch of questions over vector tables.
+"""Filtered exact top-k search of a table of questions over vector tables.
 
-The score of a question and a vector is computed in Arrow batches as a matrix product, and each task keeps only the k
-best per question; pairs are never rows. A question batch that a bounded read proves small is shipped to the tasks, so
-the vectors are scanned in place. A larger batch goes through a grid: vectors and questions are hashed into cells of
-bounded size, each cell pair is scored by one task, and the result is the same.
+Vectors lie in cells: each belongs to its nearest center and to a ring of angles around it. As angles obey the triangle inequality, the
+center and the ring bound the best score that a cell can hold for a question. A question first meets its most promising
+cells; its k-th score so far then rules out every cell whose bound is lower, and only the others are scored. The result is that of scoring
+all pairs. Cells are cut into slices of bounded size and their questions into bounded batches, so one center, one
+vector with very many copies or one favourite cell is no single task's work. Scores are matrix products in Arrow batches; pairs are never rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -20,20 +20,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions import text as fx
+from larkspur.session import written
 
 SCORE_DIGITS = 6
-MAX_SHIPPED_QUESTIONS = 4096
-MAX_BROADCAST_HITS = 200_000
-CELL_ROWS = 50_000
-SCORE_BLOCK = 4_000_000
+#: Centers, width of a ring in radians, vectors of a slice, questions of a batch, scores computed at once.
+CENTERS, RING_WIDTH, SLICE_ROWS, BATCH_QUESTIONS, SCORE_BLOCK = 64, 0.05, 50_000, 4096, 4_000_000
+#: A question first meets cells with so many times its limit of vectors; half a unit of the last digit and the error of an angle.
+FIRST_FACTOR, SLACK = 8, 2e-6
+#: Rings per center at most, as angles end at pi.
+_RINGS = 1024
 
 
 @dataclass(frozen=True)
 class SearchColumns:
     """Names of the columns a search reads.
 
-    ``equal`` pairs a vector column with a question column that is null or must be equal; ``dates`` names the vector's
-    first and last day and the question's range, which must overlap where it is given.
+    ``equal`` pairs a vector column with a question column that is null or must be equal; ``within`` pairs one with a list column that
+    is null or empty or must hold it; ``dates`` names the vector's first and last day and the question's range, which must overlap
+    where it is given; ``limit`` is a question column with its own number of hits.
     """
 
     doc_id: str = "doc_id"
@@ -42,16 +46,21 @@ class SearchColumns:
     query_vector: str = "query_vector"
     equal: tuple[tuple[str, str], ...] = ()
     dates: tuple[str, str, str, str] | None = None
+    within: tuple[tuple[str, str], ...] = ()
+    limit: str | None = None
 
     def vector_columns(self) -> list[Column]:
         days = [F.unix_date(c).alias(f"_d{i}") for i, c in enumerate(self.dates[:2])] if self.dates else []
         same = [F.col(v).cast("string").alias(f"_e{i}") for i, (v, _) in enumerate(self.equal)]
-        return [F.col(self.doc_id).alias("_id"), F.col(self.vector).alias("_v"), *same, *days]
+        member = [F.col(v).cast("string").alias(f"_w{i}") for i, (v, _) in enumerate(self.within)]
+        return [F.col(self.doc_id).alias("_id"), F.col(self.vector).alias("_v"), *same, *member, *days]
 
-    def question_columns(self) -> list[Column]:
+    def question_columns(self, k: int) -> list[Column]:
         days = [F.unix_date(c).alias(f"_d{i}") for i, c in enumerate(self.dates[2:])] if self.dates else []
         same = [F.col(q).cast("string").alias(f"_e{i}") for i, (_, q) in enumerate(self.equal)]
-        return [F.col(self.query_id).alias("_id"), F.col(self.query_vector).alias("_v"), *same, *days]
+        member = [F.col(q).cast("array<string>").alias(f"_w{i}") for i, (_, q) in enumerate(self.within)]
+        own = F.coalesce(F.col(self.limit), F.lit(k)) if self.limit else F.lit(k)
+        return [F.col(self.query_id).alias("_id"), F.col(self.query_vector).alias("_v"), own.cast("int").alias("_k"), *same, *member, *days]
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -79,6 +88,14 @@ def _allowed(questions: pa.Table, vectors: pa.Table) -> np.ndarray | None:
             values = pc.unique(questions[name].drop_null())
             want, have = _codes(questions[name], values, -1), _codes(vectors[name], values, -2)
             part = (want[:, None] == have[None, :]) | (want == -1)[:, None]
+        elif name.startswith("_w"):
+            lists, values = questions[name].combine_chunks(), pc.unique(vectors[name].drop_null())
+            named = np.zeros((len(lists), len(values) + 1), bool)
+            rows, wanted = pc.list_parent_indices(lists).to_numpy(), pc.index_in(pc.list_flatten(lists), value_set=values)
+            hit = pc.is_valid(wanted).to_numpy(zero_copy_only=False)
+            named[rows[hit], wanted.drop_null().to_numpy()] = True
+            free = pc.fill_null(pc.equal(pc.list_value_length(lists), 0), True).to_numpy(zero_copy_only=False)
+            part = named[:, _codes(vectors[name], values, len(values))] | free[:, None]
         elif name.startswith("_d"):
             want, have = _numbers(questions[name]), _numbers(vectors["_d1" if name == "_d0" else "_d0"])
             bound = want[:, None] <= have[None, :] if name == "_d0" else want[:, None] >= have[None, :]
@@ -89,153 +106,198 @@ def _allowed(questions: pa.Table, vectors: pa.Table) -> np.ndarray | None:
     return mask
 
 
-def _block_best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per row of ``scores`` the k best (score, id), ties by id; minus infinity is no hit."""
+def _block_best(scores: np.ndarray, ids: np.ndarray, limits: Sequence[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per row of ``scores`` its best (score, id), ties by id; minus infinity is no hit."""
     out = []
-    for row in scores:
-        if len(row) > k:
+    for row, k in zip(scores, limits):
+        if len(row) > k > 0:
             limit = np.partition(row, len(row) - k)[len(row) - k]
             picked = np.nonzero((row >= limit) & (row > -np.inf))[0]
         else:
             picked = np.nonzero(row > -np.inf)[0]
-        order = np.lexsort((ids[picked], -row[picked]))[:k]
+        order = np.lexsort((ids[picked], -row[picked]))[: max(k, 0)]
         out.append((row[picked[order]], ids[picked[order]]))
     return out
 
 
-def _score(questions: pa.Table, batches: Iterator[pa.Table], k: int) -> pa.Table:
-    """The k best documents per question over all batches of one task."""
-    best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=object))] * questions.num_rows
-    left = _matrix(questions["_v"])
-    for batch in batches:
-        batch = batch.filter(pc.is_valid(batch["_v"]))
-        if not batch.num_rows:
-            continue
-        ids = np.asarray(batch["_id"].to_pylist(), dtype=object)
-        right = _matrix(batch["_v"])
-        step = max(1, SCORE_BLOCK // batch.num_rows)
-        for start in range(0, questions.num_rows, step):
-            part = questions.slice(start, step)
-            scores = np.round(left[start:start + step] @ right.T, SCORE_DIGITS) + 0.0
-            mask = _allowed(part, batch)
-            if mask is not None:
-                scores[~mask] = -np.inf
-            for i, (values, names) in enumerate(_block_best(scores, ids, k), start):
-                values, names = np.concatenate([best[i][0], values]), np.concatenate([best[i][1], names])
-                order = np.lexsort((names, -values))[:k]
-                best[i] = (values[order], names[order])
-    query_ids = questions["_id"].to_pylist()
-    return pa.table({
-        "_query": pa.array([q for q, (v, _) in zip(query_ids, best) for _ in v], questions.schema.field("_id").type),
-        "_doc": pa.array([n for _, names in best for n in names]) if any(len(v) for v, _ in best) else pa.array([], pa.string()),
-        "_score": pa.array(np.concatenate([v for v, _ in best]) if best else np.empty(0), pa.float64()),
-    })
-
-
-def _hit_schema(vectors: DataFrame, questions: DataFrame, names: SearchColumns) -> T.StructType:
-    return T.StructType([
-        T.StructField("_query", questions.schema[names.query_id].dataType),
-        T.StructField("_doc", vectors.schema[names.doc_id].dataType),
-        T.StructField("_score", T.DoubleType()),
-    ])
-
-
-def _shipped(vectors: DataFrame, questions: pa.Table, k: int, schema: T.StructType) -> DataFrame:
-    """Score against a question table every task gets a copy of; the vectors are not shuffled."""
-    spark = vectors.sparkSession
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, questions.schema) as writer:
-        writer.write_table(questions)
-    shared = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    target = _arrow_schema(schema)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.ipc.open_stream(shared.value).read_all()
-        found = _score(table, (pa.Table.from_batches([b]) for b in batches), k)
-        yield from found.cast(target).to_batches()
-
-    return vectors.mapInArrow(scan, schema)
-
-
-def _gridded(vectors: DataFrame, questions: DataFrame, k: int, schema: T.StructType, cell_rows: int, chunk_rows: int) -> DataFrame:
-    """Score cell by cell: vectors hashed into cells, questions into chunks, one task per cell and chunk."""
-    cells = max(1, math.ceil(vectors.count() / cell_rows))
-    chunks = max(1, math.ceil(questions.count() / chunk_rows))
-    left = (
-        vectors.withColumn("_cell", F.pmod(F.xxhash64("_id"), F.lit(cells)).cast("int"))
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    )
-    right = (
-        questions.withColumn("_chunk", F.pmod(F.xxhash64("_id"), F.lit(chunks)).cast("int"))
-        .withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    )
-    target = _arrow_schema(schema)
-
-    def score_cell(documents: pa.Table, asked: pa.Table) -> pa.Table:
-        step = max(1, SCORE_BLOCK // max(1, asked.num_rows))
-        parts = (documents.slice(i, step) for i in range(0, documents.num_rows, step))
-        return _score(asked, parts, k).cast(target)
-
-    return left.groupBy("_cell", "_chunk").cogroup(right.groupBy("_cell", "_chunk")).applyInArrow(score_cell, schema)
+def _score(questions: pa.Table, documents: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The best documents of one slice for each question."""
+    limits, left, ids = questions["_k"].to_pylist(), _matrix(questions["_v"]), np.asarray(documents["_id"].to_pylist(), dtype=object)
+    right, asked = _matrix(documents["_v"]), questions["_id"].to_pylist()
+    found = []
+    step = max(1, SCORE_BLOCK // max(1, documents.num_rows))
+    for start in range(0, questions.num_rows, step):
+        scores = np.round(left[start : start + step] @ right.T, SCORE_DIGITS) + 0.0
+        mask = _allowed(questions.slice(start, step), documents)
+        if mask is not None:
+            scores[~mask] = -np.inf
+        found += _block_best(scores, ids, limits[start : start + step])
+    columns = [[q for q, (v, _) in zip(asked, found) for _ in v], [n for _, names in found for n in names], [x for v, _ in found for x in v.tolist()]]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
-    return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema.fields])
+@dataclass(frozen=True)
+class Centers:
+    """What bounds the scores of cells: unit vectors of the centers, and per cell its center (-1: zero vectors), ring and rows."""
+
+    unit: np.ndarray
+    cell: np.ndarray
+    center: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+    rows: np.ndarray
+
+    def bounds(self, questions: np.ndarray) -> np.ndarray:
+        """The best score that each cell (column) can hold for each question (row)."""
+        if not len(self.cell):
+            return np.zeros((len(questions), 0))
+        angle = np.arccos(np.clip(questions @ self.unit.T, -1, 1))[:, np.maximum(self.center, 0)]
+        gap = np.maximum(0, np.maximum(angle - self.most, self.least - angle))
+        best = np.where(self.center < 0, 0.0, np.cos(np.maximum(gap - SLACK, 0)))
+        return np.where((questions * questions).sum(axis=1, keepdims=True) == 0, 0.0, best) + SLACK
 
 
 @dataclass(frozen=True)
-class TopK:
-    """Hits ``query_id, doc_id, score, rank`` and, if the batch was proven small, how many there can be at most."""
+class ClusteredVectors:
+    """Vectors in cells: ``rows`` with ``_cell``, ``_slice`` and the searched columns, ``cells`` with their slices, and their bounds."""
+
+    rows: DataFrame
+    cells: DataFrame
+    centers: Centers
+    names: SearchColumns
+    id_type: T.DataType
 
-    hits: DataFrame
-    most_hits: int | None
 
+def _pivots(vectors: DataFrame, centers: int) -> np.ndarray:
+    """Unit vectors of a few rows, those of lowest vector hash. Copies are one candidate, and a hash bound keeps the candidates few."""
+    total = vectors.count()
+    low = min(int(min(1.0, 40 * centers / max(total, 1)) * 2**64) - 2**63, 2**63 - 1)
+    hashed = vectors.select(F.xxhash64("_v").alias("h"), "_v").filter(F.col("h") <= F.lit(low).cast("long"))
+    chosen = hashed.groupBy("h").agg(F.first("_v").alias("_v")).orderBy("h").limit(centers).select("_v").toArrow()
+    unit = _matrix(chosen["_v"]) if chosen.num_rows else np.zeros((0, 1))
+    return unit[(unit * unit).sum(axis=1) > 0]
 
-def search(
-    vectors: DataFrame, questions: DataFrame, k: int, names: SearchColumns = SearchColumns(),
-    max_shipped: int = MAX_SHIPPED_QUESTIONS, cell_rows: int = CELL_ROWS,
-) -> TopK:
-    """The k most similar allowed documents of every question.
 
-    Scores are cosines rounded to six digits, ties go to the smaller document id.
+def cluster_vectors(vectors: DataFrame, names: SearchColumns = SearchColumns(), centers: int = CENTERS, slice_rows: int = SLICE_ROWS) -> ClusteredVectors:
+    """Deal vectors into cells, once for any number of searches. Null vectors take no part.
+
+    The centers are a bounded sample, the cells at most ``centers`` times the rings; only these are read on the driver.
     """
-    schema = _hit_schema(vectors, questions, names)
-    slim_questions = questions.select(*names.question_columns())
-    asked = slim_questions.limit(max_shipped + 1).toArrow()
-    if asked.num_rows <= max_shipped:
-        needed = vectors.filter(_scan_filter(asked, names)).select(*names.vector_columns())
-        partial, most = _shipped(needed, asked, k, schema), asked.num_rows * k
-    else:
-        needed = vectors.select(*names.vector_columns())
-        partial, most = _gridded(needed, slim_questions, k, schema, cell_rows, max_shipped), None
+    slim = vectors.select(*names.vector_columns()).filter(F.col("_v").isNotNull())
+    unit = _pivots(slim, centers)
+    schema = T.StructType([*slim.schema.fields, T.StructField("_cell", T.LongType()), T.StructField("_angle", T.DoubleType())])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matrix = _matrix(batch.column("_v"))
+            zero = (matrix * matrix).sum(axis=1) == 0
+            if len(unit):
+                likeness = np.clip(matrix @ unit.T, -1, 1)
+                center, angle = likeness.argmax(axis=1), np.arccos(likeness.max(axis=1, initial=-1))
+            else:
+                center, angle = np.zeros(len(matrix), int), np.zeros(len(matrix))
+            cell = np.where(zero, -1, center * _RINGS + (angle / RING_WIDTH).astype(int))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int64)), pa.array(angle)], [*batch.schema.names, "_cell", "_angle"])
+
+    dealt = written(slim.mapInArrow(placed, schema), "cells")
+    cells = dealt.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"), F.min("_angle").alias("_least"), F.max("_angle").alias("_most"))
+    cells = written(cells.coalesce(1).withColumn("_slices", F.ceil(F.col("_rows") / slice_rows).cast("int")), "cell-sizes")
+    found = cells.orderBy("_cell").toPandas()
+    cell = found["_cell"].to_numpy(np.int64)
+    known = Centers(unit, cell, np.where(cell < 0, -1, cell // _RINGS), found["_least"].to_numpy(float), found["_most"].to_numpy(float), found["_rows"].to_numpy(np.int64))
+    sliced = dealt.drop("_angle").join(F.broadcast(cells.select("_cell", "_slices")), "_cell")
+    rows = sliced.withColumn("_slice", F.pmod(F.xxhash64("_id"), "_slices").cast("int")).drop("_slices")
+    return ClusteredVectors(rows, cells, known, names, vectors.schema[names.doc_id].dataType)
+
+
+def _chosen_cells(asked: DataFrame, centers: Centers, later: bool) -> DataFrame:
+    """Questions with each cell (``_cell``) they meet: the first ones, or with ``_least`` (their k-th score so far) the others that
+    may hold a better or equal score."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                bounds = centers.bounds(_matrix(part.column("_v")))
+                order = np.argsort(-bounds, axis=1, kind="stable")
+                before = np.cumsum(centers.rows[order], axis=1) - centers.rows[order]
+                early = before < FIRST_FACTOR * np.array(part.column("_k").to_pylist(), np.int64)[:, None]
+                met = early
+                if later:
+                    least = pc.fill_null(part.column("_least"), -np.inf).to_numpy(zero_copy_only=False)
+                    met = ~early & (np.take_along_axis(bounds, order, axis=1) >= least[:, None])
+                rows, at = np.nonzero(met)
+                out = part.take(pa.array(rows)).drop_columns(["_least"] if later else [])
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(centers.cell[order[rows, at]])], [*out.schema.names, "_cell"])
+
+    kept = [f for f in asked.schema.fields if f.name != "_least"]
+    return asked.mapInArrow(choose, T.StructType([*kept, T.StructField("_cell", T.LongType())]))
+
+
+def _scored(clustered: ClusteredVectors, asked: DataFrame, batch_questions: int) -> DataFrame:
+    """Best hits ``_query, _doc, _score`` per slice for questions with the cells they meet."""
+    met = written(asked, "asked")
+    sizes = met.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / batch_questions).cast("int").alias("_batches"))
+    plan = written(sizes.join(F.broadcast(clustered.cells.select("_cell", "_slices")), "_cell").coalesce(1), "asked-cells")
+    # Both tables have one row per cell, and the number of cells is bounded.
+    to_cell = F.broadcast(plan)
+    left = clustered.rows.join(to_cell.drop("_slices"), "_cell").withColumn("_batch", F.explode(F.sequence(F.lit(0), F.col("_batches") - 1))).drop("_batches")
+    right = met.join(to_cell, "_cell").withColumn("_batch", F.pmod(F.xxhash64("_id"), "_batches").cast("int"))
+    right = right.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices", "_batches")
+    schema = T.StructType([T.StructField("_query", asked.schema["_id"].dataType), T.StructField("_doc", clustered.id_type), T.StructField("_score", T.DoubleType())])
+    target, keys = _arrow_schema(schema), ["_cell", "_slice", "_batch"]
+
+    def score_cell(documents: pa.Table, questions: pa.Table) -> pa.Table:
+        return _score(questions, documents, target)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score_cell, schema)
+
+
+def _arrow_schema(schema: T.StructType) -> pa.Schema:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema.fields])
+
+
+def _ranked(found: DataFrame, limits: DataFrame) -> DataFrame:
     window = Window.partitionBy("_query").orderBy(F.desc("_score"), "_doc")
-    hits = (
-        partial.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
-        .select(F.col("_query").alias(names.query_id), F.col("_doc").alias(names.doc_id), F.col("_score").alias("score"), "rank")
-    )
-    return TopK(hits, most)
-
-
-def vector_topk(vectors: DataFrame, questions: DataFrame, k: int, names: SearchColumns = SearchColumns(), **limits) -> DataFrame:
-    """``query_id, doc_id, score, rank`` of :func:`search`."""
-    return search(vectors, questions, k, names, **limits).hits
-
-
-def _scan_filter(asked: pa.Table, names: SearchColumns) -> Column:
-    """What no question of the batch can want, as a predicate on the vector table that reaches its scan."""
-    rule = F.lit(True)
-    for i, (column, _) in enumerate(names.equal):
-        wanted = asked[f"_e{i}"]
-        if asked.num_rows and not wanted.null_count:
-            rule = rule & F.col(column).isin(*sorted(set(wanted.to_pylist())))
-    if names.dates and asked.num_rows:
-        first, last = names.dates[:2]
-        if not asked["_d0"].null_count:
-            rule = rule & (F.col(last) >= F.date_from_unix_date(F.lit(pc.min(asked["_d0"]).as_py())))
-        if not asked["_d1"].null_count:
-            rule = rule & (F.col(first) <= F.date_from_unix_date(F.lit(pc.max(asked["_d1"]).as_py())))
-    return rule
+    own = found.join(limits.select(F.col("_id").alias("_query"), "_k"), "_query")
+    return own.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= F.col("_k"))
+
+
+def search(clustered: ClusteredVectors, questions: DataFrame, k: int, batch_questions: int = BATCH_QUESTIONS) -> DataFrame:
+    """``query_id, doc_id, score, rank``: the most similar allowed documents of every question, ``k`` or its own limit.
+
+    Scores are cosines rounded to six digits, ties go to the smaller document id. ``query_id`` is unique; questions with a null
+    vector have no hits.
+    """
+    names = clustered.names
+    asked = written(questions.select(*names.question_columns(k)).filter(F.col("_v").isNotNull()), "questions")
+    first = written(_scored(clustered, _chosen_cells(asked, clustered.centers, False), batch_questions), "first-hits")
+    full = _ranked(first, asked).filter(F.col("rank") == F.col("_k")).select(F.col("_query").alias("_id"), F.col("_score").alias("_least"))
+    second = _scored(clustered, _chosen_cells(asked.join(full, "_id", "left"), clustered.centers, True), batch_questions)
+    hits = _ranked(first.unionByName(second), asked)
+    return hits.select(F.col("_query").alias(names.query_id), F.col("_doc").alias(names.doc_id), F.col("_score").alias("score"), "rank")
+
+
+def scored_shares(clustered: ClusteredVectors, questions: DataFrame, k: int) -> DataFrame:
+    """``query_id, scored_share`` of all vectors that a search scores for each question: those of its first cells and those its k-th
+    score cannot rule out."""
+    names = clustered.names
+    asked = written(questions.select(*names.question_columns(k)).filter(F.col("_v").isNotNull()), "questions")
+    full = search(clustered, questions, k).select(F.col(names.query_id).alias("_id"), "score", "rank").join(asked.select("_id", "_k"), "_id")
+    least = full.groupBy("_id").agg(F.max(F.when(F.col("rank") == F.col("_k"), F.col("score"))).alias("_least"))
+    met = _chosen_cells(asked, clustered.centers, False).unionByName(_chosen_cells(asked.join(least, "_id", "left"), clustered.centers, True))
+    total = int(clustered.centers.rows.sum())
+    rows = met.join(F.broadcast(clustered.cells), "_cell").groupBy(F.col("_id").alias(names.query_id)).agg(F.sum("_rows").alias("n"))
+    return rows.select(names.query_id, (F.col("n") / total).alias("scored_share"))
+
+
+def vector_topk(
+    vectors: DataFrame, questions: DataFrame, k: int, names: SearchColumns = SearchColumns(), centers: int = CENTERS,
+    slice_rows: int = SLICE_ROWS, batch_questions: int = BATCH_QUESTIONS,
+) -> DataFrame:
+    """:func:`search` over a table that is not clustered yet."""
+    return search(cluster_vectors(vectors, names, centers, slice_rows), questions, k, batch_questions)
 
 
 def merge_topk(hit_sets: Sequence[DataFrame], k: int, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
@@ -248,22 +310,14 @@ def merge_topk(hit_sets: Sequence[DataFrame], k: int, query_id: str = "query_id"
     return union.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k).drop("_set")
 
 
-def _small(most_hits: int | None) -> bool:
-    return most_hits is not None and most_hits <= MAX_BROADCAST_HITS
-
-
-def attach_payload(hits: DataFrame, index: DataFrame, payload: Sequence[str], most_hits: int | None, doc_id: str = "doc_id") -> DataFrame:
-    """Payload columns of the hits. Hits whose number is known to be small are broadcast to the index scan."""
-    left = F.broadcast(hits) if _small(most_hits) else hits
-    return left.join(index.select(doc_id, *payload), doc_id)
+def attach_payload(hits: DataFrame, index: DataFrame, payload: Sequence[str], doc_id: str = "doc_id") -> DataFrame:
+    """Payload columns of the hits. Stored hits are broadcast to the index scan where their files are small, by Spark's own threshold."""
+    return hits.join(index.select(doc_id, *payload), doc_id)
 
 
-def only_keys(table: DataFrame, hits: DataFrame, most_hits: int | None, doc_id: str = "doc_id") -> DataFrame:
-    """Rows of a large table whose document was hit, cut at its scan when the hits are known to be few.
-
-    With many hits the table is returned whole: the join that follows is then a shuffle join anyway.
-    """
-    return table.join(F.broadcast(hits.select(doc_id)), doc_id, "left_semi") if _small(most_hits) else table
+def only_keys(table: DataFrame, hits: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Rows of a large table whose document was hit."""
+    return table.join(hits.select(doc_id), doc_id, "left_semi")
 
 
 def fill_content(

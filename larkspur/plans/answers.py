@@ -15,6 +15,7 @@ from larkspur.operators import index as ix
 from larkspur.operators import jobs
 from larkspur.operators import quality as dq
 from larkspur.operators import reports as rp
+from larkspur.operators.search import ClusteredVectors, cluster_vectors
 from larkspur.plans.data import (
     ARTICLES_SQL, INGESTED_AT, QUESTIONS_SQL, SNAPSHOT, TRIALS_SQL, curated_articles, questions, table, trials,
 )
@@ -115,6 +116,11 @@ class Knowledge:
     index: DataFrame
     article_features: DataFrame
     trial_features: DataFrame
+    clustered: ClusteredVectors
+
+
+#: The stored index in cells, by the folder of its application.
+_CLUSTERED: dict[str, ClusteredVectors] = {}
 
 
 def _knowledge(spark, sf_dir) -> Knowledge:
@@ -130,22 +136,25 @@ def _knowledge(spark, sf_dir) -> Knowledge:
         for spec in (ARTICLES, TRIALS):
             jobs.refresh_index(store, spec, run, INGESTED_AT)
     index = store.read(jobs.index_table(ARTICLES)).unionByName(store.read(jobs.index_table(TRIALS)))
-    return Knowledge(index, store.read("article_stats"), store.read("trial_stats"))
+    if store.root not in _CLUSTERED:
+        _CLUSTERED[store.root] = cluster_vectors(index, ev.QUESTION_SEARCH)
+    return Knowledge(index, store.read("article_stats"), store.read("trial_stats"), _CLUSTERED[store.root])
 
 
-def _retrieved(spark, sf_dir, index: DataFrame) -> ev.Retrieved:
+def _retrieved(spark, sf_dir, index: DataFrame, clustered: ClusteredVectors | None = None) -> ev.Retrieved:
     """Hits of all questions; placeholder content is filled from the title of the page with the document's number."""
     pages = table(spark, sf_dir, "pages").select(fx.doc_key("PMID", F.col("page_id").cast("string")).alias("doc_id"), "html")
-    return ev.retrieve(_routed(spark, sf_dir), index, staged=pages, staged_text=markup_text(F.col("html"), "title"))
+    return ev.retrieve(_routed(spark, sf_dir), index, staged=pages, staged_text=markup_text(F.col("html"), "title"), clustered=clustered)
 
 
 def _hits(spark, sf_dir) -> DataFrame:
-    return _retrieved(spark, sf_dir, _knowledge(spark, sf_dir).index).hits
+    known = _knowledge(spark, sf_dir)
+    return _retrieved(spark, sf_dir, known.index, known.clustered).hits
 
 
 def _enriched(spark, sf_dir) -> DataFrame:
     known = _knowledge(spark, sf_dir)
-    return ev.enrich(_retrieved(spark, sf_dir, known.index), known.article_features, known.trial_features)
+    return ev.enrich(_retrieved(spark, sf_dir, known.index, known.clustered), known.article_features, known.trial_features)
 
 
 def _cited(spark, sf_dir) -> DataFrame:
@@ -179,6 +188,22 @@ def q_search_filters(spark, sf_dir):
     )
 
 
+@query("search_limits", "WITH" + ARTICLES_SQL + "," + TRIALS_SQL + "," + QUESTIONS_SQL + "," + ROUTED_SQL + "," + INDEX_SQL + PAIRS_SQL + """,
+own AS (SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 10 WHEN 2 THEN 1 ELSE 5 END AS own_limit,
+  CASE item_id % 5 WHEN 0 THEN 'article' WHEN 1 THEN 'trial' END AS one_type FROM benchmark),
+ranked AS (SELECT p.query_id, p.doc_id, p.score, own_limit, row_number() OVER (PARTITION BY p.query_id ORDER BY p.score DESC, p.doc_id) AS r
+  FROM pairs p JOIN docs d USING (doc_id) JOIN own o ON o.query_id = p.query_id WHERE one_type IS NULL OR one_type = d.source_type)
+SELECT query_id, doc_id, score, CAST(r AS INTEGER) AS rank FROM ranked WHERE r <= own_limit""")
+def q_search_limits(spark, sf_dir):
+    """Questions with their own number of hits, some of them for one collection only."""
+    no = F.col("query_id")
+    limit = F.when(no % 4 == 0, 3).when(no % 4 == 1, 10).when(no % 4 == 2, 1)
+    one = F.when(no % 5 == 0, F.array(F.lit(ARTICLES.collection))).when(no % 5 == 1, F.array(F.lit(TRIALS.collection)))
+    asked = ev.route_questions(questions(spark, sf_dir).withColumns({"search_limit": limit, "collections": one}))
+    known = _knowledge(spark, sf_dir)
+    return ev.retrieve(asked, known.index, clustered=known.clustered).keys.select("query_id", "doc_id", "score", "rank")
+
+
 @query("enrich_docs", SEARCH_SQL + """
 SELECT query_id, rank, doc_id, sample_size, abstract_word_count, publication_year, has_outcomes FROM enriched""")
 def q_enrich_docs(spark, sf_dir):

@@ -11,7 +11,7 @@ from larkspur.operators import entities as en
 from larkspur.operators import features as ft
 from larkspur.operators import index as ix
 from larkspur.operators.quantiles import exact_quantiles
-from larkspur.operators.search import SearchColumns, merge_topk, vector_topk
+from larkspur.operators.search import SearchColumns, cluster_vectors, merge_topk, scored_shares, vector_topk
 from larkspur.plans.data import ARTICLES_SQL, SNAPSHOT, TRIALS_SQL, curated_articles, table, trials
 from larkspur.plans.register import new_register
 from larkspur.sources.snapshots import latest_snapshots
@@ -326,8 +326,15 @@ def q_vector_topk(spark, sf_dir):
 
 @query("vector_topk_grid", ORACLES["vector_topk"])
 def q_vector_topk_grid(spark, sf_dir):
-    """The same search by the path of large question batches."""
-    return vector_topk(table(spark, sf_dir, "embeddings"), _centroids(spark, sf_dir), 10, _EMBEDDED, max_shipped=3, cell_rows=150)
+    """The same search with few centers, small slices and small question batches."""
+    return vector_topk(table(spark, sf_dir, "embeddings"), _centroids(spark, sf_dir), 10, _EMBEDDED, centers=5, slice_rows=50, batch_questions=3)
+
+
+@query("vector_shares")
+def q_vector_shares(spark, sf_dir):
+    """Share of all vectors that the search scores for each question of ``vector_topk``; no more than all of them."""
+    clustered = cluster_vectors(table(spark, sf_dir, "embeddings"), _EMBEDDED)
+    return scored_shares(clustered, _centroids(spark, sf_dir), 10)
 
 
 @query("merge_topk", _CENTROIDS_SQL + """

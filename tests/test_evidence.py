@@ -138,7 +138,7 @@ def test_question_to_answer(spark, lake):
     trials = spark.createDataFrame([("NCT1", 50, 1)], "nct_id STRING, sample_size INT, has_outcomes INT")
     index = lake.read("index", snapshot_id="s1")
     expect = {1: ("PMID:1", 3, 2, "approved"), 2: ("NCT:NCT1", 1, 1, "approved"), 3: (None, 0, 0, "rejected")}
-    for options in ({}, {"max_shipped": 1, "cell_rows": 1}):
+    for options in ({}, {"centers": 2, "slice_rows": 1}):
         got = ev.answer_questions(questions, index, articles, trials, **options).collect()
         assert {r["query_id"]: (r["docs"][0]["doc_id"] if r["docs"] else None, r["retrieved_doc_count"], r["feature_enriched_count"], r["review_status"]) for r in got} == expect
     trial = next(r for r in got if r["query_id"] == 2)

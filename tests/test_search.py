@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.vectors import cosine, embed, l2_norm, l2_normalise
 from larkspur.operators import index as ix
-from larkspur.operators.search import SearchColumns, fill_content, merge_topk, search, vector_topk
+from larkspur.operators.search import SearchColumns, cluster_vectors, fill_content, merge_topk, scored_shares, search, vector_topk
 from larkspur.sources.specs import TRIALS
 
 DAY = dt.date(2020, 1, 1)
@@ -63,21 +63,46 @@ def test_topk_matches_brute_force(corpus, k):
     docs, asked, vectors, questions = corpus
     want = brute(docs, asked, k)
     assert as_lists(vector_topk(vectors, questions, k, FILTERED)) == want
-    assert as_lists(vector_topk(vectors, questions, k, FILTERED, max_shipped=4, cell_rows=50)) == want
-
-
-def test_bound_is_known_only_for_small_batches(corpus):
-    _, asked, vectors, questions = corpus
-    assert search(vectors, questions, 3).most_hits == 3 * len(asked)
-    assert search(vectors, questions, 3, max_shipped=2, cell_rows=100).most_hits is None
-
-
-def test_common_filter_reaches_the_scan(corpus, spark, tmp_path):
+    assert as_lists(vector_topk(vectors, questions, k, FILTERED, centers=6, slice_rows=20, batch_questions=3)) == want
+
+
+def test_own_limits_and_collections(corpus, spark):
+    """Limits 0, 1, 3, 5 and none, and one, two, no or unknown collections, mixed in one batch."""
+    docs, asked, vectors, _ = corpus
+    limits, lists = [3, None, 5, 1, 0, 300], [["article"], None, [], ["trial", "article"], ["nowhere"], ["trial"]]
+    rows = [(q, v, limits[q % 6], lists[(q + q // 6) % 6]) for q, v, *_ in asked]
+    questions = spark.createDataFrame(rows, "query_id INT, query_vector ARRAY<FLOAT>, own INT, sets ARRAY<STRING>")
+    names = SearchColumns(within=(("source_type", "sets"),), limit="own")
+    want = {}
+    for q, v, own, sets in rows:
+        kept = [d for d in docs if not sets or d[2] in sets]
+        want |= brute(kept, [(q, v, None, None, None)], 4 if own is None else own)
+    for options in ({}, {"centers": 4, "slice_rows": 25, "batch_questions": 2}):
+        assert as_lists(vector_topk(vectors, questions, 4, names, **options)) == want
+
+
+def test_cells_are_ruled_out(spark):
+    """On grouped vectors few are scored, and the hits are those of all pairs; copies and zero vectors included."""
+    rng = np.random.default_rng(5)
+    groups = rng.normal(size=(30, 16))
+    docs = [(f"d{i:04d}", (groups[i % 30] + 0.02 * rng.normal(size=16)).tolist(), None, None, None) for i in range(1500)]
+    docs += [(f"e{i:04d}", groups[0].tolist(), None, None, None) for i in range(700)] + [("z0", [0.0] * 16, None, None, None)]
+    asked = [(i, (groups[i] + 0.02 * rng.normal(size=16)).tolist(), None, None, None) for i in range(12)] + [(99, [0.0] * 16, None, None, None)]
+    vectors = spark.createDataFrame([d[:2] for d in docs], "doc_id STRING, vector ARRAY<FLOAT>").repartition(6)
+    questions = spark.createDataFrame([a[:2] for a in asked], "query_id INT, query_vector ARRAY<FLOAT>")
+    clustered = cluster_vectors(vectors, slice_rows=100)
+    assert as_lists(search(clustered, questions, 5)) == brute(docs, asked, 5)
+    shares = {r["query_id"]: r["scored_share"] for r in scored_shares(clustered, questions, 5).collect()}
+    assert shares[99] == 1.0 and max(s for q, s in shares.items() if q not in (0, 99)) < 0.2
+    # The cell of the 700 copies is cut into slices.
+    most = clustered.rows.groupBy("_cell", "_slice").count().agg(F.max("count")).first()[0]
+    assert clustered.cells.agg(F.max("_rows")).first()[0] >= 700 and most < 200
+
+
+def test_no_vectors_or_no_questions(corpus):
     _, _, vectors, questions = corpus
-    vectors.write.parquet(str(tmp_path / "v"))
-    trials = questions.filter("want = 'trial'")
-    plan = vector_topk(spark.read.parquet(str(tmp_path / "v")), trials, 3, FILTERED)._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(source_type,trial)" in plan.replace("In(source_type, [trial])", "EqualTo(source_type,trial)")
+    assert vector_topk(vectors.limit(0), questions, 3, FILTERED).count() == 0
+    assert vector_topk(vectors, questions.limit(0), 3, FILTERED).count() == 0
 
 
 def test_merge_of_collections_is_the_global_best(corpus):
