@@ -66,7 +66,8 @@ class KeyedTable:
     """One row per key, the first by ``order`` (columns or sort orders over the row's own columns) of all that were ever upserted.
 
     Rows lie in ``buckets`` folders by key hash. An upsert reads and rewrites only the folders that its change set touches, so
-    a delivery that holds few keys costs little however large the table is. Upserting the same rows again changes nothing.
+    a delivery that holds few keys costs little however large the table is. Upserting the same rows again changes nothing. Rows
+    without a key take no part.
     """
 
     spark: SparkSession
@@ -99,7 +100,7 @@ class KeyedTable:
         The change set is written first, so it is computed once. Old rows are compared by key and order only; those that lose are
         left out of their bucket by an anti join, which adaptive execution broadcasts when the change set is small.
         """
-        newest = latest_per_key(rows, [self.key], [F.desc(c) for c in self.order])
+        newest = latest_per_key(rows.filter(F.col(self.key).isNotNull()), [self.key], [F.desc(c) for c in self.order])
         changes = written(newest.withColumn(BUCKET, self._bucket()), "changes")
         if not _exists(self.spark, self.path):
             _replace_parts(changes.repartition(BUCKET), self.path, BUCKET)
