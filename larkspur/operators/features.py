@@ -89,10 +89,10 @@ def feature_lookup(keys: DataFrame, features: DataFrame, key: str, lead: str) ->
 
 def features_as_of(
     requests: DataFrame, history: DataFrame, key: str, request_ts: str, values: list[str],
-    ttl_days: int = FEATURE_TTL_DAYS, tie_break: str | None = None, bucket: str = "day",
+    ttl_days: int = FEATURE_TTL_DAYS, tie_break: str | None = None, blocks: int | None = None,
 ) -> DataFrame:
     """Feature values valid at each request time; see :func:`as_of_join`."""
-    return as_of_join(requests, history, key, request_ts, "event_timestamp", values, ttl_days, tie_break, bucket)
+    return as_of_join(requests, history, key, request_ts, "event_timestamp", values, ttl_days, tie_break, blocks)
 
 
 def feature_staleness(features: DataFrame, current: DataFrame, now: Column, max_age_hours: int = 24) -> DataFrame:

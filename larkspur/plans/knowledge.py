@@ -151,7 +151,7 @@ SELECT p_type, p AS probability, round(quantile_cont(price, p), 4) AS quantile F
 """.replace("quantile_cont(price, p)", """CASE p WHEN 0.05 THEN quantile_cont(price, 0.05) WHEN 0.25 THEN quantile_cont(price, 0.25)
   WHEN 0.5 THEN quantile_cont(price, 0.5) ELSE quantile_cont(price, 0.95) END"""))
 def q_outcome_quantiles(spark, sf_dir):
-    out = exact_quantiles(_outcomes(spark, sf_dir), ["p_type"], "price", [0.05, 0.25, 0.5, 0.95], bin_width=500.0)
+    out = exact_quantiles(_outcomes(spark, sf_dir), ["p_type"], "price", [0.05, 0.25, 0.5, 0.95])
     return out.withColumn("quantile", F.round("quantile", 4))
 
 

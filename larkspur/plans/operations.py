@@ -84,7 +84,7 @@ def q_latency_quantiles_total(spark, sf_dir):
 SELECT status, 0.5::DOUBLE AS probability, round(quantile_cont(duration_s, 0.5), 6) AS quantile FROM query_log GROUP BY 1
 UNION ALL SELECT status, 0.95::DOUBLE, round(quantile_cont(duration_s, 0.95), 6) FROM query_log GROUP BY 1""")
 def q_latency_exact(spark, sf_dir):
-    out = exact_quantiles(query_log(spark, sf_dir), ["status"], "duration_s", [0.5, 0.95], bin_width=1.0)
+    out = exact_quantiles(query_log(spark, sf_dir), ["status"], "duration_s", [0.5, 0.95])
     return out.withColumn("quantile", F.round("quantile", 6))
 
 
@@ -136,7 +136,7 @@ def q_load_acceptance(spark, sf_dir):
         F.when(F.col("event_type") == "error", 502).otherwise(200).alias("http_status"),
         F.when(F.col("event_type") == "signup", 0).otherwise(5).alias("citations"), "value",
     )
-    out = mt.load_acceptance(requests, exact_quantiles(requests, [], "value", [0.95], bin_width=1.0))
+    out = mt.load_acceptance(requests, exact_quantiles(requests, [], "value", [0.95]))
     return out.withColumns({c: F.round(c, 6) for c in ("success_rate", "p95_s")})
 
 

@@ -3,11 +3,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.operators import entities as en
 from larkspur.operators import features as ft
-from larkspur.operators.asof import as_of_join, timeline_steps
+from larkspur.operators.asof import as_of_join, in_blocks, timeline_steps
 from larkspur.operators.quantiles import exact_quantiles
 
 T0 = dt.datetime(2024, 1, 1)
@@ -42,9 +43,8 @@ def test_lookup_keeps_duplicates_and_drops_unknown(spark):
     assert [(r["position"], r["title_word_count"]) for r in got] == [(0, 5), (2, 5)]
 
 
-@pytest.mark.parametrize("bucket", ["hour", "day", "year"])
-@pytest.mark.parametrize("ttl", [None, 1])
-def test_as_of_matches_brute_force_with_a_hot_key(spark, bucket, ttl):
+@pytest.mark.parametrize("blocks, ttl", [(None, None), (2, 1), (9, None), (9, 1)])
+def test_as_of_matches_brute_force_with_a_hot_key(spark, blocks, ttl):
     rnd = random.Random(7)
     key = lambda: "hot" if rnd.random() < 0.5 else f"k{rnd.randrange(8)}"
     at = lambda: T0 + dt.timedelta(minutes=rnd.randrange(60 * 24 * 6))
@@ -53,7 +53,7 @@ def test_as_of_matches_brute_force_with_a_hot_key(spark, bucket, ttl):
     asks.append((999, "hot", T0 + dt.timedelta(days=30)))
     got = as_of_join(
         spark.createDataFrame(asks, "q INT, k STRING, ts TIMESTAMP"), spark.createDataFrame(history, "k STRING, event_timestamp TIMESTAMP, v INT"),
-        "k", "ts", "event_timestamp", ["v"], ttl, "v", bucket,
+        "k", "ts", "event_timestamp", ["v"], ttl, "v", blocks,
     )
     want = {}
     for q, k, t in asks:
@@ -62,6 +62,37 @@ def test_as_of_matches_brute_force_with_a_hot_key(spark, bucket, ttl):
     assert {r["q"]: (r["valid_from"], r["v"]) for r in got.collect()} == want
 
 
+def test_hot_moment_is_spread_over_blocks(spark):
+    """Nine of ten rows have one key and one day, half of all one moment: blocks stay even and the result is right."""
+    moment = F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 86_400)
+    events = spark.range(20_000).select(
+        F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + moment).alias("ts"), F.col("id").alias("n"),
+    )
+    sizes = [r["count"] for r in in_blocks(events, ["k", "ts", "n"], 8).groupBy("_block").count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) == 8 and max(sizes) < 5000
+    got = {r["n"]: (r["elapsed_ms"], r["step_ms"]) for r in timeline_steps(events, "k", "ts", "n", 8).collect()}
+    w = Window.partitionBy("k").orderBy("ts", "n")
+    seconds = F.unix_seconds("ts")
+    plain = events.select("n", ((seconds - F.first(seconds).over(w)) * 1000).alias("e"), ((seconds - F.coalesce(F.lag(seconds).over(w), seconds)) * 1000).alias("s"))
+    assert got == {r["n"]: (r["e"], r["s"]) for r in plain.collect()}
+    history = events.select("k", F.col("ts").alias("at"), F.col("n").alias("v"))
+    asks = events.filter("n % 7 = 0").select("k", "ts", "n")
+    found = {r["n"]: r["v"] for r in as_of_join(asks, history, "k", "ts", "at", ["v"], tie_break="v", blocks=8).collect()}
+    newest = Window.partitionBy("k").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
+    best = events.withColumn("v", F.max(F.struct("ts", "n")).over(newest)["n"]).filter("n % 7 = 0")
+    assert found == {r["n"]: r["v"] for r in best.collect()}
+
+
+def test_quantiles_of_a_hot_range(spark):
+    """Nearly all values lie in a tiny range, without any group: rounds cut it until few values are ordered together."""
+    df = spark.range(30_000).select(F.when(F.col("id") % 100 > 0, F.col("id") * 1e-9 + 5).otherwise(F.col("id") * 1.0).alias("v"))
+    got = {r["probability"]: r["quantile"] for r in exact_quantiles(df, [], "v", [0.01, 0.5, 0.999], 200).collect()}
+    values = np.array([i * 1e-9 + 5 if i % 100 else i * 1.0 for i in range(30_000)])
+    assert got == pytest.approx({p: np.quantile(values, p) for p in got}, abs=1e-12) and len(got) == 3
+    assert exact_quantiles(df.limit(0), [], "v", [0.5], 200).count() == 0
+
+
 def test_staleness(spark):
     rows = [("articles", "s1", T0), ("articles", "s2", T0), ("trials", "s1", T0 - dt.timedelta(hours=25))]
     features = spark.createDataFrame(rows, "table_name STRING, snapshot_ref STRING, event_timestamp TIMESTAMP")
@@ -70,21 +101,21 @@ def test_staleness(spark):
     assert got == {("articles", "s1"): (True, False), ("articles", "s2"): (False, False), ("trials", "s1"): (False, True)}
 
 
-@pytest.mark.parametrize("width", [0.01, 10.0, 1e6])
-def test_quantiles_match_numpy(spark, width):
+@pytest.mark.parametrize("most", [1, 20, 10**6])
+def test_quantiles_match_numpy(spark, most):
     rnd = random.Random(3)
     rows = [("hot" if rnd.random() < 0.6 else f"g{rnd.randrange(5)}", rnd.choice([rnd.gauss(0, 30), 7.0, -2.5])) for _ in range(500)] + [("one", 4.0), ("none", None)]
     df = spark.createDataFrame(rows, "g STRING, v DOUBLE")
-    got = {(r["g"], r["probability"]): r["quantile"] for r in exact_quantiles(df, ["g"], "v", [0.0, 0.25, 0.5, 0.99, 1.0], width).collect()}
+    got = {(r["g"], r["probability"]): r["quantile"] for r in exact_quantiles(df, ["g"], "v", [0.0, 0.25, 0.5, 0.99, 1.0], most).collect()}
     groups = {g: [v for k, v in rows if k == g and v is not None] for g, _ in rows}
     want = {(g, p): np.quantile(vs, p) for g, vs in groups.items() if vs for p in (0.0, 0.25, 0.5, 0.99, 1.0)}
     assert got == pytest.approx(want)
 
 
-@pytest.mark.parametrize("bucket", ["hour", "year"])
-def test_timeline(spark, bucket):
+@pytest.mark.parametrize("blocks", [None, 1, 3, 7])
+def test_timeline(spark, blocks):
     rows = [("q", 0, T0), ("q", 1, T0 + dt.timedelta(milliseconds=1500)), ("q", 2, T0 + dt.timedelta(hours=2)), ("r", 0, T0), ("q", 3, T0 + dt.timedelta(hours=2))]
-    got = timeline_steps(spark.createDataFrame(rows, "k STRING, n INT, ts TIMESTAMP"), "k", "ts", "n", bucket)
+    got = timeline_steps(spark.createDataFrame(rows, "k STRING, n INT, ts TIMESTAMP"), "k", "ts", "n", blocks)
     assert {(r["k"], r["n"]): (r["elapsed_ms"], r["step_ms"]) for r in got.collect()} == {
         ("q", 0): (0, 0), ("q", 1): (1500, 1500), ("q", 2): (7200000, 7198500), ("q", 3): (7200000, 0), ("r", 0): (0, 0)}
 
