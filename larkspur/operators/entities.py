@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,8 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as fx
+from larkspur.session import written
 
-MAX_BROADCAST_TERMS = 200_000
+#: Words of the longest terms, and terms of a block when pairs are made.
+MOST_WORDS, PAIR_BLOCK = 5, 256
+#: Count columns by kind of document.
+KINDS = {"publications": "article", "trials": "trial"}
 
 
 def part_offsets(text: Column | str, separator: str) -> Column:
@@ -51,41 +57,96 @@ def trial_outcomes(trials: DataFrame) -> DataFrame:
     return trials.select("nct_id", F.posexplode("primary_outcomes").alias("outcome_no", "outcome"))
 
 
-def entity_mentions(section_rows: DataFrame, terms: DataFrame, max_terms: int = MAX_BROADCAST_TERMS) -> DataFrame:
-    """Words of the sections that are dictionary terms: ``doc_id, section_no, term, word_no, mention_start``.
+def term_prefixes(terms: DataFrame) -> DataFrame:
+    """The nodes of the word trie of a dictionary (``term``, words joined by one blank): ``prefix, n, is_term`` with ``n`` words."""
+    words = terms.select("term").filter(F.col("term") != "").distinct().withColumn("_words", F.split("term", " "))
+    nodes = words.select("term", F.explode(F.sequence(F.lit(1), F.size("_words"))).alias("n"), "_words")
+    prefix = F.array_join(F.slice("_words", F.lit(1), F.col("n")), " ")
+    return nodes.select(prefix.alias("prefix"), "n", (prefix == F.col("term")).alias("is_term")).groupBy("prefix", "n").agg(F.bool_or("is_term").alias("is_term"))
+
 
-    Words are compared in lower case without edge punctuation. The dictionary (unique ``term``) is broadcast only when
-    a bounded count proves it small; a larger one is joined by shuffle, with adaptive splitting of hot words.
+def section_words(section_rows: DataFrame, ahead: int, keep: Sequence[str]) -> DataFrame:
+    """``at, word, following, word_no, mention_start`` of every word of the sections, lower-cased and without edge punctuation.
+
+    ``word_no`` counts pieces between blanks, ``at`` those with something left, and ``following`` holds the next ``ahead`` words.
     """
-    split = split_parts(
-        F.split(F.lower("section_text"), fx.WHITESPACE), part_offsets("section_text", fx.WHITESPACE_RE2)
+    split = section_rows.select(
+        *keep, "section_no", "section_start", F.split(F.lower("section_text"), fx.WHITESPACE).alias("_parts"),
+        part_offsets("section_text", fx.WHITESPACE_RE2).alias("_starts"),
     )
-    tokens = section_rows.select("doc_id", "section_no", "section_start", split.alias("word_no", "_word"))
-    candidates = tokens.select(
-        "doc_id", "section_no", "word_no", (F.col("section_start") + F.col("_word.start")).alias("mention_start"),
-        F.btrim(F.col("_word.part"), F.lit(fx.PUNCTUATION)).alias("term"),
-    ).filter(F.col("term") != "")
-    small = terms.limit(max_terms + 1).count() <= max_terms
-    dictionary = F.broadcast(terms) if small else terms
-    return candidates.join(dictionary, "term").select("doc_id", "section_no", "term", "word_no", "mention_start")
+    pieces = F.transform("_parts", lambda part, i: F.struct(F.btrim(part, F.lit(fx.PUNCTUATION)).alias("word"), i.alias("no"), F.get("_starts", i).alias("start")))
+    filled = split.withColumn("_pieces", F.filter(pieces, lambda x: x["word"] != "")).drop("_parts", "_starts")
+    filled = filled.withColumn("_words", F.transform("_pieces", lambda x: x["word"]))
+    # What follows a word is cut out before rows are made, so a long section is not copied to each of its words.
+    rows = F.transform("_pieces", lambda x, i: F.struct(i.alias("at"), x["word"].alias("word"), F.slice(F.col("_words"), i + 2, F.lit(ahead)).alias("following"), x["no"].alias("word_no"), x["start"].alias("start")))
+    listed = filled.select(*keep, "section_no", "section_start", F.explode(rows).alias("w"))
+    return listed.select(*keep, "section_no", "w.at", "w.word", "w.following", "w.word_no", (F.col("section_start") + F.col("w.start")).alias("mention_start"))
+
+
+def entity_mentions(section_rows: DataFrame, terms: DataFrame, most_words: int = MOST_WORDS, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Dictionary terms of one to ``most_words`` words in the sections: ``doc_id, section_no, term, word_no, mention_start``.
+
+    Words are compared in lower case without edge punctuation. Of overlapping matches the leftmost counts, of those that start
+    together the longest. The trie of the dictionary is walked by joins, a word at a time: only words that begin a term, then only
+    pairs that do, and so on, are rows. Spark broadcasts a level whose file is small and splits hot words of a larger one. ``keep`` names the columns
+    of a section's document.
+    """
+    prefixes = written(term_prefixes(terms), "terms")
+    words = section_words(section_rows, most_words - 1, keep)
+    level = words.withColumn("prefix", F.col("word")).join(prefixes.filter("n = 1").drop("n"), "prefix")
+    matches = []
+    for n in range(1, most_words + 1):
+        level = written(level, "begun")
+        matches.append(level.filter("is_term").select(*keep, "section_no", "at", F.lit(n).alias("n"), F.col("prefix").alias("term"), "word_no", "mention_start"))
+        longer = level.filter(F.size("following") >= n).withColumn("prefix", F.concat_ws(" ", "prefix", F.get("following", F.lit(n - 1)))).drop("is_term")
+        level = longer.join(prefixes.filter(F.col("n") == n + 1).drop("n"), "prefix")
+    found = matches[0]
+    for part in matches[1:]:
+        found = found.unionByName(part)
+    section = [*keep, "section_no"]
+    ordered = found.repartition(*section).sortWithinPartitions(*section, "at", F.desc("n"))
+    return ordered.mapInArrow(_leftmost(len(section)), ordered.schema).select(*section, "term", "word_no", "mention_start")
+
+
+def _leftmost(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keeps the matches that begin behind the last kept one; rows come sorted by section (the first columns), start and falling length."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        section, end = None, 0
+        for batch in batches:
+            picked = []
+            for i, (at, n, *own) in enumerate(zip(*(batch.column(c).to_pylist() for c in [width, width + 1, *range(width)]))):
+                if own != section:
+                    section, end = own, 0
+                if at >= end:
+                    picked.append(i)
+                    end = at + n
+            yield batch.take(pa.array(picked, pa.int64()))
+
+    return kept
 
 
 def entity_counts(mentions: DataFrame) -> DataFrame:
-    """``term, mentions, documents`` per entity; repeats inside a document are combined before the second shuffle."""
-    per_doc = mentions.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("term").agg(F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("documents"))
+    """``term, mentions, publications, trials`` per entity; repeats inside a document are combined before the second shuffle."""
+    per_doc = mentions.groupBy("term", "doc_id", "source_type").agg(F.count(F.lit(1)).alias("n"))
+    return per_doc.groupBy("term").agg(F.sum("n").alias("mentions"), *[F.count_if(F.col("source_type") == t).alias(c) for c, t in KINDS.items()])
 
 
-def cooccurrence(mentions: DataFrame) -> DataFrame:
-    """``term_a, term_b, documents``: how many documents hold both terms (``term_a < term_b``).
+def cooccurrence(mentions: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """``term_a, term_b, publications, trials``: how many documents of each kind hold both terms (``term_a < term_b``).
 
-    Documents with the same set of terms (copies above all) are counted together first, so a pair is expanded once per
-    distinct set, and pair counts are summed in the map task before they shuffle. The work of one set grows with the
-    square of the dictionary terms in one document, which the operator's result itself requires.
+    Documents with the same set of terms (copies above all) are counted together first. A set is cut into blocks of sorted terms, and
+    pairs of blocks are dealt out before they are expanded: a document with very many terms is the work of many tasks, each
+    of which makes at most ``block`` squared pairs from a row. Counts of pairs are summed in the map task before they shuffle.
     """
-    sets = mentions.groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    weighted = sets.filter(F.size("terms") > 1).groupBy("terms").agg(F.count(F.lit(1)).alias("weight"))
-    first = weighted.select("weight", "terms", F.posexplode("terms").alias("i", "term_a"))
-    rest = F.slice("terms", F.col("i") + 2, F.size("terms"))
-    pairs = first.select("weight", "term_a", F.explode(rest).alias("term_b"))
-    return pairs.groupBy("term_a", "term_b").agg(F.sum("weight").alias("documents"))
+    sets = mentions.groupBy("doc_id", "source_type").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    weights = [F.count_if(F.col("source_type") == t).alias(c) for c, t in KINDS.items()]
+    weighted = sets.filter(F.size("terms") > 1).groupBy("terms").agg(*weights)
+    cut = weighted.withColumn("_blocks", F.transform(F.sequence(F.lit(1), F.size("terms"), F.lit(block)), lambda i: F.slice("terms", i, F.lit(block))))
+    cut = cut.withColumn("_set", F.xxhash64("terms")).drop("terms")
+    first = cut.select(*KINDS, "_set", "_blocks", F.explode(F.sequence(F.lit(0), F.size("_blocks") - 1)).alias("i"))
+    pairs = first.select(*KINDS, "_set", "i", F.get("_blocks", F.col("i")).alias("_left"), F.posexplode(F.slice("_blocks", F.col("i") + 1, F.size("_blocks"))).alias("j", "_right"))
+    dealt = pairs.repartition("_set", "i", "j")
+    left = dealt.select(*KINDS, F.explode("_left").alias("term_a"), "_right")
+    both = left.select(*KINDS, "term_a", F.explode(F.filter("_right", lambda b: b > F.col("term_a"))).alias("term_b"))
+    return both.groupBy("term_a", "term_b").agg(*[F.sum(c).alias(c) for c in KINDS])

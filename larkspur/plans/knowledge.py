@@ -183,13 +183,36 @@ placed AS (SELECT *, coalesce(sum(length(section_text) + 1) OVER (PARTITION BY d
 sections AS (SELECT doc_id, CAST(section_no AS INTEGER) AS section_no, section_text, CAST(section_start AS INTEGER) AS section_start FROM placed
   WHERE trim(section_text, """ + BLANKS + """) <> '')"""
 
-MENTIONS_SQL = """WITH""" + SECTIONS_SQL + """,
-terms AS (SELECT DISTINCT term FROM (SELECT trim(lower(unnest(string_split_regex(text, '\\s+'))), '.,;:?!()') AS term FROM benchmark) WHERE length(term) >= 6),
-words AS (SELECT doc_id, section_no, section_start, unnest(string_split_regex(section_text, '\\s')) AS word,
-    generate_subscripts(string_split_regex(section_text, '\\s'), 1) - 1 AS word_no FROM sections),
-offsets AS (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id, section_no ORDER BY word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS word_start FROM words),
-mentions AS (SELECT doc_id, section_no, t.term, CAST(word_no AS INTEGER) AS word_no, CAST(section_start + word_start AS INTEGER) AS mention_start
-  FROM offsets JOIN terms t ON t.term = trim(lower(word), '.,;:?!()'))
+MENTIONS_SQL = "WITH RECURSIVE" + TRIALS_SQL + f""",
+texts AS (
+  SELECT 'PMID:' || doc_id AS doc_id, 'article' AS source_type, text FROM documents
+  UNION ALL SELECT 'NCT:' || nct_id, 'trial', concat_ws(chr(10), brief_title, array_to_string(conditions, ', '), array_to_string(interventions, ', ')) FROM trials),
+lines AS (SELECT doc_id, source_type, unnest(string_split(text, chr(10))) AS section_text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS section_no FROM texts),
+placed AS (SELECT *, coalesce(sum(length(section_text) + 1) OVER (PARTITION BY doc_id ORDER BY section_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS section_start FROM lines),
+parts AS (SELECT doc_id, source_type, section_no, section_start, unnest(string_split_regex(section_text, '\\s')) AS word,
+    generate_subscripts(string_split_regex(section_text, '\\s'), 1) - 1 AS word_no FROM placed WHERE trim(section_text, {BLANKS}) <> ''),
+offsets AS (SELECT *, trim(lower(word), '.,;:?!()') AS w, section_start + coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id, section_no ORDER BY word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mention_start FROM parts),
+numbered AS (SELECT *, row_number() OVER v AS pos, lead(w, 1) OVER v AS w2, lead(w, 2) OVER v AS w3, lead(w, 3) OVER v AS w4, lead(w, 4) OVER v AS w5
+  FROM offsets WHERE w <> '' WINDOW v AS (PARTITION BY doc_id, section_no ORDER BY word_no)),
+bench AS (SELECT item_id, list_filter([trim(lower(x), '.,;:?!()') FOR x IN string_split_regex(text, '\\s')], lambda x: x <> '') AS ws FROM benchmark),
+terms AS (
+  SELECT DISTINCT term FROM (
+    SELECT unnest(ws) AS term FROM bench UNION ALL SELECT array_to_string(ws[1:2 + item_id % 4], ' ') FROM bench UNION ALL SELECT array_to_string(ws[4:5 + item_id % 3], ' ') FROM bench
+    UNION ALL SELECT lower(p_type) FROM part UNION ALL SELECT lower(p_name) FROM part)
+  WHERE term NOT IN ({', '.join(f"'{w}'" for w in fx.STOP_WORDS)}) AND term <> ''),
+grams AS (
+  SELECT doc_id, section_no, pos, 1 AS n, w AS term FROM numbered UNION ALL SELECT doc_id, section_no, pos, 2, w || ' ' || w2 FROM numbered UNION ALL SELECT doc_id, section_no, pos, 3, w || ' ' || w2 || ' ' || w3 FROM numbered
+  UNION ALL SELECT doc_id, section_no, pos, 4, w || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM numbered UNION ALL SELECT doc_id, section_no, pos, 5, w || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 FROM numbered),
+longest AS (SELECT doc_id, section_no, pos, max(n) AS n, arg_max(term, n) AS term FROM grams JOIN terms USING (term) GROUP BY 1, 2, 3),
+chained AS (
+  SELECT l.*, nx.pos AS next_pos FROM (SELECT *, pos + n AS free FROM longest) l
+  ASOF LEFT JOIN longest nx ON l.doc_id = nx.doc_id AND l.section_no = nx.section_no AND l.free <= nx.pos),
+picked AS (
+  SELECT c.doc_id, c.section_no, c.pos, c.next_pos FROM chained c JOIN (SELECT doc_id, section_no, min(pos) AS pos FROM longest GROUP BY 1, 2) f USING (doc_id, section_no, pos)
+  UNION ALL SELECT c.doc_id, c.section_no, c.pos, c.next_pos FROM picked p JOIN chained c ON c.doc_id = p.doc_id AND c.section_no = p.section_no AND c.pos = p.next_pos),
+mentions AS (
+  SELECT doc_id, m.source_type, CAST(section_no AS INTEGER) AS section_no, l.term, CAST(word_no AS INTEGER) AS word_no, CAST(mention_start AS INTEGER) AS mention_start
+  FROM picked JOIN longest l USING (doc_id, section_no, pos) JOIN numbered m USING (doc_id, section_no, pos))
 """
 
 
@@ -198,13 +221,21 @@ def _sections(spark, sf_dir) -> DataFrame:
 
 
 def _terms(spark, sf_dir) -> DataFrame:
-    """Dictionary: long words of the benchmark texts."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(fx.words("text")).alias("word"))
-    return words.select(F.btrim(F.lower("word"), F.lit(fx.PUNCTUATION)).alias("term")).filter(F.length("term") >= 6).distinct()
+    """Dictionary: the words of the benchmark texts and two phrases of each, types and names of parts; no stop words."""
+    split = F.transform(F.split("text", fx.WHITESPACE), lambda w: F.btrim(F.lower(w), F.lit(fx.PUNCTUATION)))
+    bench = table(spark, sf_dir, "benchmark").select("item_id", F.filter(split, lambda w: w != "").alias("ws"))
+    first, inner = F.slice("ws", F.lit(1), (F.col("item_id") % 4 + 2).cast("int")), F.slice("ws", F.lit(4), (F.col("item_id") % 3 + 2).cast("int"))
+    phrases = bench.select(F.explode(F.concat("ws", F.array(F.array_join(first, " "), F.array_join(inner, " ")))).alias("term"))
+    parts = table(spark, sf_dir, "part").select(F.explode(F.array(F.lower("p_type"), F.lower("p_name"))).alias("term"))
+    return phrases.unionByName(parts).filter((F.col("term") != "") & ~F.col("term").isin(*fx.STOP_WORDS)).distinct()
 
 
 def _mentions(spark, sf_dir) -> DataFrame:
-    return en.entity_mentions(_sections(spark, sf_dir), _terms(spark, sf_dir))
+    """Mentions in the sections of all articles and trials."""
+    articles = table(spark, sf_dir, "documents").select(fx.doc_key("PMID", F.col("doc_id").cast("string")).alias("doc_id"), F.lit("article").alias("source_type"), "text")
+    text = F.concat_ws("\n", "brief_title", F.array_join("conditions", ", "), F.array_join("interventions", ", "))
+    studies = trials(spark, sf_dir).select(fx.doc_key("NCT", "nct_id").alias("doc_id"), F.lit("trial").alias("source_type"), text.alias("text"))
+    return en.entity_mentions(en.sections(articles.unionByName(studies)), _terms(spark, sf_dir), keep=("doc_id", "source_type"))
 
 
 @query("sections", "WITH" + SECTIONS_SQL + " SELECT doc_id, section_no, md5(section_text) AS section_md5, section_start FROM sections")
@@ -223,13 +254,16 @@ def q_entity_mentions(spark, sf_dir):
     return _mentions(spark, sf_dir)
 
 
-@query("entity_counts", MENTIONS_SQL + "SELECT term, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM mentions GROUP BY 1")
+@query("entity_counts", MENTIONS_SQL + """
+SELECT term, count(*) AS mentions, count(DISTINCT doc_id) FILTER (WHERE source_type = 'article') AS publications, count(DISTINCT doc_id) FILTER (WHERE source_type = 'trial') AS trials
+FROM mentions GROUP BY 1""")
 def q_entity_counts(spark, sf_dir):
     return en.entity_counts(_mentions(spark, sf_dir))
 
 
-@query("cooccurrence", MENTIONS_SQL + """, m AS (SELECT DISTINCT doc_id, term FROM mentions)
-SELECT a.term AS term_a, b.term AS term_b, count(*) AS documents FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY 1, 2""")
+@query("cooccurrence", MENTIONS_SQL + """, m AS (SELECT DISTINCT doc_id, source_type, term FROM mentions)
+SELECT a.term AS term_a, b.term AS term_b, count(*) FILTER (WHERE a.source_type = 'article') AS publications, count(*) FILTER (WHERE a.source_type = 'trial') AS trials
+FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY 1, 2""")
 def q_cooccurrence(spark, sf_dir):
     return en.cooccurrence(_mentions(spark, sf_dir))
 

@@ -1,11 +1,13 @@
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import PUNCTUATION
 from larkspur.operators import entities as en
 from larkspur.operators import features as ft
 from larkspur.operators.asof import as_of_join, in_blocks, timeline_steps
@@ -129,28 +131,75 @@ def test_outcomes_leave_unknown_out(spark):
 TEXTS = [(1, "Aspirin, ünder  test.\n\nMetformin and aspirin"), (2, "nothing here"), (3, "METFORMIN aspirin"), (4, "METFORMIN aspirin"), (5, None)]
 
 
-def mentions(spark, limit):
-    docs = spark.createDataFrame(TEXTS, "doc_id INT, text STRING")
-    terms = spark.createDataFrame([("aspirin",), ("metformin",), ("unused",), ("test",)], "term STRING")
-    return en.entity_mentions(en.sections(docs), terms, max_terms=limit)
+TERMS = ["aspirin", "metformin", "unused", "test", "aspirin under", "ünder test metformin x", "metformin and", "and aspirin"]
 
 
-@pytest.mark.parametrize("limit", [100, 1])
-def test_mentions_have_true_offsets(spark, limit):
-    rows = mentions(spark, limit).collect()
+def mentions(spark, texts=TEXTS, terms=TERMS):
+    docs = spark.createDataFrame([(i, "trial" if i == 4 else "article", t) for i, t in texts], "doc_id INT, source_type STRING, text STRING")
+    return en.entity_mentions(en.sections(docs), spark.createDataFrame([(t,) for t in terms], "term STRING"), keep=("doc_id", "source_type"))
+
+
+def plain_mentions(texts, terms):
+    """Leftmost longest matches, word by word."""
+    out = []
+    for doc_id, text in texts:
+        start = 0
+        for no, section in enumerate((text or "").split("\n")):
+            words, at = [], start
+            for word_no, piece in enumerate(re.split(r"\s", section)):
+                bare = piece.lower().strip(PUNCTUATION)
+                if bare:
+                    words.append((bare, word_no, at))
+                at += len(piece) + 1
+            i = 0
+            while i < len(words):
+                n = max((n for n in range(1, 6) if " ".join(w for w, _, _ in words[i : i + n]) in terms and i + n <= len(words)), default=0)
+                if n:
+                    out.append((doc_id, no, " ".join(w for w, _, _ in words[i : i + n]), *words[i][1:]))
+                i += max(n, 1)
+            start += len(section) + 1
+    return sorted(out)
+
+
+def test_mentions_have_true_offsets(spark):
+    rows = mentions(spark).collect()
     texts = dict(TEXTS)
     assert {(r["doc_id"], r["section_no"], r["term"], r["word_no"]) for r in rows} == {
-        (1, 0, "aspirin", 0), (1, 0, "test", 3), (1, 2, "metformin", 0), (1, 2, "aspirin", 2), (3, 0, "metformin", 0), (3, 0, "aspirin", 1),
+        (1, 0, "aspirin", 0), (1, 0, "test", 3), (1, 2, "metformin and", 0), (1, 2, "aspirin", 2), (3, 0, "metformin", 0), (3, 0, "aspirin", 1),
         (4, 0, "metformin", 0), (4, 0, "aspirin", 1)}
     for r in rows:
         assert texts[r["doc_id"]][r["mention_start"]:].lower().startswith(r["term"])
 
 
+def test_phrases_by_brute_force(spark):
+    """Overlapping phrases of one to five words, prefixes that are no terms, punctuation, blanks in a row, a long section, empty texts."""
+    rnd = random.Random(4)
+    vocabulary = ["a", "B", "c,", "(d)", "e.", "-", "", "ä", "?!"]
+    texts = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(30))) + ("\n" if i % 3 else "\t") + " ".join(rnd.choice(vocabulary) for _ in range(10))) for i in range(120)]
+    texts += [(900, None), (901, ""), (902, "a b " * 4000)]
+    terms = {"a", "a b", "a b c", "b c d e a", "c d", "d e a b c", "ä -", "e e", "b c d", "b a b a b", "a b a b a"}
+    found = mentions(spark, texts, [*terms, "", "a b"])
+    assert sorted((r["doc_id"], r["section_no"], r["term"], r["word_no"], r["mention_start"]) for r in found.collect()) == plain_mentions(texts, terms)
+    assert mentions(spark, texts, ["zzz"]).count() == 0 and mentions(spark, TEXTS[:1]).limit(0).count() == 0
+
+
 def test_counts_and_pairs(spark):
-    found = mentions(spark, 100)
-    assert {r["term"]: (r["mentions"], r["documents"]) for r in en.entity_counts(found).collect()} == {"aspirin": (4, 3), "metformin": (3, 3), "test": (1, 1)}
-    assert {(r["term_a"], r["term_b"]): r["documents"] for r in en.cooccurrence(found).collect()} == {
-        ("aspirin", "metformin"): 3, ("aspirin", "test"): 1, ("metformin", "test"): 1}
+    found = mentions(spark)
+    assert {r["term"]: (r["mentions"], r["publications"], r["trials"]) for r in en.entity_counts(found).collect()} == {
+        "aspirin": (4, 2, 1), "metformin": (2, 1, 1), "metformin and": (1, 1, 0), "test": (1, 1, 0)}
+    want = {("aspirin", "metformin"): (1, 1), ("aspirin", "metformin and"): (1, 0), ("aspirin", "test"): (1, 0), ("metformin and", "test"): (1, 0)}
+    for block in (256, 2, 1):
+        assert {(r["term_a"], r["term_b"]): (r["publications"], r["trials"]) for r in en.cooccurrence(found, block).collect()} == want
+
+
+def test_a_document_with_very_many_terms_is_spread(spark):
+    """All pairs of one document's 600 terms, made by many tasks from bounded rows."""
+    rows = spark.range(600).select(F.lit(1).alias("doc_id"), F.lit("article").alias("source_type"), F.format_string("t%05d", "id").alias("term"))
+    pairs = en.cooccurrence(rows.unionByName(rows.withColumns({"doc_id": F.lit(2), "source_type": F.lit("trial")})), 32)
+    r = pairs.agg(F.count("*").alias("n"), F.min("publications").alias("p"), F.max("trials").alias("t")).first()
+    assert tuple(r) == (600 * 599 // 2, 1, 1)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [term_a") < plan.index("RepartitionByExpression")
 
 
 def test_registry(spark):
