@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.sources.json_arrays import read_json_array
 from larkspur.sources.specs import SourceSpec
 
 
@@ -17,13 +18,14 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def read_source_json(spark: SparkSession, path: str | list[str], spec: SourceSpec, lines: bool = False) -> DataFrame:
     """Source records from JSON array files, or from JSON lines (``lines=True``).
 
-    A JSON array file is read by one task, so large deliveries should come as many files or as lines, which split.
-    Unreadable records keep their text in ``_corrupt_record`` and are rejected later.
+    Files of both forms are read by as many tasks as they have splits. Unreadable records keep their text in ``_corrupt_record`` and
+    are rejected later.
     """
+    if not lines:
+        return read_json_array(spark, path, spec.input_schema())
     schema = T.StructType([*spec.input_schema().fields, T.StructField("_corrupt_record", T.StringType())])
     return (
         spark.read.schema(schema)
-        .option("multiLine", not lines)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(path)
