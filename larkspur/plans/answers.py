@@ -17,12 +17,12 @@ from larkspur.operators import quality as dq
 from larkspur.operators import reports as rp
 from larkspur.operators.search import ClusteredVectors, cluster_vectors
 from larkspur.plans.data import (
-    ARTICLES_SQL, INGESTED_AT, QUESTIONS_SQL, SNAPSHOT, TRIALS_SQL, curated_articles, questions, table, trials,
+    ARTICLES_SQL, INGESTED_AT, QUESTIONS_SQL, SNAPSHOT, TRIALS_SQL, curated_articles, page_text_sql, questions, table, trials,
 )
 from larkspur.plans.knowledge import ARTICLE_STATS_SQL, BLANKS, TRIAL_STATS_SQL, vectors_sql
 from larkspur.plans.register import new_register
 from larkspur.session import application_folder
-from larkspur.sources.readers import markup_text
+from larkspur.sources.readers import page_text, trial_text_from_json
 from larkspur.sources.snapshots import UNKNOWN, SnapshotStore
 from larkspur.sources.specs import ARTICLES, TRIALS
 
@@ -64,8 +64,9 @@ pairs AS (
 top AS (SELECT query_id, doc_id, score, CAST(r AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM pairs) WHERE r <= 5)"""
 
-HITS_SQL = """,
-staged AS (SELECT 'PMID:' || page_id AS doc_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS fetched FROM pages),
+HITS_SQL = f""",
+staged AS (SELECT 'PMID:' || page_id AS doc_id, {page_text_sql('html')} AS fetched FROM pages
+  UNION ALL SELECT 'NCT:' || nct_id, 'Status ' || status || ' for ' || array_to_string(conditions, ', ') || ' by ' || array_to_string(interventions, ', ') FROM trials),
 hits AS (
   SELECT query_id, rank, doc_id, score, title, substr(content, 1, 500) AS snippet, source_type, 'snap-1' AS snapshot_ref,
     coalesce(CASE WHEN content = '' OR (starts_with(content, 'Abstract ') AND length(content) < 20) OR (source_type = 'trial' AND length(content) < 100)
@@ -141,10 +142,19 @@ def _knowledge(spark, sf_dir) -> Knowledge:
     return Knowledge(index, store.read("article_stats"), store.read("trial_stats"), _CLUSTERED[store.root])
 
 
+def _staged(spark, sf_dir) -> DataFrame:
+    """Fetched documents ``doc_id, html, payload``: pages of articles, study documents of trials."""
+    pages = table(spark, sf_dir, "pages").select(fx.doc_key("PMID", F.col("page_id").cast("string")).alias("doc_id"), "html", F.lit(None).cast("string").alias("payload"))
+    summary = F.concat(F.lit("Status "), F.col("status"), F.lit(" for "), F.array_join("conditions", ", "), F.lit(" by "), F.array_join("interventions", ", "))
+    module = F.struct(F.struct(F.struct(summary.alias("briefSummary")).alias("descriptionModule")).alias("protocolSection"))
+    studies = trials(spark, sf_dir).select(fx.doc_key("NCT", "nct_id").alias("doc_id"), F.lit(None).cast("string").alias("html"), F.to_json(module).alias("payload"))
+    return pages.unionByName(studies)
+
+
 def _retrieved(spark, sf_dir, index: DataFrame, clustered: ClusteredVectors | None = None) -> ev.Retrieved:
-    """Hits of all questions; placeholder content is filled from the title of the page with the document's number."""
-    pages = table(spark, sf_dir, "pages").select(fx.doc_key("PMID", F.col("page_id").cast("string")).alias("doc_id"), "html")
-    return ev.retrieve(_routed(spark, sf_dir), index, staged=pages, staged_text=markup_text(F.col("html"), "title"), clustered=clustered)
+    """Hits of all questions; placeholder content is filled from the fetched page or study document."""
+    text = F.coalesce(page_text(F.col("html")), trial_text_from_json(fx.bare_id("doc_id"), F.col("payload")))
+    return ev.retrieve(_routed(spark, sf_dir), index, staged=_staged(spark, sf_dir), staged_text=text, clustered=clustered)
 
 
 def _hits(spark, sf_dir) -> DataFrame:

@@ -15,11 +15,11 @@ from larkspur.operators.ingest import IngestRun, run_counts
 from larkspur.operators.lake import Lake, curate_runs, index_changes, ingest_run
 from larkspur.operators.normalise import mark_rejects, normalise_articles, normalise_trials, project_curated, split_rejects
 from larkspur.plans.data import (
-    ARTICLES_SQL, INGESTED_AT, SNAPSHOT, TRIALS_SQL, VERSION, body_text, delivered_articles, delivered_date, table, trials,
+    ARTICLES_SQL, INGESTED_AT, SNAPSHOT, TRIALS_SQL, VERSION, body_text, delivered_articles, delivered_date, page_text_sql, table, trials,
 )
 from larkspur.plans.register import new_register
 from larkspur.session import workspace
-from larkspur.sources.readers import article_text_from_xml, markup_text, read_source_json, trial_text_from_json
+from larkspur.sources.readers import article_text_from_xml, page_text, read_source_json, trial_text_from_json
 from larkspur.sources.snapshots import SnapshotStore
 from larkspur.sources.specs import ARTICLES, TRIALS
 
@@ -385,25 +385,25 @@ def q_duplicate_keys(spark, sf_dir):
     return duplicate_keys(table(spark, sf_dir, "documents").select(F.md5("text").alias("text_key")), "text_key")
 
 
-@query("extract_text", """
-SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title,
-  nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') AS heading FROM pages""")
+@query("extract_text", f"SELECT page_id, md5({page_text_sql('html')}) AS text_md5, length({page_text_sql('html')}) AS text_chars FROM pages")
 def q_extract_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
-        "page_id", markup_text(F.col("html"), "title").alias("title"), markup_text(F.col("html"), "h1").alias("heading")
-    )
+    """Text of whole pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", page_text(F.col("html")).alias("text"))
+    return pages.select("page_id", F.md5("text").alias("text_md5"), F.char_length("text").cast("long").alias("text_chars"))
 
 
 @query("extract_article_text", """
 SELECT doc_id, CASE WHEN source <> 'src3' THEN nullif(array_to_string([trim(l) FOR l IN string_split(text, chr(10)) IF trim(l) <> ''], chr(10) || chr(10)), '') END AS article_text
 FROM documents""")
 def q_extract_article_text(spark, sf_dir):
-    """Documents staged as abstract XML, one block per line; one source has no numeric ids."""
+    """Documents staged as whole article records, one labelled abstract block per line with an element inside; one source has no numeric ids."""
     def escape(line):
         return F.replace(F.replace(F.replace(line, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
-    blocks = F.transform(F.split("text", "\n"), lambda line: F.concat(F.lit("<AbstractText>"), escape(line), F.lit("</AbstractText>")))
-    xml = F.concat(F.lit("<Abstract>"), F.array_join(blocks, ""), F.lit("</Abstract>"))
+    blocks = F.transform(F.split("text", "\n"), lambda line: F.concat(F.lit('<AbstractText Label="PART" NlmCategory="x &gt; y">'), escape(line), F.lit("<sup>1</sup>, cut</AbstractText>")))
+    head, title = '<?xml version="1.0"?><!DOCTYPE PubmedArticleSet PUBLIC "-//X//DTD" "https://example.org/x.dtd"><PubmedArticleSet><PubmedArticle><MedlineCitation><Article><ArticleTitle>', "</ArticleTitle><Abstract>"
+    tail = "</Abstract></Article></MedlineCitation><PubmedData><Other><Text>no abstract</Text></Other></PubmedData></PubmedArticle></PubmedArticleSet>"
+    xml = F.concat(F.lit(head), F.col("lang"), F.lit(title), F.array_join(blocks, ""), F.lit(tail))
     staged_id = F.concat(F.when(F.col("source") == "src3", "x").otherwise(""), F.col("doc_id").cast("string"))
     staged = table(spark, sf_dir, "documents").select("doc_id", staged_id.alias("staged_id"), xml.alias("xml"))
     return staged.select("doc_id", article_text_from_xml(F.col("staged_id"), F.col("xml")).alias("article_text"))

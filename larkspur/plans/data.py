@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.sources.readers import read_table
+from larkspur.sources.readers import BLOCK_TAGS, read_table
 
 INGESTED_AT = dt.datetime(2024, 5, 1, 12, 0, 0)
 SNAPSHOT = "snap-1"
@@ -170,3 +170,17 @@ query_log AS (
     value AS duration_s,
     CASE WHEN event_type = 'error' THEN CASE WHEN value > 50 THEN 'DQ-UI-1' ELSE 'DQ-UI-2' END END AS rule
   FROM events)"""
+
+
+def page_text_sql(html: str) -> str:
+    """The text of a page in SQL."""
+    attributes = """(?:[^>"'']|"[^"]*"|''[^'']*'')*"""
+    out = f"regexp_replace({html}, '(?s)<!--.*?-->', '', 'g')"
+    for tag in ("script", "style"):
+        out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
+    out = f"regexp_replace({out}, '(?i)</?(?:{BLOCK_TAGS})\\b{attributes}>', chr(10), 'g')"
+    out = f"replace(regexp_replace({out}, '<[A-Za-z/!]{attributes}>', '', 'g'), '&nbsp;', ' ')"
+    out = f"trim(regexp_replace(regexp_replace({out}, '[ \\t\\x0B\\f\\r]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
+    for entity, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{letter}')"
+    return f"nullif({out}, '')"

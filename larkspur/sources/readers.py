@@ -53,17 +53,20 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
-_ABSTRACT_XML = "AbstractText ARRAY<STRING>"
+_WELL_FORMED = "_corrupt_record STRING"
 
 
 def article_text_from_xml(article_id: Column, xml: Column) -> Column:
     """All non-empty AbstractText blocks joined by a blank line; null for malformed XML or a non-numeric id.
 
-    ``xml`` holds one Abstract element per row, the staged payload of the article.
+    ``xml`` is the staged article document; the blocks may lie at any depth and carry attributes. Of a block with
+    elements inside, the text before the first one counts. A document type declaration is skipped, never resolved.
     """
-    parsed = F.from_xml(xml, _ABSTRACT_XML, {"mode": "PERMISSIVE"})
-    blocks = F.filter(parsed["AbstractText"], lambda t: t.isNotNull() & (t != ""))
-    return F.when(article_id.rlike("^[0-9]+$"), F.nullif(F.array_join(blocks, "\n\n"), F.lit("")))
+    body = F.regexp_replace(xml, r"<!DOCTYPE[^>\[]*(?:\[[^\]]*\])?[^>]*>", "")
+    readable = F.from_xml(body, _WELL_FORMED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})["_corrupt_record"].isNull()
+    blocks = F.xpath(body, F.lit("//AbstractText/text()[not(preceding-sibling::*)]"))
+    text = F.nullif(F.array_join(F.filter(blocks, lambda t: t != ""), "\n\n"), F.lit(""))
+    return F.when(article_id.rlike("^[0-9]+$") & xml.isNotNull() & readable, text)
 
 
 def trial_text_from_json(trial_id: Column, payload: Column) -> Column:
@@ -74,6 +77,25 @@ def trial_text_from_json(trial_id: Column, payload: Column) -> Column:
     return F.when(trial_id.startswith("NCT"), F.coalesce(detailed, summary))
 
 
-def markup_text(html: Column, tag: str) -> Column:
-    """Text of the first ``<tag>`` element of a staged page, null if there is none."""
-    return F.nullif(F.regexp_extract(html, f"<{tag}>([^<]*)</{tag}>", 1), F.lit(""))
+#: Elements that end a line of a page's text.
+BLOCK_TAGS = "p|div|br|li|ul|ol|h[1-6]|tr|td|table|article|section|nav|title|head|body|html"
+_ATTRIBUTES = """(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+
+
+def page_text(html: Column) -> Column:
+    """Text of a whole staged page, one line per block element; null without any.
+
+    Comments, scripts, styles and tags are dropped, also tags with ``>`` inside quoted attributes; the common entities are resolved.
+    Blanks in a row are one, blank lines are left out.
+    """
+    text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    for tag in ("script", "style"):
+        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
+    text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCK_TAGS})\b{_ATTRIBUTES}>", "\n")
+    text = F.regexp_replace(text, f"<[A-Za-z/!]{_ATTRIBUTES}>", "")
+    text = F.regexp_replace(F.replace(text, F.lit("&nbsp;"), F.lit(" ")), r"[ \t\x0B\f\r]+", " ")
+    text = F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+    for entity, letter in _ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(letter))
+    return F.nullif(text, F.lit(""))
