@@ -65,21 +65,43 @@ def term_prefixes(terms: DataFrame) -> DataFrame:
     return nodes.select(prefix.alias("prefix"), "n", (prefix == F.col("term")).alias("is_term")).groupBy("prefix", "n").agg(F.bool_or("is_term").alias("is_term"))
 
 
+_WORDS = "array<struct<at:int,word:string,following:array<string>,word_no:int,start:int>>"
+
+
+def _listed_words(text: Column | str, ahead: int) -> Column:
+    """The words of each text with their places and the next ``ahead`` words, worked out column-wise in Arrow batches."""
+
+    def words(original: pa.Array, lowered: pa.Array) -> pa.Array:
+        def split(column: pa.Array) -> pa.Array:
+            return pc.split_pattern_regex(pc.fill_null(column.cast(pa.string()), ""), fx.WHITESPACE_RE2)
+
+        parts, bare = split(original), pc.utf8_trim(split(lowered).flatten(), characters=fx.PUNCTUATION)
+        bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        lengths = pc.utf8_length(parts.flatten()).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        row, before = np.repeat(np.arange(len(parts)), np.diff(bounds)), np.concatenate([[0], np.cumsum(lengths)])
+        filled = np.flatnonzero(pc.not_equal(bare, "").to_numpy(zero_copy_only=False))
+        word, row = bare.take(pa.array(filled)), row[filled]
+        firsts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(parts)))])
+        place = np.arange(len(filled))
+        behind = np.minimum(ahead, firsts[row + 1] - place - 1)
+        ends = np.concatenate([[0], np.cumsum(behind)])
+        at = np.arange(ends[-1]) - np.repeat(ends[:-1], behind) + np.repeat(place + 1, behind)
+        following = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), word.take(pa.array(at)))
+        numbers = [place - firsts[row], filled - bounds[row], before[filled] - before[bounds[row]]]
+        position, number, start = (pa.array(x.astype(np.int32)) for x in numbers)
+        rows = pa.StructArray.from_arrays([position, word, following, number, start], ["at", "word", "following", "word_no", "start"])
+        return pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), rows)
+
+    words.__annotations__ = {"original": pa.Array, "lowered": pa.Array, "return": pa.Array}
+    return F.arrow_udf(_WORDS)(words)(text, F.lower(text))
+
+
 def section_words(section_rows: DataFrame, ahead: int, keep: Sequence[str]) -> DataFrame:
     """``at, word, following, word_no, mention_start`` of every word of the sections, lower-cased and without edge punctuation.
 
     ``word_no`` counts pieces between blanks, ``at`` those with something left, and ``following`` holds the next ``ahead`` words.
     """
-    split = section_rows.select(
-        *keep, "section_no", "section_start", F.split(F.lower("section_text"), fx.WHITESPACE).alias("_parts"),
-        part_offsets("section_text", fx.WHITESPACE_RE2).alias("_starts"),
-    )
-    pieces = F.transform("_parts", lambda part, i: F.struct(F.btrim(part, F.lit(fx.PUNCTUATION)).alias("word"), i.alias("no"), F.get("_starts", i).alias("start")))
-    filled = split.withColumn("_pieces", F.filter(pieces, lambda x: x["word"] != "")).drop("_parts", "_starts")
-    filled = filled.withColumn("_words", F.transform("_pieces", lambda x: x["word"]))
-    # What follows a word is cut out before rows are made, so a long section is not copied to each of its words.
-    rows = F.transform("_pieces", lambda x, i: F.struct(i.alias("at"), x["word"].alias("word"), F.slice(F.col("_words"), i + 2, F.lit(ahead)).alias("following"), x["no"].alias("word_no"), x["start"].alias("start")))
-    listed = filled.select(*keep, "section_no", "section_start", F.explode(rows).alias("w"))
+    listed = section_rows.select(*keep, "section_no", "section_start", F.explode(_listed_words("section_text", ahead)).alias("w"))
     return listed.select(*keep, "section_no", "w.at", "w.word", "w.following", "w.word_no", (F.col("section_start") + F.col("w.start")).alias("mention_start"))
 
 

@@ -118,6 +118,7 @@ class Knowledge:
     article_features: DataFrame
     trial_features: DataFrame
     clustered: ClusteredVectors
+    trials: DataFrame
 
 
 #: The stored index in cells, by the folder of its application.
@@ -139,32 +140,32 @@ def _knowledge(spark, sf_dir) -> Knowledge:
     index = store.read(jobs.index_table(ARTICLES)).unionByName(store.read(jobs.index_table(TRIALS)))
     if store.root not in _CLUSTERED:
         _CLUSTERED[store.root] = cluster_vectors(index, ev.QUESTION_SEARCH)
-    return Knowledge(index, store.read("article_stats"), store.read("trial_stats"), _CLUSTERED[store.root])
+    return Knowledge(index, store.read("article_stats"), store.read("trial_stats"), _CLUSTERED[store.root], store.read("curated_trials"))
 
 
-def _staged(spark, sf_dir) -> DataFrame:
-    """Fetched documents ``doc_id, html, payload``: pages of articles, study documents of trials."""
+def _staged(spark, sf_dir, studied: DataFrame) -> DataFrame:
+    """Fetched documents ``doc_id, html, payload``: pages of articles, study documents of the stored trials."""
     pages = table(spark, sf_dir, "pages").select(fx.doc_key("PMID", F.col("page_id").cast("string")).alias("doc_id"), "html", F.lit(None).cast("string").alias("payload"))
     summary = F.concat(F.lit("Status "), F.col("status"), F.lit(" for "), F.array_join("conditions", ", "), F.lit(" by "), F.array_join("interventions", ", "))
     module = F.struct(F.struct(F.struct(summary.alias("briefSummary")).alias("descriptionModule")).alias("protocolSection"))
-    studies = trials(spark, sf_dir).select(fx.doc_key("NCT", "nct_id").alias("doc_id"), F.lit(None).cast("string").alias("html"), F.to_json(module).alias("payload"))
+    studies = studied.select(fx.doc_key("NCT", "nct_id").alias("doc_id"), F.lit(None).cast("string").alias("html"), F.to_json(module).alias("payload"))
     return pages.unionByName(studies)
 
 
-def _retrieved(spark, sf_dir, index: DataFrame, clustered: ClusteredVectors | None = None) -> ev.Retrieved:
+def _retrieved(spark, sf_dir, known: Knowledge) -> ev.Retrieved:
     """Hits of all questions; placeholder content is filled from the fetched page or study document."""
     text = F.coalesce(page_text(F.col("html")), trial_text_from_json(fx.bare_id("doc_id"), F.col("payload")))
-    return ev.retrieve(_routed(spark, sf_dir), index, staged=_staged(spark, sf_dir), staged_text=text, clustered=clustered)
+    return ev.retrieve(_routed(spark, sf_dir), known.index, staged=_staged(spark, sf_dir, known.trials), staged_text=text, clustered=known.clustered)
 
 
 def _hits(spark, sf_dir) -> DataFrame:
     known = _knowledge(spark, sf_dir)
-    return _retrieved(spark, sf_dir, known.index, known.clustered).hits
+    return _retrieved(spark, sf_dir, known).hits
 
 
 def _enriched(spark, sf_dir) -> DataFrame:
     known = _knowledge(spark, sf_dir)
-    return ev.enrich(_retrieved(spark, sf_dir, known.index, known.clustered), known.article_features, known.trial_features)
+    return ev.enrich(_retrieved(spark, sf_dir, known), known.article_features, known.trial_features)
 
 
 def _cited(spark, sf_dir) -> DataFrame:
