@@ -149,14 +149,14 @@ dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-
 dp AS (SELECT doc_id, len(w) - 4 AS m, unnest(range(1, len(w) - 3)) AS p, w FROM dw WHERE len(w) >= 5),
 ds AS (SELECT doc_id, m, p - 1 AS pos, array_to_string(w[p:p+4], ' ') AS sh FROM dp),
 hit AS (SELECT DISTINCT doc_id, m, pos, sh, item_id, n, k FROM ds JOIN ic USING (sh)),
-enough AS (SELECT doc_id, item_id FROM hit GROUP BY ALL HAVING count(*) >= ceil(150 * any_value(n) / 175.0)),
-h AS (SELECT hit.* FROM hit JOIN enough USING (doc_id, item_id)),
-st AS (SELECT DISTINCT doc_id, item_id, n, unnest(range(greatest(0, pos - n + 1), least(pos, m - n) + 1)) AS start FROM h),
-inw AS (SELECT st.doc_id, st.item_id, st.n, st.start, h.sh, h.k, count(*) AS t FROM st JOIN h ON st.doc_id = h.doc_id AND st.item_id = h.item_id AND h.pos BETWEEN st.start AND st.start + st.n - 1 GROUP BY ALL),
-sm AS (SELECT doc_id, item_id, n, start, sum(least(t, k)) AS same FROM inw GROUP BY ALL),
-ok AS (SELECT * FROM sm WHERE 100 * same >= 75 * (2 * n - same)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY same DESC, start, n DESC) AS r FROM ok)
-SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS n_shingles, same / (2.0 * n - same) AS similarity FROM rk WHERE r = 1
+enough AS (SELECT doc_id, item_id FROM hit GROUP BY ALL HAVING count(*) >= ceil(75 * (any_value(n) + least(any_value(m), any_value(n))) / 175.0)),
+h AS (SELECT hit.*, least(m, n) AS size FROM hit JOIN enough USING (doc_id, item_id)),
+st AS (SELECT DISTINCT doc_id, item_id, n, size, unnest(range(greatest(0, pos - size + 1), least(pos, m - size) + 1)) AS start FROM h),
+inw AS (SELECT st.doc_id, st.item_id, st.n, st.size, st.start, h.sh, h.k, count(*) AS t FROM st JOIN h ON st.doc_id = h.doc_id AND st.item_id = h.item_id AND st.n = h.n AND h.pos BETWEEN st.start AND st.start + st.size - 1 GROUP BY ALL),
+sm AS (SELECT doc_id, item_id, n, size, start, sum(least(t, k)) AS same FROM inw GROUP BY ALL),
+ok AS (SELECT * FROM sm WHERE 100 * same >= 75 * (n + size - same)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY same DESC, start, size DESC, n) AS r FROM ok)
+SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, CAST(size AS BIGINT) AS n_shingles, same / CAST(n + size - same AS DOUBLE) AS similarity FROM rk WHERE r = 1
 """
 
 
