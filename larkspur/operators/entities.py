@@ -7,16 +7,20 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as fx
 from larkspur.session import written
 
-#: Words of the longest terms, and terms of a block when pairs are made.
-MOST_WORDS, PAIR_BLOCK = 5, 256
+#: Words of the longest terms, terms of a block when pairs are counted, tasks that a pair of blocks is dealt to, pairs worked out at once.
+MOST_WORDS, PAIR_BLOCK, PAIR_DEALS, PAIR_STEP = 5, 1024, 8, 1 << 20
+#: Bits of a term's number inside its block: for more terms than any block has.
+_BITS = 20
 #: Count columns by kind of document.
 KINDS = {"publications": "article", "trials": "trial"}
+#: What is summed per pair of terms: documents of each kind, and of any or none.
+_COUNTED = (*KINDS, "documents")
 
 
 def part_offsets(text: Column | str, separator: str) -> Column:
@@ -154,21 +158,142 @@ def entity_counts(mentions: DataFrame) -> DataFrame:
     return per_doc.groupBy("term").agg(F.sum("n").alias("mentions"), *[F.count_if(F.col("source_type") == t).alias(c) for c, t in KINDS.items()])
 
 
+def _numbered_terms(terms: DataFrame, block: int) -> DataFrame:
+    """``term, code`` of the distinct terms: blocks by hash that hold about ``block`` terms, ``code`` is the block, then ``_BITS`` bits for the number inside it."""
+    distinct = written(terms.select("term").filter("term IS NOT NULL").distinct(), "vocabulary")
+    blocks = max(1, -(-distinct.count() // block))
+    inside = F.row_number().over(Window.partitionBy("_block").orderBy("term")) - 1
+    numbered = distinct.withColumn("_block", F.pmod(F.xxhash64("term"), F.lit(blocks))).select("term", (F.col("_block") * 2**_BITS + inside).cast("long").alias("code"))
+    return written(numbered, "term-codes")
+
+
+def _dealt_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``i, j, deal, left, right`` and the counts for each pair of blocks that a sorted set of codes has terms of."""
+    for batch in batches:
+        rows, held = [], 0
+
+        def packed() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int64()] * len(_COUNTED)]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["i", "j", "deal", "left", "right", *_COUNTED])
+
+        sets, counts = batch.column("codes"), zip(*(batch.column(c).to_pylist() for c in ("deal", *_COUNTED)))
+        bounds, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        for first, last, (deal, *own) in zip(bounds[:-1], bounds[1:], counts):
+            codes = flat[first:last]
+            block, number = codes >> _BITS, (codes & (2**_BITS - 1)).astype(np.int32)
+            cuts = np.flatnonzero(np.diff(block)) + 1
+            names, parts = block[np.concatenate([[0], cuts])].tolist(), np.split(number, cuts)
+            for a, left in enumerate(parts):
+                for b in range(a, len(parts)):
+                    rows.append((names[a], names[b], deal, left, parts[b], *own))
+                    held += len(left) + len(parts[b])
+                    if held > PAIR_STEP:
+                        yield packed()
+                        rows, held = [], 0
+        if rows:
+            yield packed()
+
+
+def _pair_codes(left: pa.ListArray, right: pa.ListArray, counts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """The pairs of both lists of each row as ``left``, then ``_BITS`` bits of ``right``, with the row's counts, some millions at a time."""
+    (at, lengths, values), (to, widths, others) = ((x.offsets.to_numpy()[:-1], pc.list_value_length(x).to_numpy().astype(np.int64), x.values.to_numpy()) for x in (left, right))
+    # One line per element of a left list: its row, its value, and the right list to run along.
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    value = values[np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + at[row]].astype(np.int64)
+    ends = np.cumsum(widths[row])
+    first = 0
+    while first < len(row):
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + PAIR_STEP, side="right")))
+        mine, width = row[first:last], widths[row[first:last]]
+        begin = np.cumsum(width) - width
+        place = np.arange(int(width.sum())) + np.repeat(to[mine] - begin, width)
+        yield np.repeat(value[first:last] << _BITS, width) + others[place], [np.repeat(c[mine], width) for c in counts]
+        first = last
+
+
+class _PairCounts:
+    """Counts of the pairs of one pair of blocks: few of them as a list, many as a table of a cell per pair."""
+
+    def __init__(self) -> None:
+        self.listed, self.size, self.cells, self.side = [], 0, None, 0
+
+    def add(self, codes: np.ndarray, counts: list[np.ndarray]) -> None:
+        self.listed.append((codes, counts))
+        self.size += len(codes)
+        if self.size > PAIR_STEP:
+            self._fold()
+
+    def _fold(self) -> None:
+        for codes, counts in self.listed:
+            a, b = codes >> _BITS, codes & (2**_BITS - 1)
+            side = max(self.side, int(max(a.max(), b.max())) + 1)
+            if side > self.side:
+                grown = [np.zeros((side, side), np.int64) for _ in counts]
+                for new, old in zip(grown, self.cells or []):
+                    new[: self.side, : self.side] = old
+                self.cells, self.side = grown, side
+            for cells, count in zip(self.cells, counts):
+                cells += np.bincount(a * side + b, weights=count, minlength=side * side).astype(np.int64).reshape(side, side)
+        self.listed, self.size = [], 0
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        if self.cells is not None:
+            self._fold()
+            a, b = np.nonzero(self.cells[-1])
+            return a, b, [cells[a, b] for cells in self.cells]
+        codes, group = np.unique(np.concatenate([c for c, _ in self.listed]), return_inverse=True)
+        sums = [np.bincount(group, weights=np.concatenate([n[k] for _, n in self.listed])).astype(np.int64) for k in range(len(_COUNTED))]
+        return codes >> _BITS, codes & (2**_BITS - 1), sums
+
+
+def _counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``a, b`` (codes) with their counts over the rows of each pair of blocks; rows come sorted by it."""
+    pair, counted = None, None
+
+    def closed() -> Iterator[pa.RecordBatch]:
+        a, b, sums = counted.pairs()
+        # Inside one block each pair was met in both orders and each term with itself.
+        wanted = a < b if pair[0] == pair[1] else np.ones(len(a), bool)
+        columns = [(pair[0] << _BITS) + a[wanted], (pair[1] << _BITS) + b[wanted], *(n[wanted] for n in sums)]
+        out = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", *_COUNTED])
+        for first in range(0, out.num_rows, 100_000):
+            yield out.slice(first, 100_000)
+
+    for batch in batches:
+        i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
+        cuts = (np.flatnonzero((np.diff(i) != 0) | (np.diff(j) != 0)) + 1).tolist()
+        for first, last in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if first == last:
+                continue
+            if pair != (int(i[first]), int(j[first])):
+                if counted is not None:
+                    yield from closed()
+                pair, counted = (int(i[first]), int(j[first])), _PairCounts()
+            part = batch.slice(first, last - first)
+            left, right = (pa.concat_arrays([part.column(c)]) for c in ("left", "right"))
+            for codes, counts in _pair_codes(left, right, [part.column(c).to_numpy() for c in _COUNTED]):
+                counted.add(codes, counts)
+    if counted is not None:
+        yield from closed()
+
+
 def cooccurrence(mentions: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
     """``term_a, term_b, publications, trials``: how many documents of each kind hold both terms (``term_a < term_b``).
 
-    Documents with the same set of terms (copies above all) are counted together first. A set is cut into blocks of sorted terms, and
-    pairs of blocks are dealt out before they are expanded: a document with very many terms is the work of many tasks, each
-    of which makes at most ``block`` squared pairs from a row. Counts of pairs are summed in the map task before they shuffle.
+    The terms are numbered in blocks. Documents with the same set of terms (copies above all) are counted together first; a set is dealt out by
+    the pairs of blocks it has terms of, and its pairs are never rows: a task adds them up in a table of a pair of blocks, or in a
+    list where they are few. What leaves the tasks is one row per pair of terms and deal, however many documents hold it.
     """
-    sets = mentions.groupBy("doc_id", "source_type").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    held = written(mentions.select("doc_id", "source_type", "term"), "held-terms")
+    terms = _numbered_terms(held, block)
+    sets = held.join(terms, "term").groupBy("doc_id", "source_type").agg(F.array_sort(F.collect_set("code")).alias("codes"))
     weights = [F.count_if(F.col("source_type") == t).alias(c) for c, t in KINDS.items()]
-    weighted = sets.filter(F.size("terms") > 1).groupBy("terms").agg(*weights)
-    cut = weighted.withColumn("_blocks", F.transform(F.sequence(F.lit(1), F.size("terms"), F.lit(block)), lambda i: F.slice("terms", i, F.lit(block))))
-    cut = cut.withColumn("_set", F.xxhash64("terms")).drop("terms")
-    first = cut.select(*KINDS, "_set", "_blocks", F.explode(F.sequence(F.lit(0), F.size("_blocks") - 1)).alias("i"))
-    pairs = first.select(*KINDS, "_set", "i", F.get("_blocks", F.col("i")).alias("_left"), F.posexplode(F.slice("_blocks", F.col("i") + 1, F.size("_blocks"))).alias("j", "_right"))
-    dealt = pairs.repartition("_set", "i", "j")
-    left = dealt.select(*KINDS, F.explode("_left").alias("term_a"), "_right")
-    both = left.select(*KINDS, "term_a", F.explode(F.filter("_right", lambda b: b > F.col("term_a"))).alias("term_b"))
-    return both.groupBy("term_a", "term_b").agg(*[F.sum(c).alias(c) for c in KINDS])
+    weighted = sets.filter(F.size("codes") > 1).groupBy("codes").agg(*weights, F.count(F.lit(1)).alias("documents")).withColumn("deal", F.pmod(F.xxhash64("codes"), F.lit(PAIR_DEALS)).cast("int"))
+    lists = ", ".join(f"{c} long" for c in _COUNTED)
+    cut = weighted.mapInArrow(_dealt_sets, f"i long, j long, deal int, left array<int>, right array<int>, {lists}")
+    dealt = cut.repartition("i", "j", "deal").sortWithinPartitions("i", "j")
+    counted = dealt.mapInArrow(_counted_pairs, f"a long, b long, {lists}")
+    one, two = terms.select(F.col("code").alias("a"), F.col("term").alias("_one")), terms.select(F.col("code").alias("b"), F.col("term").alias("_two"))
+    named = counted.join(one, "a").join(two, "b").select(F.least("_one", "_two").alias("term_a"), F.greatest("_one", "_two").alias("term_b"), *KINDS)
+    return named.groupBy("term_a", "term_b").agg(*[F.sum(c).alias(c) for c in KINDS])

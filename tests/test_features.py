@@ -205,3 +205,21 @@ def test_a_document_with_very_many_terms_is_spread(spark):
 def test_registry(spark):
     got = ft.feature_registry(spark)
     assert got.count() == 11 and got.filter("data_type = 'bigint' AND units IS NULL").count() == 0 and got.select("ttl_days").distinct().first()[0] == 365
+
+
+def test_pairs_are_added_up_before_they_are_rows(spark):
+    """Many documents that share their terms: as many rows leave the counting tasks as there are pairs, not pairs of each document."""
+    numbers = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "article").when(F.col("id") % 3 == 1, "trial").alias("source_type"))
+    rows = numbers.select("*", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("no")).filter("pmod(hash(doc_id, no), 4) > 0")
+    rows = rows.select("doc_id", "source_type", F.format_string("t%03d", "no").alias("term"))
+    a, b = rows.alias("a"), rows.alias("b")
+    same = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.term") < F.col("b.term")))
+    kinds = [F.count_if(F.col("a.source_type") == t).alias(c) for c, t in en.KINDS.items()]
+    want = sorted(map(tuple, same.groupBy(F.col("a.term").alias("x"), F.col("b.term").alias("y")).agg(*kinds).collect()))
+    for step, block in ((1 << 20, 1024), (50, 16)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(en, "PAIR_STEP", step)
+            assert sorted(map(tuple, en.cooccurrence(rows, block).collect())) == want
+    pairs = en.cooccurrence(rows)
+    counted = [line for line in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in line]
+    assert len(counted) == 2 and "_counted_pairs" in counted[0]
