@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,8 @@ from larkspur.session import written
 
 #: Words of the longest terms, terms of a block when pairs are counted, tasks that a pair of blocks is dealt to, pairs worked out at once.
 MOST_WORDS, PAIR_BLOCK, PAIR_DEALS, PAIR_STEP = 5, 1024, 8, 1 << 20
+#: Bits of the map of words that begin a term; words that share one are told apart by the join.
+_MAP_BITS = 1 << 20
 #: Bits of a term's number inside its block: for more terms than any block has.
 _BITS = 20
 #: Count columns by kind of document.
@@ -72,8 +76,41 @@ def term_prefixes(terms: DataFrame) -> DataFrame:
 _WORDS = "array<struct<at:int,word:string,following:array<string>,word_no:int,start:int>>"
 
 
-def _listed_words(text: Column | str, ahead: int) -> Column:
-    """The words of each text with their places and the next ``ahead`` words, worked out column-wise in Arrow batches."""
+@dataclass(frozen=True)
+class FirstWords:
+    """Bit maps, by crc32, of the words that begin a term and of those that begin one of several words. Their size is fixed."""
+
+    begin: bytes
+    longer: bytes
+
+    def marks(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Which words may begin a term, and which may begin a longer one; none that does is missed."""
+        coded = pc.dictionary_encode(words)
+        spelt = coded.dictionary.cast(pa.binary()).to_pylist()
+        hashed = np.fromiter((zlib.crc32(w) for w in spelt), np.int64, len(spelt)) & (_MAP_BITS - 1)
+        at = coded.indices.to_numpy()
+        return tuple(np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little").astype(bool)[hashed][at] for m in (self.begin, self.longer))
+
+
+def first_words(prefixes: DataFrame) -> FirstWords:
+    """The maps of a word trie; at most a row per byte of them reaches the driver."""
+    place = F.crc32(F.substring_index("prefix", " ", 1)).bitwiseAND(F.lit(_MAP_BITS - 1))
+    bits = prefixes.filter("n <= 2").select("n", place.alias("_bit")).withColumn("_mask", F.expr("shiftleft(1, cast(_bit % 8 AS INT))"))
+    found = bits.groupBy("n", F.expr("cast(_bit div 8 AS INT)").alias("byte")).agg(F.bit_or("_mask").alias("mask")).toArrow()
+    n, byte, mask = (found[c].to_numpy() for c in ("n", "byte", "mask"))
+    maps = []
+    for length in (1, 2):
+        one = np.zeros(_MAP_BITS // 8, np.uint8)
+        one[byte[n == length]] = mask[n == length]
+        maps.append(one.tobytes())
+    return FirstWords(*maps)
+
+
+def _listed_words(text: Column | str, ahead: int, begins: FirstWords | None = None) -> Column:
+    """The words of each text with their places and the next ``ahead`` words, worked out column-wise in Arrow batches.
+
+    With ``begins`` only words that may begin a term are listed, and only those that may begin a longer one with the words behind them.
+    """
 
     def words(original: pa.Array, lowered: pa.Array) -> pa.Array:
         def split(column: pa.Array) -> pa.Array:
@@ -88,24 +125,31 @@ def _listed_words(text: Column | str, ahead: int) -> Column:
         firsts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(parts)))])
         place = np.arange(len(filled))
         behind = np.minimum(ahead, firsts[row + 1] - place - 1)
+        listed, own_row = place, row
+        if begins is not None:
+            begin, longer = begins.marks(word)
+            listed = np.flatnonzero(begin)
+            behind, own_row = np.where(longer, behind, 0)[listed], row[listed]
         ends = np.concatenate([[0], np.cumsum(behind)])
-        at = np.arange(ends[-1]) - np.repeat(ends[:-1], behind) + np.repeat(place + 1, behind)
+        at = np.arange(ends[-1]) - np.repeat(ends[:-1], behind) + np.repeat(listed + 1, behind)
         following = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), word.take(pa.array(at)))
-        numbers = [place - firsts[row], filled - bounds[row], before[filled] - before[bounds[row]]]
+        numbers = [listed - firsts[own_row], filled[listed] - bounds[own_row], before[filled[listed]] - before[bounds[own_row]]]
         position, number, start = (pa.array(x.astype(np.int32)) for x in numbers)
-        rows = pa.StructArray.from_arrays([position, word, following, number, start], ["at", "word", "following", "word_no", "start"])
-        return pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), rows)
+        rows = pa.StructArray.from_arrays([position, word.take(pa.array(listed)), following, number, start], ["at", "word", "following", "word_no", "start"])
+        lists = np.concatenate([[0], np.cumsum(np.bincount(own_row, minlength=len(parts)))])
+        return pa.ListArray.from_arrays(pa.array(lists, pa.int32()), rows)
 
     words.__annotations__ = {"original": pa.Array, "lowered": pa.Array, "return": pa.Array}
     return F.arrow_udf(_WORDS)(words)(text, F.lower(text))
 
 
-def section_words(section_rows: DataFrame, ahead: int, keep: Sequence[str]) -> DataFrame:
-    """``at, word, following, word_no, mention_start`` of every word of the sections, lower-cased and without edge punctuation.
+def section_words(section_rows: DataFrame, ahead: int, keep: Sequence[str], begins: FirstWords | None = None) -> DataFrame:
+    """``at, word, following, word_no, mention_start`` of the words of the sections (all, or those that may begin a term), lower-cased
+    and without edge punctuation.
 
     ``word_no`` counts pieces between blanks, ``at`` those with something left, and ``following`` holds the next ``ahead`` words.
     """
-    listed = section_rows.select(*keep, "section_no", "section_start", F.explode(_listed_words("section_text", ahead)).alias("w"))
+    listed = section_rows.select(*keep, "section_no", "section_start", F.explode(_listed_words("section_text", ahead, begins)).alias("w"))
     return listed.select(*keep, "section_no", "w.at", "w.word", "w.following", "w.word_no", (F.col("section_start") + F.col("w.start")).alias("mention_start"))
 
 
@@ -113,12 +157,12 @@ def entity_mentions(section_rows: DataFrame, terms: DataFrame, most_words: int =
     """Dictionary terms of one to ``most_words`` words in the sections: ``doc_id, section_no, term, word_no, mention_start``.
 
     Words are compared in lower case without edge punctuation. Of overlapping matches the leftmost counts, of those that start
-    together the longest. The trie of the dictionary is walked by joins, a word at a time: only words that begin a term, then only
+    together the longest. The trie of the dictionary is walked by joins, a word at a time: only words that begin a term (most others fall to a bit map before they are rows), then only
     pairs that do, and so on, are rows. Spark broadcasts a level whose file is small and splits hot words of a larger one. ``keep`` names the columns
     of a section's document.
     """
     prefixes = written(term_prefixes(terms), "terms")
-    words = section_words(section_rows, most_words - 1, keep)
+    words = section_words(section_rows, most_words - 1, keep, first_words(prefixes))
     level = words.withColumn("prefix", F.col("word")).join(prefixes.filter("n = 1").drop("n"), "prefix")
     matches = []
     for n in range(1, most_words + 1):
@@ -130,7 +174,8 @@ def entity_mentions(section_rows: DataFrame, terms: DataFrame, most_words: int =
     for part in matches[1:]:
         found = found.unionByName(part)
     section = [*keep, "section_no"]
-    ordered = found.repartition(*section).sortWithinPartitions(*section, "at", F.desc("n"))
+    # The hash leads the sort: keys that share a long beginning are slow to compare.
+    ordered = found.withColumn("_hash", F.xxhash64(*section)).repartition(*section).sortWithinPartitions("_hash", *section, "at", F.desc("n"))
     return ordered.mapInArrow(_leftmost(len(section)), ordered.schema).select(*section, "term", "word_no", "mention_start")
 
 
@@ -138,15 +183,25 @@ def _leftmost(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     """Keeps the matches that begin behind the last kept one; rows come sorted by section (the first columns), start and falling length."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        section, end = None, 0
+        last, end = None, 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(c) for c in range(width)]
+            fresh = np.zeros(batch.num_rows, bool)
+            fresh[0] = last != [c[0].as_py() for c in own]
+            for c in own:
+                here, before = c.slice(1), c.slice(0, len(c) - 1)
+                both = pc.fill_null(pc.not_equal(here, before), False)
+                fresh[1:] |= pc.or_(both, pc.xor(pc.is_null(here), pc.is_null(before))).to_numpy(zero_copy_only=False)
             picked = []
-            for i, (at, n, *own) in enumerate(zip(*(batch.column(c).to_pylist() for c in [width, width + 1, *range(width)]))):
-                if own != section:
-                    section, end = own, 0
+            for i, (new, at, n) in enumerate(zip(fresh.tolist(), batch.column(width).to_pylist(), batch.column(width + 1).to_pylist())):
+                if new:
+                    end = 0
                 if at >= end:
                     picked.append(i)
                     end = at + n
+            last = [c[-1].as_py() for c in own]
             yield batch.take(pa.array(picked, pa.int64()))
 
     return kept

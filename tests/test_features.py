@@ -223,3 +223,24 @@ def test_pairs_are_added_up_before_they_are_rows(spark):
     pairs = en.cooccurrence(rows)
     counted = [line for line in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in line]
     assert len(counted) == 2 and "_counted_pairs" in counted[0]
+
+
+def test_words_that_begin_no_term_are_no_rows(spark):
+    """The words listed are those that may begin a term; the words behind them travel with those alone that begin a longer one."""
+    docs = spark.createDataFrame([(1, "One two, three x one\n\nnone of them two"), (2, None)], "doc_id INT, text STRING")
+    maps = en.first_words(en.term_prefixes(spark.createDataFrame([("one two three",), ("two",)], "term STRING")))
+    rows = en.section_words(en.sections(docs), 4, ["doc_id"], maps).orderBy("section_no", "at").collect()
+    assert [(r["section_no"], r["at"], r["word"], r["following"], r["word_no"], r["mention_start"]) for r in rows] == [
+        (0, 0, "one", ["two", "three", "x", "one"], 0, 0), (0, 1, "two", [], 1, 4), (0, 4, "one", [], 4, 17), (2, 3, "two", [], 3, 35)]
+
+
+def test_leftmost_matches_over_batches_and_null_keys():
+    """The kept matches do not depend on how the sorted rows are cut; null is a section of its own."""
+    import pyarrow as pa
+
+    rows = [(None, 0, 0, 3), (None, 0, 2, 1), (None, 0, 3, 1), ("a", None, 0, 1), ("a", 0, 0, 2), ("a", 0, 0, 1), ("a", 0, 1, 1), ("a", 1, 1, 1), ("b", 1, 1, 1)]
+    names, kinds = ["doc", "section", "at", "n"], [pa.string(), pa.int32(), pa.int32(), pa.int32()]
+    whole = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
+    for cut in (1, 2, 3, 9):
+        kept = [tuple(r.values()) for b in en._leftmost(2)(whole.slice(i, cut) for i in range(0, 9, cut)) for r in b.to_pylist()]
+        assert kept == [rows[i] for i in (0, 2, 3, 4, 7, 8)]
