@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,15 +114,21 @@ def q_ingest_roundtrip(spark, sf_dir):
     )
 
 
+def _as_array(lines):
+    """The lines of a task, which become one file, between the brackets of an array."""
+    yield pa.RecordBatch.from_pydict({"value": ["["]})
+    yield from lines
+    yield pa.RecordBatch.from_pydict({"value": ["null]"]})
+
+
 @query("read_arrays", "WITH" + ARTICLES_SQL + """
 SELECT pmid, title, md5(abstract) AS abstract_md5, source || '|' || lang AS authors, publication_date, source_version FROM delivered""")
 def q_read_arrays(spark, sf_dir):
     """The delivery as JSON array files, read record by record."""
     base = workspace(spark, "arrays")
     records = delivered_articles(spark, sf_dir)
-    rows = records.select(F.pmod(F.xxhash64("source_uri", "pmid", "title"), F.lit(4)).alias("no"), F.lit(1).alias("at"), F.concat(F.to_json(F.struct("*")), F.lit(",")).alias("value"))
-    ends = spark.range(4).select(F.col("id").alias("no"), F.inline(F.expr("array(struct(0 as at, '[' as value), struct(2 as at, 'null]' as value))")))
-    rows.unionByName(ends).repartition(4, "no").sortWithinPartitions("no", "at").select("value").write.option("lineSep", "\n").text(f"{base}/in")
+    rows = records.select(F.concat(F.to_json(F.struct("*")), F.lit(",")).alias("value"))
+    rows.mapInArrow(_as_array, "value string").write.option("lineSep", "\n").text(f"{base}/in")
     return read_source_json(spark, f"{base}/in", ARTICLES).select(
         "pmid", "title", F.md5("abstract").alias("abstract_md5"), F.array_join("authors", "|").alias("authors"), "publication_date", "source_version"
     )
