@@ -235,11 +235,14 @@ UNION ALL SELECT pmid, title, authors, publication_date, 'rejects' FROM good WHE
 UNION ALL SELECT trim(pmid), coalesce(title, ''), source || '|' || lang, CASE WHEN lang <> 'es' THEN publication_date END, 'rejects' FROM delivered
   WHERE trim(coalesce(pmid, ''), chr(9) || ' ') = ''""")
 def q_stream_ingest(spark, sf_dir):
-    """The delivery as JSON line files, ingested file by file in quarantine mode."""
+    """The delivery as JSON line files, ingested in three batches of files in quarantine mode."""
     base = workspace(spark, "stream-ingest")
-    delivered_articles(spark, sf_dir).repartition(3).write.json(f"{base}/in")
+    delivered = delivered_articles(spark, sf_dir)
+    # At least three files, else as many as the table has splits, in three batches.
+    files = max(3, delivered.rdd.getNumPartitions())
+    delivered.repartition(files).write.json(f"{base}/in")
     lake = Lake(spark, f"{base}/lake")
-    stream = spark.readStream.schema(ARTICLES.input_schema()).option("maxFilesPerTrigger", 1).json(f"{base}/in")
+    stream = spark.readStream.schema(ARTICLES.input_schema()).option("maxFilesPerTrigger", -(-files // 3)).json(f"{base}/in")
     jobs.stream_ingest(stream, lake, ARTICLES, VERSION, INGESTED_AT, f"{base}/checkpoint").awaitTermination()
     columns = ["pmid", "title", F.array_join("authors", "|").alias("authors"), "publication_date"]
     raw = lake.raw(ARTICLES).read().select(*columns, F.lit("raw").alias("target"))

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import shutil
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from larkspur.operators import reports as rp
 from larkspur.operators.lake import Lake
 from larkspur.operators.visits import step_times
 from larkspur.session import workspace
+from larkspur.plans import curation, operations
 from larkspur.sources.specs import ARTICLES
 from larkspur.sources.tables import KeyedTable
 from larkspur.streaming import jobs, state
@@ -164,3 +166,100 @@ def test_stream_curate_equals_batch(spark, tmp_path):
     for _ in range(2):  # the second start finds nothing new
         jobs.stream_curate(stream, curated, str(tmp_path / "cp")).awaitTermination()
         assert sorted((r["k"], r["v"]) for r in curated.read().collect()) == [("a", 1), ("b", 5)]
+
+
+class _Value:
+    """A state of one key that counts its reads."""
+
+    def __init__(self, value=None):
+        self.value, self.reads = value, 0
+
+    def exists(self):
+        self.reads += 1
+        return self.value is not None
+
+    def get(self):
+        self.reads += 1
+        return self.value if self.value is not None or not isinstance(self, _List) else []
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def appendList(self, more):
+        self.value = [*(self.value or []), *more]
+
+    def clear(self):
+        self.value = None
+
+
+class _List(_Value):
+    pass
+
+
+class _Handle:
+    """Timers as the stream keeps them."""
+
+    def __init__(self):
+        self.timers = set()
+
+    def registerTimer(self, due):
+        self.timers.add(due)
+
+
+class _Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_query_sets_one_timer_not_one_per_step():
+    job = state.StepTimes(1000)
+    job.handle, job.waiting, job.done = _Handle(), _List(), _Value()
+    ts = pd.Series([pd.Timestamp(x, unit="ms") for x in (30, 10, 20, 40, 10)])
+    assert list(job.handleInputRows(("a",), iter([pd.DataFrame({"ts": ts, "position": range(5), "node": list("cabdz")})]), _Watermark(0))) == []
+    assert job.handle.timers == {10}
+    job.handle.timers.clear()
+    (out,) = job.handleExpiredTimer(("a",), _Watermark(25), None)
+    assert list(zip(out["step_no"], out["node"], out["elapsed_ms"], out["step_ms"])) == [(1, "a", 0, 0), (2, "z", 0, 0), (3, "b", 10, 10)]
+    # The next step that waits, and the end of the visit.
+    assert job.handle.timers == {30, 20 + 1000 + 1}
+    (out,) = job.handleExpiredTimer(("a",), _Watermark(40), None)
+    assert out["node"].tolist() == ["c", "d"] and job.waiting.value is None
+
+
+def test_repeated_keys_read_their_state_once():
+    job = state.RepeatedKeys(1000)
+    job.handle, job.seen = _Handle(), _Value()
+    one = pd.DataFrame({"n": [1], "first_ts": [pd.Timestamp(5, unit="ms")], "last_ts": [pd.Timestamp(5, unit="ms")]})
+    assert list(job.handleInputRows(("a",), iter([one]), None)) == [] and job.seen.reads == 1
+    (out,) = job.handleInputRows(("a",), iter([one]), None)
+    assert out["copies"].tolist() == [2] and job.seen.reads == 2
+
+
+def _documents_in_files(spark, folder, files):
+    rows = [(i, f"Title {i}\nbody \"{i}\" [{{", ["en", "de", "fr", "es"][i % 4], f"src{i % 9}", 20 + i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
+    docs.repartition(files).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_deliveries_have_as_many_files_as_the_table_has_splits(spark, tmp_path, monkeypatch, request):
+    """JSON arrays and streamed lines: a task writes and reads its part only; the stream takes three batches all the same."""
+    sf_dir = _documents_in_files(spark, tmp_path / "in", 7)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(200 << 20))
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.files.openCostInBytes", before))
+    splits = spark.read.parquet(f"{sf_dir}/documents.parquet").rdd.getNumPartitions()
+    assert splits == 7
+    monkeypatch.setattr(curation, "workspace", lambda spark, purpose: str(tmp_path / purpose))
+    monkeypatch.setattr(operations, "workspace", lambda spark, purpose: str(tmp_path / purpose))
+    assert curation.q_read_arrays(spark, sf_dir).count() == 60
+    assert len(list((tmp_path / "arrays" / "in").glob("part-*"))) == splits
+    assert operations.q_stream_ingest(spark, sf_dir).count() == 60
+    base = tmp_path / "stream-ingest"
+    assert len(list((base / "in").glob("part-*"))) == splits
+    assert len([f for f in (base / "checkpoint" / "commits").iterdir() if f.name.isdigit()]) == 3
