@@ -52,7 +52,8 @@ def _due(micros: int) -> int:
 class StepTimes(StatefulProcessor):
     """Writes each step of a query once all earlier steps are known: its number, and the time since the first and the last step.
 
-    ``waiting`` holds steps the watermark has not passed, ``done`` the first and last written step and their number. A query that is
+    ``waiting`` holds steps the watermark has not passed, ``done`` the first and last written step and their number. One timer waits for
+    the earliest step, and is set anew for the next one that is left, so a query is called once per watermark, not once per step. A query that is
     idle for ``idle_ms`` is forgotten; a later step of the same id starts anew.
     """
 
@@ -69,8 +70,8 @@ class StepTimes(StatefulProcessor):
         for part in rows:
             fresh += zip(_micros(part["ts"]), part["position"].tolist(), part["node"].tolist())
         self.waiting.appendList(fresh)
-        for due in {_due(ts) for ts, _, _ in fresh}:
-            self.handle.registerTimer(due)
+        if fresh:
+            self.handle.registerTimer(_due(min(ts for ts, _, _ in fresh)))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -89,6 +90,7 @@ class StepTimes(StatefulProcessor):
             self.waiting.clear()
             if len(ready) < len(waiting):
                 self.waiting.put(waiting[len(ready) :])
+                self.handle.registerTimer(_due(waiting[len(ready)][0]))
         if last is not None and limit > last + self.idle_ms * 1000:
             self.done.clear()
         elif ready:
