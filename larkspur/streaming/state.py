@@ -116,7 +116,7 @@ class RepeatedKeys(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         parts = [(int(n), a, b) for part in rows for n, a, b in zip(part["n"], _micros(part["first_ts"]), _micros(part["last_ts"]))]
         begin, end = min(a for _, a, _ in parts), max(b for _, _, b in parts)
-        copies, first, last = self.seen.get() if self.seen.exists() else (0, begin, end)
+        copies, first, last = self.seen.get() or (0, begin, end)
         if begin - last > self.idle_ms * 1000:
             copies, first = 0, begin
         before, copies, first, last = copies, copies + sum(n for n, _, _ in parts), min(first, begin), max(last, end)
