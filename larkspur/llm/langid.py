@@ -7,6 +7,7 @@ training, and takes the nearest codeword; a runner-up that is almost as near fla
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -140,9 +141,19 @@ def train_languages(docs: DataFrame, sample_rows: int = 4_000) -> CodeModel | No
 
     sampled = known.select("doc_id", "lang", "text").join(F.broadcast(wanted), "doc_id")
     found = sampled.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row")).select("doc_id", "row.lang", "row.text")
-    got = found.mapInArrow(profiles, "doc_id long, lang string, profile binary").filter("profile is not null").toPandas()
-    got = got.sort_values(["doc_id", "lang", "profile"], kind="stable")
-    return fit_codes(np.frombuffer(b"".join(got["profile"]), dtype=np.float32).reshape(-1, BINS), got["lang"].tolist())
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [batch.to_pydict() for batch in batches]
+        rows = sorted(row for part in got for row in zip(part["doc_id"], part["lang"], part["profile"]))
+        model = fit_codes(np.frombuffer(b"".join(r[2] for r in rows), dtype=np.float32).reshape(-1, BINS), [r[1] for r in rows])
+        parts = model and (model.languages, model.code, model.weight, model.bias, model.trust)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(parts)], pa.binary())})
+
+    taught = found.mapInArrow(profiles, "doc_id long, lang string, profile binary").filter("profile is not null")
+    # The sample is bounded, so one task fits the model; only the model reaches the driver.
+    found = taught.repartition(1).mapInArrow(fitted, "model binary").collect()
+    parts = pickle.loads(found[0]["model"]) if found else None
+    return CodeModel(*parts) if parts else None
 
 
 def identify(docs: DataFrame, model: CodeModel | None, least_margin: float = 0.2) -> DataFrame:

@@ -1,5 +1,6 @@
 """Samples for training are bounded and the same however rows are dealt; documents that cannot be judged stay."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm import langid, quality_rank, toxicity
@@ -48,3 +49,13 @@ def test_sample_bytes(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, y int")
     none = toxicity.train_toxicity(docs, labels, "y", sample_bytes=10)
     assert none == toxicity.train_toxicity(docs.limit(0), labels, "y")
+
+
+def test_language_profiles_stay_on_the_executors(spark, monkeypatch):
+    """The model is fitted in a task; what reaches the driver is the model alone."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    docs = spark.createDataFrame([(i, ("der hund und die katze " if i % 2 else "the dog and the cat ") * (1 + i % 3), "de" if i % 2 else "en") for i in range(30)], "doc_id LONG, text STRING, lang STRING")
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("rows of the sample were read on the driver"))
+    model = langid.train_languages(docs)
+    assert model.languages == ["de", "en"] and model.weight.shape[0] == langid.BINS
