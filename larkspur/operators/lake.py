@@ -80,5 +80,6 @@ def curate_runs(lake: Lake, spec: SourceSpec, runs: Sequence[str], curated_at: d
 
 
 def index_changes(lake: Lake, spec: SourceSpec, changed: DataFrame, snapshot_ref: str, run: IndexRun, at: dt.datetime) -> DataFrame:
-    """Embed changed curated rows and upsert them. Returns the index rows that changed."""
-    return lake.index(spec).upsert(index_rows(changed, spec, snapshot_ref, run).withColumn("indexed_at", F.lit(at).cast("timestamp")))
+    """Embed changed curated rows, unique by key as ``curate_runs`` returns them, and upsert them. Returns the index rows that changed."""
+    rows = index_rows(changed, spec, snapshot_ref, run).withColumn("indexed_at", F.lit(at).cast("timestamp"))
+    return lake.index(spec).upsert(rows, unique=True)

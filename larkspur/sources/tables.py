@@ -94,13 +94,17 @@ class KeyedTable:
         rows = rows if only is None else rows.filter(F.col(BUCKET).isin(*only))
         return rows.drop(BUCKET)
 
-    def upsert(self, rows: DataFrame) -> DataFrame:
+    def upsert(self, rows: DataFrame, unique: bool = False) -> DataFrame:
         """Bring in rows; later ``order`` wins, at equal order the new row. Returns the rows that are new or changed.
 
         The change set is written first, so it is computed once. Old rows are compared by key and order only; those that lose are
-        left out of their bucket by an anti join, which adaptive execution broadcasts when the change set is small.
+        left out of their bucket by an anti join, which adaptive execution broadcasts when the change set is small. Of the comparison
+        just the keys of old rows that win are stored, not the change set again. ``unique`` says that no key repeats in ``rows``, as in
+        what another upsert returned; they are not shuffled to find the newest then.
         """
-        newest = latest_per_key(rows.filter(F.col(self.key).isNotNull()), [self.key], [F.desc(c) for c in self.order])
+        newest = rows.filter(F.col(self.key).isNotNull())
+        if not unique:
+            newest = latest_per_key(newest, [self.key], [F.desc(c) for c in self.order])
         changes = written(newest.withColumn(BUCKET, self._bucket()), "changes")
         if not _exists(self.spark, self.path):
             _replace_parts(changes.repartition(BUCKET), self.path, BUCKET)
@@ -112,7 +116,7 @@ class KeyedTable:
         slim = changes.select(self.key, self._rank().alias("_new"))
         later = old.select(self.key, self._rank().alias("_old")).join(slim, self.key).filter("_old > _new").select(self.key)
         # Stored before the buckets are replaced: the old files are gone after that.
-        wins = written(changes.join(later, self.key, "left_anti"), "changed")
+        wins = changes.join(written(later, "later-keys"), self.key, "left_anti")
         kept = old.join(wins.select(self.key), self.key, "left_anti")
         _replace_parts(kept.unionByName(wins.repartition(BUCKET)), self.path, BUCKET)
         return wins.drop(BUCKET)

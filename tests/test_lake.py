@@ -10,7 +10,8 @@ from larkspur.operators import quality as dq
 from larkspur.operators.index import IndexRun
 from larkspur.operators.ingest import IngestRun
 from larkspur.operators.lake import Lake, curate_runs, index_changes, ingest_run
-from larkspur.session import workspace
+from larkspur.session import workspace, written
+from larkspur.sources import tables
 from larkspur.sources.specs import ARTICLES
 from larkspur.sources.tables import BUCKET, KeyedTable, RunTable
 
@@ -55,6 +56,17 @@ def test_upserts_are_idempotent_and_order_does_not_matter(spark, keyed):
     assert keyed.upsert(parts[0].limit(0)).count() == 0 and keyed.read().count() == 3
 
 
+def test_an_upsert_stores_its_change_set_once(spark, keyed, monkeypatch):
+    """Rows are wide; of the comparison with old rows only keys are stored, and rows known to be unique are not shuffled by key."""
+    keyed.upsert(spark.createDataFrame([("a", 1, "x"), ("b", 5, "x")], SCHEMA))
+    stored = []
+    monkeypatch.setattr(tables, "written", lambda df, purpose: stored.append(df) or written(df, purpose))
+    changed = keyed.upsert(spark.createDataFrame([("a", 2, "y"), ("b", 4, "y"), ("c", 0, "y"), (None, 9, "y")], SCHEMA), unique=True)
+    assert [df.columns for df in stored] == [["k", "n", "v", BUCKET], ["k"]]
+    assert "Window" not in stored[0]._jdf.queryExecution().executedPlan().toString()
+    assert rows(changed) == [("a", 2, "y"), ("c", 0, "y")] and rows(keyed.read()) == [("a", 2, "y"), ("b", 5, "x"), ("c", 0, "y")]
+
+
 def test_hot_key_and_nothing_yet(spark, keyed):
     with pytest.raises(ValueError):
         keyed.read()
