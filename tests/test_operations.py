@@ -12,6 +12,7 @@ from larkspur.operators.lake import Lake
 from larkspur.operators.visits import step_times
 from larkspur.session import workspace
 from larkspur.plans import curation, operations
+from larkspur.plans.data import trials
 from larkspur.sources.specs import ARTICLES
 from larkspur.sources.tables import KeyedTable
 from larkspur.streaming import jobs, state
@@ -263,3 +264,23 @@ def test_deliveries_have_as_many_files_as_the_table_has_splits(spark, tmp_path,
     base = tmp_path / "stream-ingest"
     assert len(list((base / "in").glob("part-*"))) == splits
     assert len([f for f in (base / "checkpoint" / "commits").iterdir() if f.name.isdigit()]) == 3
+
+
+def test_lines_meet_by_order_before_they_get_texts(spark, tmp_path):
+    """Trials: the texts of parts that are sent to all tasks are not shuffled; results as ever, also for orders without lines."""
+    day = dt.date(2024, 1, 1)
+    data = {
+        "part": spark.createDataFrame([(1, "B", "y"), (2, "A", "x"), (2, "A", "x")], "p_partkey long, p_type string, p_name string"),
+        "lineitem": spark.createDataFrame(
+            [(7, 1, 2.0, "R", day), (7, 2, 3.0, "N", None), (7, 9, 5.0, "N", day), (None, 1, 1.0, "A", day)],
+            "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string, l_shipdate date"),
+        "orders": spark.createDataFrame([(7, "O", "1-URGENT", day), (8, "F", "2-HIGH", day)], "o_orderkey long, o_orderstatus string, o_orderpriority string, o_orderdate date"),
+    }
+    for name, rows in data.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    made = trials(spark, str(tmp_path))
+    got = {r["nct_id"][-1]: (r["conditions"], r["interventions"], r["primary_outcomes"], r["sample_size"], r["completion_date"]) for r in made.collect()}
+    assert got == {"7": (["A", "B"], ["x", "y"], ["N", "R"], 8, "2024-01"), "8": (None, None, None, None, None)}
+    plan = trials(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("BroadcastHashJoin [l_partkey") < plan.index("Exchange hashpartitioning(l_orderkey")
+    assert "collect_set" not in plan[plan.index("Exchange hashpartitioning(l_orderkey"):]
