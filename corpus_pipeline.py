@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontam, langid, mixing, neardup, queries, tokens_out
-from larkspur.llm.common import stored, table
+from larkspur.llm.common import small_batches, stored, table
 from larkspur.session import workspace
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a determined language: no letters, or two languages about as near."""
+    small_batches(spark)
     model = langid.train_languages(docs)
     return langid.keep_identified(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
+    small_batches(spark)
     return neardup.keep_one_of_each(docs)
 
 
@@ -33,6 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of what is left; one row per document, read back from them."""
+    small_batches(spark)
     path = workspace(spark, "llm-tokens")
     tokens_out.write_token_files(docs, path, queries.tokenizer_path())
     return tokens_out.read_token_files(spark, path)

@@ -168,21 +168,22 @@ def identify(docs: DataFrame, model: CodeModel | None, least_margin: float = 0.2
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
+        # A few texts at a time, also on the way back: batches of whole texts would fill the memory of task and executor.
         for batch in batches:
-            names: list[str] = []
-            scores: list[float] = []
-            unsure: list[bool] = []
-            texts = batch.column("text").to_pylist()
-            for first in range(0, len(texts), 512):
-                found = [None if model is None else text_profile(t) for t in texts[first : first + 512]]
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                found = [None if model is None else text_profile(t) for t in part.column("text").to_pylist()]
                 known = [x for x in found if x is not None]
                 decoded = iter(zip(*(x.tolist() for x in model.decode(np.stack(known))))) if known else iter(())
+                names: list[str] = []
+                scores: list[float] = []
+                unsure: list[bool] = []
                 for x in found:
                     best, score, margin = (None, 0.0, 1.0) if x is None else next(decoded)
                     names.append(UNDETERMINED if best is None else model.languages[best])
                     scores.append(float(score))
                     unsure.append(margin < least_margin)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())], [*part.schema.names, "lang_pred", "score", "ambiguous"])
 
     return base.mapInArrow(judge, T.StructType([*base.schema.fields, *added]))
 

@@ -97,15 +97,17 @@ def document_sets(docs: DataFrame) -> DataFrame:
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for batch in batches:
-            sizes, digests, signs = [], [], np.zeros((batch.num_rows, CHUNKS), dtype=np.uint64)
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                hashes = shingle_hashes(text, known)
-                sizes.append(len(hashes))
-                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
-                if len(hashes):
-                    signs[i] = signature(hashes)
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(signs[:, i].astype(np.int64)) for i in range(CHUNKS)]], ["doc_id", "n_shingles", "digest", *_SIGNATURE])
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                sizes, digests, signs = [], [], np.zeros((part.num_rows, CHUNKS), dtype=np.uint64)
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    hashes = shingle_hashes(text, known)
+                    sizes.append(len(hashes))
+                    digests.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
+                    if len(hashes):
+                        signs[i] = signature(hashes)
+                columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(signs[:, i].astype(np.int64)) for i in range(CHUNKS)]], ["doc_id", "n_shingles", "digest", *_SIGNATURE])
 
     fields = ", ".join(f"{s} long" for s in _SIGNATURE)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(built, f"doc_id long, n_shingles long, digest binary, {fields}")

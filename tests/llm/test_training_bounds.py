@@ -1,10 +1,11 @@
 """Samples for training are bounded and the same however rows are dealt; documents that cannot be judged stay."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm import langid, quality_rank, toxicity
-from larkspur.llm.common import bounded_rows
+from larkspur.llm.common import bounded_rows, small_batches
 
 SCHEMA = "doc_id long, text string, lang string, in_doc_id string, row int, others string"
 
@@ -59,3 +60,24 @@ def test_language_profiles_stay_on_the_executors(spark, monkeypatch):
     monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("rows of the sample were read on the driver"))
     model = langid.train_languages(docs)
     assert model.languages == ["de", "en"] and model.weight.shape[0] == langid.BINS
+
+
+def test_texts_cross_in_small_batches(spark):
+    """Also what comes back from the language model; a smaller setting of the session stays."""
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    try:
+        for given, want in (("10000", 1000), ("0", 1000), ("40", 40)):
+            spark.conf.set(name, given)
+            small_batches(spark)
+            assert spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] == want
+        spark.conf.set(name, "10000")
+        docs = spark.range(0, 1300, 1, 1).select(F.col("id").alias("doc_id"), F.lit("the cat sat").alias("text"), F.lit("en").alias("lang"))
+        judged = langid.identify(docs, langid.train_languages(docs))
+        assert judged.mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] == 1300
+    finally:
+        spark.conf.set(name, before)
