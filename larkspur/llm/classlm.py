@@ -103,7 +103,7 @@ def _unit_pairs(docs: DataFrame, vocabulary) -> DataFrame:
 
         def rows() -> pa.RecordBatch:
             pairs, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs >> 32), pa.array(pairs & 0xFFFFFFFF), pa.array(n)], ["a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
 
         for words in _texts(batches):
             units = words_of.of(words)
@@ -114,7 +114,9 @@ def _unit_pairs(docs: DataFrame, vocabulary) -> DataFrame:
                 held, seen = [], 0
         yield rows()
 
-    return docs.select("text").mapInArrow(counted, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    # A pair is one number until it is counted: that is less to hash and to shuffle than two.
+    pairs = docs.select("text").mapInArrow(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return pairs.select(F.shiftright("pair", 32).alias("a"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("b"), "n")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -279,7 +281,7 @@ def score(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
                     n_known.append(known)
                     base.append(emitted - total * len(words))
                     own_score.append(path + emitted - float(m.emission_base[classes].sum()))
-                    rare.append(Counter(w for w, f in zip(words, frequent) if not f) if not frequent.all() else {})
+                    rare.append(Counter(map(words.__getitem__, np.flatnonzero(~frequent).tolist())))
                 sizes = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
                 words_flat = pa.array([w for r in rare for w in r], pa.binary())
                 times_flat = pa.array([n for r in rare for n in r.values()], pa.int64())
