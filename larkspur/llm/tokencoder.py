@@ -1,7 +1,7 @@
 """Range coder over token ids, driven by mixed order-0 to order-2 predictions.
 
 A segment of ids is cut into blocks. Every block starts from a fresh model and coder and carries its own checksum, so any block
-decodes from itself and the segment's header, which holds the histogram. All blocks of a segment are coded in step, one numpy lane each.
+decodes from itself and the segment's header, which holds the histogram. All blocks of the segments given are coded in step, one numpy lane each.
 
 Model of the next id: a mixture of three distributions. Orders 1 and 2 each predict the id that last followed the previous one or
 two ids, with a confidence; order 0 is the segment's id histogram. The weights of orders 1 and 2 are their hit rates so far
@@ -16,13 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MAGIC = b"LRC2"
+MAGIC = b"LRC3"
 #: Bits of the order-0 histogram's total, of the weights' total, and of context tables.
 HISTOGRAM_BITS, WEIGHT_BITS, TABLE_BITS = 18, 12, 12
 _TOTAL_BITS = HISTOGRAM_BITS + WEIGHT_BITS
 _CONFIDENCES = 16
+#: Steps whose contexts the encoder works out together.
+_STEPS = 16
 _U = np.uint64
-_LOW32 = _U(0xFFFFFFFF)
+# A step is a row of short operations, so their constants are arrays from the start.
+_FOUR, _FIVE, _FIFTEEN, _KEPT, _SIGN, _TOP = (np.array(x, np.int32) for x in (4, 5, 15, -16, 31, 65535))
+_FACTOR_LAST, _FACTOR_BEFORE, _THREE, _SLOT = (np.array(x, np.int32) for x in (40503, 60493, 3, (1 << TABLE_BITS) - 1))
+_LOW32, _WORD, _ONE_WORD, _UNIT = (np.array(x, np.uint64) for x in (0xFFFFFFFF, 32, 1 << 32, _TOTAL_BITS))
 
 
 def scaled_histogram(counts: np.ndarray) -> np.ndarray:
@@ -39,91 +44,133 @@ def scaled_histogram(counts: np.ndarray) -> np.ndarray:
     return scaled
 
 
-def _transitions() -> tuple[np.ndarray, np.ndarray]:
-    """By hit (bit 4) and confidence (bits 0 to 3): the change of a table entry, and whether the new id replaces it.
+def _next_confidences() -> np.ndarray:
+    """Confidence after a miss (0 to 15) and after a hit (16 to 31), by the confidence before.
 
-    A hit adds one to the confidence up to 15, a miss halves it; a miss at confidence 1 or an empty entry takes the new id.
+    A hit adds one up to 15, a miss halves it; a miss at confidence 1 or an empty entry takes the new id, at confidence 1.
     """
     confidence = np.arange(_CONFIDENCES)
-    change = np.concatenate([(confidence >> 1) - confidence, confidence < _CONFIDENCES - 1]).astype(np.int32)
-    return change, np.concatenate([confidence <= 1, np.zeros(_CONFIDENCES, bool)])
+    return np.concatenate([np.maximum(confidence >> 1, 1), np.minimum(confidence + 1, _CONFIDENCES - 1)]).astype(np.int32)
 
 
-_CHANGE, _REPLACED = _transitions()
+_NEXT = _next_confidences()
+
+
+def _hashed(before: np.ndarray, last: np.ndarray, out: np.ndarray) -> None:
+    """Table slots of the contexts of orders 1 and 2, into rows 0 and 1 of the last but one axis. 32 bits may wrap: only low ones count."""
+    mixed, both = last * _FACTOR_LAST, last * before
+    np.right_shift(mixed, _THREE, out=out[..., 0, :])
+    both >>= _FIVE
+    both += mixed
+    np.multiply(before, _FACTOR_BEFORE, out=mixed)
+    np.add(both, mixed, out=out[..., 1, :])
+    out &= _SLOT
 
 
 class _Lanes:
-    """Adaptive state of the blocks of a segment, all at the same position. Orders 1 and 2 are rows 0 and 1 of each array."""
+    """Adaptive state of blocks, all at the same position. Orders 1 and 2 are rows 0 and 1 of each array.
+
+    Ids are ranks among those their segment uses, counted on over the segments; each segment has one more, of no frequency.
+    """
 
-    def __init__(self, lanes: int, histogram: np.ndarray):
+    def __init__(self, lanes: int, frequencies: list[np.ndarray]):
         slots = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes)
-        self.table_base, self.rate_base = slots << TABLE_BITS, (slots << 4).astype(np.int32)
+        self.table_base, self.rate_base = slots << TABLE_BITS, slots << 4
         self.table = np.full(2 * lanes << TABLE_BITS, -16, dtype=np.int32)  # id << 4 | confidence; id -1 at confidence 0: nothing yet
         self.rate = np.full(2 * lanes * _CONFIDENCES, 1 << 10, dtype=np.int32)  # hit rate in 1 / 2**16
         self.rate[::_CONFIDENCES] = 0
-        self.before, self.last = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-        self.hashed = np.zeros((2, lanes), dtype=np.int64)
-        self.frequency = histogram.astype(np.int32)
-        self.below = (np.cumsum(histogram) - histogram).astype(np.int32)
-
-    def predict(self, m: int) -> None:
-        """Predicted ids and weights of the first ``m`` lanes."""
-        last, before, hashed = self.last[:m], self.before[:m], self.hashed[:, :m]
-        mixed = last * 40503
-        np.right_shift(mixed, 3, out=hashed[0])
-        np.add(mixed, before * 60493 + (last * before >> 5), out=hashed[1])
-        self.place = (hashed & ((1 << TABLE_BITS) - 1)) + self.table_base[:, :m]
-        self.entry = self.table[self.place]
-        self.guess, self.confidence = self.entry >> 4, self.entry & 15
-        self.state = self.rate_base[:, :m] + self.confidence
-        self.rates = self.rate[self.state]
-        scaled = self.rates >> 4
-        two = np.minimum(scaled[1], 4000)
-        one = scaled[0] * (4064 - two) >> WEIGHT_BITS
-        self.rest = (1 << WEIGHT_BITS) - one - two
-        self.weight = np.stack([one, two]) << HISTOGRAM_BITS
-
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cumulative sum below the ids and their frequencies, in 1 / 2**30."""
-        self.hit = ids == self.guess
-        above, on = self.weight * (ids > self.guess), self.weight * self.hit
-        return self.rest * self.below[ids] + above[0] + above[1], self.rest * self.frequency[ids] + on[0] + on[1]
-
-    def find(self, target: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        """The ids whose intervals hold the targets: cut out the two point masses in order, else look up the histogram."""
-        guess = np.maximum(self.guess, 0)
-        swap = guess[0] > guess[1]
-        first, second = np.where(swap, guess[::-1], guess)
-        mass1, mass2 = np.where(swap, self.weight[::-1], self.weight)
-        start1, start2 = self.rest * self.below[first], self.rest * self.below[second]
-        past1 = target >= start1
-        on1 = past1 & (target - start1 < self.rest * self.frequency[first] + mass1)
-        past1 ^= on1
-        left = target - mass1 * past1
-        past2 = past1 & (left >= start2)
-        on2 = past2 & (left - start2 < self.rest * self.frequency[second] + mass2)
-        left -= mass2 * (past2 ^ on2)
-        slot = np.minimum((left / self.rest).astype(np.int64), len(slots) - 1)
-        return np.where(on1, first, np.where(on2, second, slots[slot]))
-
-    def learn(self, ids: np.ndarray) -> None:
-        """Takes the ids of the positions that ``predict`` and ``interval`` looked at last."""
-        m, hit = len(ids), self.hit
-        self.rate[self.state] = self.rates + ((hit * np.int32(65535) - self.rates) >> 5)
-        move = self.confidence + (hit * np.int32(_CONFIDENCES))
-        self.table[self.place] = np.where(_REPLACED[move], (ids << 4) + 1, self.entry + _CHANGE[move])
-        self.before[:m], self.last[:m] = self.last[:m].copy(), ids
-
-
-def _renormalised(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Lanes whose range is spent. Where the high words of both ends differ, the range is cut at the word's end first."""
-    tight = np.flatnonzero(span < (_U(1) << _U(32)))
-    if len(tight):
-        ends = low[tight] + (span[tight] - _U(1))
-        split = (low[tight] ^ ends) >> _U(32) != 0
-        room = (_U(1) << _U(32)) - (low[tight] & _LOW32)
-        span[tight] = np.where(split, room, span[tight])
-    return tight
+        # Frequency and, in the high half, the sum below: one look-up for both. The last row is that of id -1.
+        self.sums = np.concatenate([np.append(f + (np.cumsum(f) - f << 32), 0) for f in frequencies])
+        # Kept between steps, as a step is too short to allocate in.
+        self.confidence, self.state = np.empty((2, 2, lanes), np.int64)
+        self.hit, self.kept, self.change, self.new = np.empty((4, 2, lanes), np.int32)
+
+    def histogram_at(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums below the ids and their frequencies in the histogram; 0 and 0 for id -1."""
+        both = self.sums.take(ids, mode="wrap").astype("<i8", copy=False).view("<i4")
+        return both[..., 1::2], both[..., ::2]
+
+    def look(self, place: np.ndarray, entry: np.ndarray, rates: np.ndarray) -> None:
+        """Entries at ``place`` and the hit rates at their confidence."""
+        self.table.take(place, out=entry, mode="clip")
+        np.bitwise_and(entry, _FIFTEEN, out=self.confidence)
+        np.add(self.rate_base, self.confidence, out=self.state)
+        self.rate.take(self.state, out=rates, mode="clip")
+
+    def learn(self, place: np.ndarray, entry: np.ndarray, rates: np.ndarray, hit: np.ndarray, ids: np.ndarray) -> None:
+        """Takes the ids of the position that ``look`` was called for last."""
+        self.hit[...] = hit
+        np.multiply(self.hit, _TOP, out=self.change)
+        self.change -= rates
+        self.change >>= _FIVE
+        self.change += rates
+        self.rate[self.state] = self.change
+        self.hit <<= _FOUR
+        self.confidence += self.hit
+        # All bits set where the new id replaces the old one: after a miss at confidence 1 or 0.
+        np.subtract(self.confidence, 2, out=self.new, casting="same_kind")
+        self.new >>= _SIGN
+        np.bitwise_xor(entry, ids << _FOUR, out=self.kept)
+        self.kept &= self.new
+        self.kept ^= entry
+        self.kept &= _KEPT
+        _NEXT.take(self.confidence, out=self.change, mode="clip")
+        self.kept += self.change
+        self.table[place] = self.kept
+
+
+def _masses(rates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Masses of orders 1 and 2 in 1 / 2**30, and the weight of order 0 in 1 / 2**12."""
+    mass = rates >> _FOUR
+    one, two = mass[..., 0, :], mass[..., 1, :]
+    np.minimum(two, 4000, out=two)
+    rest = 4064 - two
+    one *= rest
+    one >>= WEIGHT_BITS
+    rest -= one
+    rest += (1 << WEIGHT_BITS) - 4064
+    mass <<= HISTOGRAM_BITS
+    return mass, rest
+
+
+def _interval(model: _Lanes, ids: np.ndarray, rest: np.ndarray, passed: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cumulative sum below the ids and their frequencies, in 1 / 2**30, from the masses below the ids and on them."""
+    below, size = model.histogram_at(ids)
+    below, size = rest * below, rest * size
+    below += passed[..., 0, :]
+    below += passed[..., 1, :]
+    size += own[..., 0, :]
+    size += own[..., 1, :]
+    return below.astype(np.uint64), size.astype(np.uint64)
+
+
+class _Coder:
+    """Low end and width of every lane's range."""
+
+    def __init__(self, lanes: int):
+        self.low, self.span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+        self.unit = self.span >> _UNIT
+
+    def narrow(self, below: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Narrows the ranges to an interval; returns by how much the low ends rose."""
+        rise = self.unit * below
+        self.low += rise
+        np.multiply(self.unit, size, out=self.span)
+        return rise
+
+    def spent(self) -> np.ndarray:
+        """Lanes whose range is spent."""
+        return np.flatnonzero(self.span.astype("<u8", copy=False).view("<u4")[1::2] == 0)
+
+    def renew(self, tight: np.ndarray) -> np.ndarray:
+        """Moves spent ranges on by a word, and returns that word. Where the high words of both ends differ, the range is cut at the word's end first."""
+        low, span = self.low.take(tight), self.span.take(tight)
+        np.minimum(span, _ONE_WORD - (low & _LOW32), out=span)
+        span <<= _WORD
+        self.span[tight] = span
+        self.low[tight] = low << _WORD
+        np.right_shift(self.span, _UNIT, out=self.unit)
+        return low >> _WORD
 
 
 @dataclass(frozen=True)
@@ -138,96 +185,168 @@ class Segment:
 
 
 def encode_segment(ids: np.ndarray, block: int = 4096) -> bytes:
-    """All ids of a segment (below 2**27) as bytes: header, histogram, then count, checksum, size and payload per block."""
-    ids = np.ascontiguousarray(ids, dtype=np.int32)
-    counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
-    histogram = scaled_histogram(counts)
-    used = np.flatnonzero(histogram)
-    table = zlib.compress(np.concatenate([np.diff(used, prepend=0), histogram[used]]).astype("<u4").tobytes(), 6)
-    lanes = -(-len(ids) // block)
-    header = MAGIC + struct.pack("<QIII", len(ids), block, len(used), len(table)) + table
+    """One segment of ``encode_segments``."""
+    return encode_segments([ids], block)[0]
+
+
+def encode_segments(parts: list[np.ndarray], block: int = 4096) -> list[bytes]:
+    """Each part's ids (below 2**27) as a segment: header, histogram, then count, checksum, size and payload per block.
+
+    The parts are coded in step, as a step of many lanes costs little more than one of few. A segment does not depend on the others.
+    """
+    parts = [np.ascontiguousarray(ids, dtype=np.int32) for ids in parts]
+    out, frequencies, ranks = [], [], []
+    for ids in parts:
+        histogram = scaled_histogram(np.bincount(ids) if len(ids) else np.zeros(0, np.int64))
+        used = np.flatnonzero(histogram)
+        table = zlib.compress(np.concatenate([np.diff(used, prepend=0), histogram[used]]).astype("<u4").tobytes(), 6)
+        out.append([MAGIC + struct.pack("<QIII", len(ids), block, len(used), len(table)) + table])
+        rank = np.zeros(len(histogram), np.int32)
+        rank[used] = np.arange(len(used))
+        frequencies.append(histogram[used])
+        ranks.append(rank)
+    of_part = [-(-len(ids) // block) for ids in parts]
+    lanes, firsts = sum(of_part), np.cumsum([0, *of_part])
     if not lanes:
-        return header
+        return [b"".join(x) for x in out]
     sizes = np.full(lanes, block, dtype=np.int64)
-    sizes[-1] = len(ids) - block * (lanes - 1)
-    padded = np.zeros(block * lanes, dtype=np.int32)
-    padded[: len(ids)] = ids
-    grid = np.ascontiguousarray(padded.reshape(lanes, block).T)
-    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    words, filled = np.zeros((lanes, block + 4), dtype=np.uint32), np.zeros(lanes, dtype=np.int64)
-    model = _Lanes(lanes, histogram)
-
-    for t in range(int(sizes[0])):
-        m = lanes if t < sizes[-1] else lanes - 1
-        now = grid[t, :m]
-        model.predict(m)
-        below, size = model.interval(now)
-        unit = span[:m] >> _U(_TOTAL_BITS)
-        low[:m] += unit * below.astype(np.uint64)
-        span[:m] = unit * size.astype(np.uint64)
-        tight = _renormalised(low[:m], span[:m])
-        if len(tight):
-            words[tight, filled[tight]] = (low[tight] >> _U(32)).astype(np.uint32)
-            filled[tight] += 1
-            low[tight] <<= _U(32)
-            span[tight] <<= _U(32)
-        model.learn(now)
-    for shift in (32, 0):
-        words[np.arange(lanes), filled] = ((low >> _U(shift)) & _LOW32).astype(np.uint32)
-        filled += 1
-    out = [header]
-    for lane in range(lanes):
-        first = lane * block
-        payload = words[lane, : filled[lane]].astype("<u4").tobytes()
-        out.append(struct.pack("<III", sizes[lane], zlib.crc32(ids[first : first + sizes[lane]].astype("<u4").tobytes()), len(payload)) + payload)
-    return b"".join(out)
+    base = np.repeat(np.cumsum([0, *(len(f) + 1 for f in frequencies)])[:-1], of_part).astype(np.int32)
+    # Two empty rows first: the context of the first ids.
+    grid = np.zeros((block + 2, lanes), dtype=np.int32)
+    for ids, rank, n, first in zip(parts, ranks, of_part, firsts):
+        if n:
+            padded = np.zeros(block * n, dtype=np.int32)
+            padded[: len(ids)] = rank[ids]
+            grid[2:, first : first + n] = padded.reshape(n, block).T
+            sizes[first + n - 1] = len(ids) - block * (n - 1)
+    words, width = np.zeros(lanes * (block + 4), dtype=np.uint32), block + 4
+    begin = np.arange(lanes, dtype=np.int64) * width
+    at, model, coder = begin.copy(), _Lanes(lanes, frequencies), _Coder(lanes)
+    payloads = [b""] * lanes
+
+    def finish(step: int) -> None:
+        for lane in np.flatnonzero(sizes == step):
+            low = np.array([coder.low[lane] >> _WORD, coder.low[lane] & _LOW32], "<u4")
+            payloads[lane] = words[begin[lane] : at[lane]].astype("<u4").tobytes() + low.tobytes()
+
+    # The contexts are known beforehand, so only the tables and the ranges go step by step.
+    steps, ends = int(sizes.max()), set(sizes.tolist())
+    place = np.empty((_STEPS, 2, lanes), np.int64)
+    entry, rates, slot = np.empty((3, _STEPS, 2, lanes), np.int32)
+    hit = np.empty((_STEPS, 2, lanes), bool)
+    for first in range(0, steps, _STEPS):
+        k = min(_STEPS, steps - first)
+        _hashed(grid[first : first + k], grid[first + 1 : first + 1 + k], slot[:k])
+        np.add(slot, model.table_base, out=place)
+        now = grid[first + 2 : first + 2 + k] + base
+        for i in range(k):
+            model.look(place[i], entry[i], rates[i])
+            np.equal(entry[i] >> _FOUR, now[i], out=hit[i])
+            model.learn(place[i], entry[i], rates[i], hit[i], now[i])
+        mass, rest = _masses(rates[:k])
+        passed = mass * (now[:, None] > entry[:k] >> _FOUR)
+        mass *= hit[:k]
+        below, size = _interval(model, now, rest, passed, mass)
+        for i in range(k):
+            if first + i in ends:
+                finish(first + i)  # what these lanes code from here on is not used
+            coder.narrow(below[i], size[i])
+            tight = coder.spent()
+            full = at.take(tight)
+            words[full] = coder.renew(tight)
+            at[tight] = full + 1
+    finish(steps)
+    for ids, n, first, blocks in zip(parts, of_part, firsts, out):
+        for lane in range(n):
+            size, payload = sizes[first + lane], payloads[first + lane]
+            sum_ = zlib.crc32(ids[lane * block : lane * block + size].astype("<u4").tobytes())
+            blocks.append(struct.pack("<III", size, sum_, len(payload)) + payload)
+    return [b"".join(x) for x in out]
 
 
 def decode_segment(data: bytes) -> np.ndarray:
     """The ids of a segment; raises ValueError if a block's checksum does not match."""
-    if data[:4] != MAGIC:
-        raise ValueError("not a segment")
-    n, block, used, packed = struct.unpack_from("<QIII", data, 4)
-    at = 24 + packed
-    table = np.frombuffer(zlib.decompress(data[24:at]), dtype="<u4").astype(np.int64)
-    where = np.cumsum(table[:used])
-    histogram = np.zeros(int(where[-1]) + 1 if used else 1, dtype=np.int64)
-    histogram[where] = table[used:]
-    lanes = -(-n // block)
+    return decode_segments([data])[0]
+
+
+def decode_segments(parts: list[bytes]) -> list[np.ndarray]:
+    """The ids of each segment, decoded in step; raises ValueError if a block's checksum does not match."""
+    heads, of_part = [], []
+    for data in parts:
+        if data[:4] != MAGIC:
+            raise ValueError("not a segment")
+        n, block, used, packed = struct.unpack_from("<QIII", data, 4)
+        table = np.frombuffer(zlib.decompress(data[24 : 24 + packed]), dtype="<u4").astype(np.int64)
+        heads.append((n, block, np.cumsum(table[:used]), table[used:], 24 + packed))
+        of_part.append(-(-n // block))
+    lanes, firsts = sum(of_part), np.cumsum([0, *of_part])
     if not lanes:
-        return np.zeros(0, np.int64)
-    sizes, sums, filled = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    words = np.zeros((lanes, block + 8), dtype=np.uint32)
-    for lane in range(lanes):
-        sizes[lane], sums[lane], size = struct.unpack_from("<III", data, at)
-        words[lane, : size // 4] = np.frombuffer(data, dtype="<u4", count=size // 4, offset=at + 12)
-        at += 12 + size
-    slots = np.repeat(np.arange(len(histogram), dtype=np.int32), histogram)
-    model = _Lanes(lanes, histogram)
-    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    code = (words[:, 0].astype(np.uint64) << _U(32)) | words[:, 1]
-    read = np.full(lanes, 2, dtype=np.int64)
-    grid = np.zeros((block, lanes), dtype=np.int32)
-    for t in range(int(sizes[0])):
-        m = lanes if t < sizes[-1] else lanes - 1
-        model.predict(m)
-        unit = span[:m] >> _U(_TOTAL_BITS)
-        target = np.minimum((code[:m] - low[:m]) // unit, _U((1 << _TOTAL_BITS) - 1)).astype(np.int32)
-        now = model.find(target, slots)
-        below, size = model.interval(now)
-        low[:m] += unit * below.astype(np.uint64)
-        span[:m] = unit * size.astype(np.uint64)
-        tight = _renormalised(low[:m], span[:m])
-        if len(tight):
-            code[tight] = (code[tight] << _U(32)) | words[tight, read[tight]]
-            read[tight] += 1
-            low[tight] <<= _U(32)
-            span[tight] <<= _U(32)
-        grid[t, :m] = now
-        model.learn(now)
-    ids = grid.T.reshape(-1)[:n] if lanes == 1 else np.concatenate([grid[:, :-1].T.reshape(-1), grid[: sizes[-1], -1]])
-    for lane in range(lanes):
-        first = lane * block
-        if zlib.crc32(ids[first : first + sizes[lane]].astype("<u4").tobytes()) != sums[lane]:
-            raise ValueError(f"block {lane} is damaged")
-    return ids
+        return [np.zeros(0, np.int64) for _ in parts]
+    sizes, sums = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    words = np.zeros((lanes, max(head[1] for head in heads) + 8), dtype=np.uint32)
+    for data, head, n, first in zip(parts, heads, of_part, firsts):
+        at = head[4]
+        for lane in range(first, first + n):
+            sizes[lane], sums[lane], size = struct.unpack_from("<III", data, at)
+            words[lane, : size // 4] = np.frombuffer(data, dtype="<u4", count=size // 4, offset=at + 12)
+            at += 12 + size
+    frequencies = [head[3] for head in heads]
+    bases = np.cumsum([0, *(len(f) + 1 for f in frequencies)])
+    slots = np.concatenate([np.repeat(np.arange(len(f), dtype=np.int32) + np.int32(b), f) for f, b in zip(frequencies, bases)])
+    base = np.repeat(bases[:-1], of_part).astype(np.int32)
+    slot_base = np.repeat(np.cumsum([0, *(f.sum() for f in frequencies)])[:-1], of_part).astype(np.float64)
+    model, coder = _Lanes(lanes, frequencies), _Coder(lanes)
+    ahead = (words[:, 0].astype(np.uint64) << _WORD) | words[:, 1]  # of the low end
+    at, words = np.arange(lanes, dtype=np.int64) * words.shape[1] + 2, words.reshape(-1)
+    steps, most = int(sizes.max()), np.array((1 << _TOTAL_BITS) - 1, np.uint64)
+    grid = np.zeros((steps, lanes), dtype=np.int32)
+    before, last = np.zeros((2, lanes), np.int32)
+    place, (entry, rates, slot, start, past) = np.empty((2, lanes), np.int64), np.empty((5, 2, lanes), np.int32)
+    for t in range(steps):  # a lane that has ended goes on; what it yields is cut off below
+        _hashed(before, last, slot)
+        np.add(slot, model.table_base, out=place)
+        model.look(place, entry, rates)
+        guess, (mass, rest) = entry >> _FOUR, _masses(rates)
+        target = np.minimum(ahead // coder.unit, most).astype(np.int32)
+        # Where the guessed ids' intervals begin and end: another guess's mass lies before, in or behind.
+        below, size = model.histogram_at(guess)
+        np.multiply(rest, below, out=start)
+        np.multiply(rest, size, out=past)
+        past += mass
+        np.subtract(target, start, out=start)
+        start[0] -= mass[1] * (guess[0] > guess[1])
+        start[1] -= mass[0] * (guess[0] < guess[1])
+        same = guess[0] == guess[1]
+        past[0] += mass[1] * same
+        past[1] += mass[0] * same
+        hit = start.view(np.uint32) < past.view(np.uint32)
+        passed = mass * (start >= past)
+        target -= passed[0]
+        target -= passed[1]
+        at_slot = target / rest
+        np.floor(at_slot, out=at_slot)
+        at_slot += slot_base
+        now = slots.take(at_slot.astype(np.int64), out=grid[t], mode="clip")
+        np.putmask(now, hit[1], guess[1])
+        np.putmask(now, hit[0], guess[0])
+        mass *= hit
+        ahead -= coder.narrow(*_interval(model, now, rest, passed, mass))
+        tight = coder.spent()
+        coder.renew(tight)
+        read = at.take(tight)
+        ahead[tight] = (ahead.take(tight) << _WORD) | words.take(read, mode="clip")
+        at[tight] = read + 1
+        model.learn(place, entry, rates, hit, now)
+        before, last = last, now - base
+    out = []
+    id_of = np.concatenate([np.append(head[2], 0) for head in heads]).astype(np.int32)
+    for head, n, first in zip(heads, of_part, firsts):
+        if not n:
+            out.append(np.zeros(0, np.int64))
+            continue
+        ids = id_of.take(grid[: head[1], first : first + n].T, mode="clip").reshape(-1)[: head[0]]
+        for lane in range(n):
+            if zlib.crc32(ids[lane * head[1] : lane * head[1] + sizes[first + lane]].astype("<u4").tobytes()) != sums[first + lane]:
+                raise ValueError(f"block {lane} is damaged")
+        out.append(ids)
+    return out

@@ -20,18 +20,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.tokencoder import decode_segment, encode_segment
+from larkspur.llm.tokencoder import decode_segments, encode_segments
 
 END_ID = 2
 #: Texts are tokenized together up to this many bytes, or one longer text.
 RUN_BYTES = 1 << 22
+#: Distinct chunks whose ids a worker keeps from text to text.
+KEPT_CHUNKS = 1 << 19
+#: Segments are coded together up to this many ids, or one longer segment.
+CODED_IDS = 1 << 23
 #: Two blanks of any kind in a row, or the mark used for cutting (RE2 syntax).
 _DOUBLE_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}|\x00"
 _MARK_AFTER_WORD = r"([A-Za-z0-9À-ÖØ-öø-ÿ])([.,])"
 
 
 class ChunkEncoder:
-    """Exact ids of a byte-level BPE tokenizer. Each distinct text chunk of a batch is tokenized once.
+    """Exact ids of a byte-level BPE tokenizer. Each distinct text chunk of a batch is tokenized once, and not again while it is kept.
 
     A text is cut only where the tokenizer's own pre-split always cuts: before a lone blank, around a lone line end, and before a
     full stop or comma after a letter or digit. Texts with blanks in a row, or with a special token's string, are encoded whole.
@@ -46,6 +50,7 @@ class ChunkEncoder:
         self.starts_blank = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.starts_blank[i] = token.startswith("Ġ")
+        self.kept, self.kept_ids = pa.array([], pa.large_string()), (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32))
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -57,7 +62,24 @@ class ChunkEncoder:
         return ~whole.to_numpy(zero_copy_only=False)
 
     def _chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of distinct chunks: all ids one after the other, and where each chunk's begin and how many they are."""
+        """Ids of distinct chunks: ids one after the other, and where each chunk's begin and how many they are."""
+        # The kept are looked up among the chunks, as the table that is built is then the smaller one.
+        found = pc.index_in(self.kept, value_set=chunks)
+        met = found.is_valid().to_numpy(zero_copy_only=False)
+        at = np.full(len(chunks), -1, np.int64)
+        at[found.drop_null().to_numpy()] = np.flatnonzero(met)
+        missed = at < 0
+        new, known = chunks.filter(pa.array(missed)), len(self.kept)
+        at[missed] = known + np.arange(len(new))
+        ids, first, size = self._new_chunk_ids(new)
+        pool = tuple(np.concatenate(x) for x in zip(self.kept_ids, (ids, first + np.int32(len(self.kept_ids[0])), size)))
+        if known + len(new) <= KEPT_CHUNKS:
+            self.kept, self.kept_ids = pa.concat_arrays([self.kept, new]), pool
+        elif 2 * len(new) > len(chunks) and len(new) <= KEPT_CHUNKS:  # other texts than those kept from
+            self.kept, self.kept_ids = new, (ids, first, size)
+        return pool[0], pool[1][at], pool[2][at]
+
+    def _new_chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         spaced = pc.and_(pc.starts_with(chunks, " "), pc.greater(pc.binary_length(chunks), 1)).to_numpy(zero_copy_only=False)
         first, size = np.zeros(len(chunks), np.int32), np.zeros(len(chunks), np.int32)
         row = chunks.filter(pa.array(spaced))
@@ -124,14 +146,24 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = _shared_encoder(definition.value), TaskContext.get().partitionId()
-        held, ids_held, segment = [], 0, 0
-
-        def closed() -> pa.RecordBatch:
-            doc_ids, parts = [d for d, _ in held], [x for _, x in held]
-            ids = np.concatenate([np.zeros(0, np.int32), *parts])
-            sizes = [len(x) for x in parts]
-            columns = [pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([encode_segment(ids, block)], pa.binary())], ["shard", "segment", "n_ids", "doc_ids", "sizes", "payload"])
+        held, ids_held, segment, closed = [], 0, 0, []
+
+        def coded() -> Iterator[pa.RecordBatch]:
+            nonlocal segment
+            payloads = encode_segments([ids for _, _, ids in closed], block)
+            for (doc_ids, sizes, ids), payload in zip(closed, payloads):
+                columns = [pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([payload], pa.binary())], ["shard", "segment", "n_ids", "doc_ids", "sizes", "payload"])
+                segment += 1
+            closed.clear()
+
+        def close() -> Iterator[pa.RecordBatch]:
+            """Ends the held documents' segment. It waits for others, unless they are too many together."""
+            nonlocal held, ids_held
+            if closed and sum(len(ids) for _, _, ids in closed) + ids_held > CODED_IDS:
+                yield from coded()
+            closed.append(([d for d, _ in held], [len(x) for _, x in held], np.concatenate([x for _, x in held])))
+            held, ids_held = [], 0
 
         for batch in batches:
             texts, doc_ids = batch.column("text").fill_null(""), batch.column("doc_id").to_pylist()
@@ -141,12 +173,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             for a, b in zip(cuts, cuts[1:]):
                 for doc_id, ids in zip(doc_ids[a:b], encoder.encode(texts.slice(a, b - a).to_pylist())):
                     if held and ids_held + len(ids) + 1 > segment_ids:
-                        yield closed()
-                        held, ids_held, segment = [], 0, segment + 1
+                        yield from close()
                     held.append((doc_id, np.append(ids, np.int32(end_id))))
                     ids_held += len(ids) + 1
         if held:
-            yield closed()
+            yield from close()
+        yield from coded()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -165,15 +197,19 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "segment", "inside", "doc_id", "n_tokens", "ids_crc32"]
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids = decode_segment(batch.column("payload")[i].as_py()).astype("<u4")
+            # Runs of segments that are decoded together.
+            run = np.cumsum(batch.column("n_ids").to_numpy()) // CODED_IDS
+            cuts = np.flatnonzero(np.diff(run, prepend=-1, append=-1)).tolist()
+            each = ((i, ids) for a, b in zip(cuts, cuts[1:]) for i, ids in zip(range(a, b), decode_segments(batch.column("payload").slice(a, b - a).to_pylist())))
+            for i, ids in each:
+                ids = ids.astype("<u4")
                 doc_ids, sizes = batch.column("doc_ids")[i].as_py(), np.array(batch.column("sizes")[i].as_py(), np.int64)
                 starts, raw = np.cumsum(sizes) - sizes, memoryview(ids.tobytes())
                 sums = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(starts.tolist(), sizes.tolist())]
                 own = [np.full(len(sizes), batch.column(c)[i].as_py(), np.int32) for c in ("shard", "segment")]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(starts), pa.array(doc_ids, pa.int64()), pa.array(sizes), pa.array(sums, pa.int64())], names)
 
-    read = segments.select("shard", "segment", "doc_ids", "sizes", "payload").mapInArrow(decoded, "shard int, segment int, inside long, doc_id long, n_tokens long, ids_crc32 long")
+    read = segments.select("shard", "segment", "n_ids", "doc_ids", "sizes", "payload").mapInArrow(decoded, "shard int, segment int, inside long, doc_id long, n_tokens long, ids_crc32 long")
     totals = segments.select("shard", "segment", "n_ids")
     shards = totals.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     shards = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))

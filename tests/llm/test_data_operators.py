@@ -57,6 +57,35 @@ def test_coder_learns_and_detects_damage():
         tokencoder.decode_segment(bytes(broken))
 
 
+def test_segments_coded_together():
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, 3, 3001), np.zeros(0, int), np.minimum(rng.zipf(1.2, 777), 50_000), np.tile(np.arange(50), 100), np.full(3, 50_256)]
+    data = tokencoder.encode_segments(parts, 700)
+    assert data == [tokencoder.encode_segment(x, 700) for x in parts]
+    data.append(tokencoder.encode_segment(parts[2], 256))
+    assert [x.tolist() for x in tokencoder.decode_segments(data)] == [x.tolist() for x in [*parts, parts[2]]]
+
+
+def test_chunks_are_tokenized_once(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    with open(public.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = tokens_out.ChunkEncoder(f.read())
+    given, whole = [], encoder.whole
+    monkeypatch.setattr(encoder, "whole", lambda texts: given.extend(texts) or whole(texts))
+
+    def check(*texts):
+        given.clear()
+        assert [x.tolist() for x in encoder.encode(list(texts))] == [x.tolist() for x in whole(list(texts))]
+        return "".join(given)
+
+    assert check("one two, three", "two\nfour \u00e9t\u00e9.") != ""
+    assert check("four two", "one, two. three") == ""
+    assert check("one two five. four") == " five four"
+    monkeypatch.setattr(tokens_out, "KEPT_CHUNKS", 12)  # full: others are kept once most are new
+    for words in (" six seven eight two", " six seven eight two", " six nine ten two"):
+        check(words, "a" + words)
+
+
 def test_token_files(spark, docs, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
