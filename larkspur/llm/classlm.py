@@ -11,7 +11,6 @@ outside that table are joined by a shuffle.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -19,17 +18,21 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import stored, word_list
+from larkspur.llm.common import stored
 
 #: The end of a text, counted as a token. No word can be it, as words hold no blank.
 END = b"\n"
 #: Groups of endings of the words that are not units by themselves.
 ENDINGS = 1024
-#: Distinct words or pairs that a task counts before it hands them on.
-ROOM = 300_000
+#: Bytes of text whose words are counted together, or one longer text; and whose words get their units together: few enough that
+#: the distinct ones stay in the processor's cache.
+COUNT_BYTES, UNIT_BYTES = 1 << 24, 1 << 22
+#: Pairs that a task counts before it hands them on.
+ROOM_PAIRS = 8_000_000
 
 
 def ending_unit(word: bytes) -> int:
@@ -40,14 +43,26 @@ def ending_unit(word: bytes) -> int:
     return (value ^ (value >> 13)) % ENDINGS
 
 
-class _UnitMemo(dict):
-    """Units of the words met so far; bounded."""
+def _own_text(words: pa.Array) -> pa.Array:
+    """The same strings in buffers of their own, from 0 on: some of Arrow's text functions go wrong on what was cut out of a longer array and cast."""
+    return words.take(pa.array(np.arange(len(words)))).cast(pa.large_binary()).cast(pa.large_string(), safe=False)
 
-    def __missing__(self, word: bytes) -> int:
-        unit = ending_unit(word)
-        if len(self) < ROOM:
-            self[word] = unit
-        return unit
+
+def ending_units(words: pa.Array) -> np.ndarray:
+    """``ending_unit`` of every word of a binary array."""
+    words = _own_text(words)
+    plain = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+    tails = pc.ascii_rtrim(words, ".,;:!?")
+    offsets = np.frombuffer(tails.buffers()[1], np.int64, len(tails) + 1, tails.offset * 8) if len(tails) else np.zeros(1, np.int64)
+    data = np.frombuffer(tails.buffers()[2] or b"", np.uint8)
+    begins, ends, value = offsets[:-1], offsets[1:], np.full(len(tails), 7, np.int64)
+    for back in (3, 2, 1):
+        has = np.flatnonzero(ends - back >= begins)
+        value[has] = (value[has] * 1_000_003 + data[ends[has] - back]) & 0x7FFFFFFF
+    units = (value ^ (value >> 13)) % ENDINGS
+    others = np.flatnonzero(~plain)
+    units[others] = [ending_unit(w) for w in words.cast(pa.large_binary()).take(pa.array(others)).to_pylist()]
+    return units
 
 
 @dataclass(frozen=True)
@@ -62,34 +77,57 @@ class Vocabulary:
         return ENDINGS + len(self.units)
 
     @cached_property
-    def _memo(self) -> _UnitMemo:
-        return _UnitMemo(self.units)
+    def _listed(self) -> pa.Array:
+        return pa.array(list(self.units), pa.large_binary())
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self._memo.__getitem__, words), np.int64, len(words))
+    def of(self, words: pa.Array | list[bytes]) -> np.ndarray:
+        words = pa.array(words, pa.large_binary()) if isinstance(words, list) else words
+        at = pc.index_in(words, value_set=self._listed)
+        units, others = at.fill_null(0).to_numpy() + np.int64(ENDINGS), at.is_null()
+        units[others.to_numpy(zero_copy_only=False)] = ending_units(words.filter(others))
+        return units
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+def _runs(batches: Iterator[pa.RecordBatch], run_bytes: int) -> Iterator[pa.Array]:
+    """The texts, small batches together and large ones cut to so many bytes, or one longer text; null texts are empty."""
+    held, size = [], 0
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            yield [*word_list(text), END]
+        texts = batch.column("text").cast(pa.large_string()).fill_null("")
+        sizes = pc.binary_length(texts).to_numpy()
+        first = 0
+        for i, n in enumerate(sizes.tolist()):
+            if size and size + n > run_bytes:
+                yield pa.concat_arrays([*held, texts.slice(first, i - first)])
+                held, size, first = [], 0, i
+            size += n
+        held.append(texts.slice(first))
+    if held:
+        yield pa.concat_arrays(held)
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words (binary) of texts without nulls, and all words as positions among them; the end token, the first of them, ends each text."""
+    trimmed = pc.ascii_trim(pc.ascii_lower(_own_text(texts)), " \t\n\v\f\r")
+    split = pc.ascii_split_whitespace(trimmed)
+    coded = split.flatten().dictionary_encode()
+    at, ends = coded.indices.to_numpy() + np.int32(1), split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+    blank = pc.equal(pc.binary_length(trimmed), 0).to_numpy(zero_copy_only=False)
+    if blank.any():  # the one empty word of a text without words
+        at = np.delete(at, ends[blank] - 1)
+        ends = ends - np.cumsum(blank)
+    words = pa.concat_arrays([pa.array([END], pa.large_binary()), coded.dictionary.cast(pa.large_binary())])
+    return words, np.insert(at, ends, 0)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word`` (binary), ``n``: tokens of all texts, ends included. Each task counts before the shuffle."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-        for words in _texts(batches):
-            seen.update(words)
-            if len(seen) > ROOM:
-                yield rows()
-                seen = Counter()
-        yield rows()
+        for texts in _runs(batches, COUNT_BYTES):
+            words, at = _words(texts)
+            n = np.bincount(at, minlength=len(words))
+            met = np.flatnonzero(n)  # an empty word is not
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(met)).cast(pa.binary()), pa.array(n[met])], ["word", "n"])
 
     return docs.select("text").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -99,17 +137,21 @@ def _unit_pairs(docs: DataFrame, vocabulary) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = vocabulary.value
-        end, held, seen = words_of.units[END], [], 0
+        end, size, held, seen = words_of.units[END], words_of.size, [], 0
+        # The smaller the numbers, the faster they are sorted.
+        kind = np.uint32 if size * size < 1 << 32 else np.int64
 
         def rows() -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
-
-        for words in _texts(batches):
-            units = words_of.of(words)
-            held.append((np.append(end, units[:-1]) << 32) | units)
+            pairs, n = np.unique(np.concatenate([np.zeros(0, kind), *held]), return_counts=True)
+            a, b = np.divmod(pairs, kind(size))
+            return pa.RecordBatch.from_arrays([pa.array((a.astype(np.int64) << 32) | b), pa.array(n)], ["pair", "n"])
+
+        for texts in _runs(batches, UNIT_BYTES):
+            words, at = _words(texts)
+            units = words_of.of(words).astype(kind)[at]
+            held.append(np.append(kind(end), units[:-1]) * kind(size) + units)
             seen += len(units)
-            if seen > 4_000_000:
+            if seen > ROOM_PAIRS:
                 yield rows()
                 held, seen = [], 0
         yield rows()
@@ -239,8 +281,7 @@ def train(docs: DataFrame, words: int = 16_384, classes: int = 32, rounds: int =
     # Distinct words per class: those that are units, and the others by their ending.
     def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = np.array([ending_unit(w) for w in batch.column("word").to_pylist()], dtype=np.int64)
-            unit, n = np.unique(units, return_counts=True)
+            unit, n = np.unique(ending_units(batch.column("word")), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(n)], ["unit", "v"])
 
     known = spark.createDataFrame(pd.DataFrame({"word": pd.Series([bytearray(w) for w in listed], dtype=object)}), "word binary")
@@ -268,23 +309,26 @@ def score(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 piece = batch.slice(first, 500)
-                n_tokens, n_known, base, own_score, rare = [], [], [], [], []
-                for text in piece.column("text").to_pylist():
-                    words = [*word_list(text), END]
-                    at = m.vocabulary.of(words)
-                    classes = m.own[at]
-                    frequent = at >= ENDINGS
-                    emitted = float(logs[at[frequent] - ENDINGS].sum())
-                    path = float(m.transition[np.append(m.own[end], classes[:-1]), classes].sum())
-                    known = int(frequent.sum()) if m.train_tokens else 0
-                    n_tokens.append(len(words))
-                    n_known.append(known)
-                    base.append(emitted - total * len(words))
-                    own_score.append(path + emitted - float(m.emission_base[classes].sum()))
-                    rare.append(Counter(map(words.__getitem__, np.flatnonzero(~frequent).tolist())))
-                sizes = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
-                words_flat = pa.array([w for r in rare for w in r], pa.binary())
-                times_flat = pa.array([n for r in rare for n in r.values()], pa.int64())
+                distinct, codes = _words(piece.column("text").cast(pa.large_string()).fill_null(""))
+                at = m.vocabulary.of(distinct)[codes]
+                classes, frequent = m.own[at], at >= ENDINGS
+                ends = np.flatnonzero(codes == 0) + 1
+                cuts = [0, *ends.tolist()]
+                # A text's first word follows the end token, as the end of the text before it is one.
+                steps, spread = m.transition[np.append(m.own[end], classes[:-1]), classes], m.emission_base[classes]
+                frequents = np.append(0, np.cumsum(frequent))[cuts]
+                known_logs = logs[at[frequent] - ENDINGS]
+                n_tokens = np.diff(cuts)
+                n_known = np.diff(frequents) if m.train_tokens else np.zeros(len(ends), np.int64)
+                emitted = np.array([known_logs[a:b].sum() for a, b in zip(frequents, frequents[1:])])
+                path = np.array([steps[a:b].sum() for a, b in zip(cuts, cuts[1:])])
+                spent = np.array([spread[a:b].sum() for a, b in zip(cuts, cuts[1:])])
+                base, own_score = emitted - total * n_tokens, path + emitted - spent
+                # Rare words of each text, with how often it has them.
+                text_of = np.repeat(np.arange(len(ends)), n_tokens)
+                rare, times = np.unique(text_of[~frequent] * len(distinct) + codes[~frequent], return_counts=True)
+                sizes = pa.array(np.searchsorted(rare, np.arange(len(ends) + 1) * len(distinct)), pa.int32())
+                words_flat, times_flat = distinct.take(pa.array(rare % len(distinct))).cast(pa.binary()), pa.array(times, pa.int64())
                 lists = [pa.ListArray.from_arrays(sizes, words_flat), pa.ListArray.from_arrays(sizes, times_flat)]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), *[pa.array(x, pa.int64()) for x in (n_tokens, n_known)], *[pa.array(x, pa.float64()) for x in (base, own_score)], *lists],
@@ -297,8 +341,10 @@ def score(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
     fixed = stored(rated, "rated")
     rare = fixed.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     # Counts are looked up once per word: the rows of a word meet in the join, which splits hot words.
-    looked = rare.join(counts, "word").select("row", F.col("times").alias("known"), (F.col("times") * F.log10(F.col("n") + 1)).alias("emitted"))
-    added = looked.groupBy("row").agg(F.sum("known").alias("known"), F.sum(F.round("emitted", 9).cast("decimal(30,9)")).cast("double").alias("emitted"))
+    # Logs are added up in whole billionths, so that the order of the rows does not matter.
+    logs = counts.select("word", F.log10(F.col("n") + 1).alias("log"))
+    looked = rare.join(logs, "word").select("row", F.col("times").alias("known"), F.rint(F.col("times") * F.col("log") * 1e9).cast("long").alias("emitted"))
+    added = looked.groupBy("row").agg(F.sum("known").alias("known"), (F.sum("emitted") / 1e9).alias("emitted"))
     both = fixed.drop("words", "times").join(added, "row", "left").na.fill({"known": 0, "emitted": 0.0})
     return both.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"), (F.col("base") + F.col("emitted")).alias("base_score"), (F.col("own") + F.col("emitted")).alias("score")

@@ -3,8 +3,11 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,6 +269,37 @@ def test_class_model(spark, docs):
     assert classlm.score(empty(spark), model, counts).count() == 0
 
 
+def test_words_of_many_texts():
+    rng = random.Random(5)
+    letters = ["a", "B", "Z", " ", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", "É", "é", "😀", "\x00", "."]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 3, 30]))) for _ in range(400)]
+    cut = pa.array(texts, pa.string()).slice(7).cast(pa.large_string())
+    words, at = classlm._words(cut)
+    every = words.to_pylist()
+    assert [every[i] for i in at] == [w for t in texts[7:] for w in [*word_list(t), classlm.END]]
+    assert classlm.ending_units(words).tolist() == [classlm.ending_unit(w) for w in every]
+    vocabulary = classlm.Vocabulary({w: classlm.ENDINGS + i for i, w in enumerate(every[:9])}, None)
+    assert vocabulary.of(words).tolist() == [vocabulary.units.get(w, classlm.ending_unit(w)) for w in every]
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *texts])], ["text"])
+    for size in (1, 40, 10_000):
+        runs = list(classlm._runs([batch, batch.slice(3), batch], size))
+        assert [t for r in runs for t in r.to_pylist()] == ["", *texts, *texts[2:], "", *texts]
+        assert all(pc.sum(pc.binary_length(r)).as_py() <= size or sum(map(bool, r.to_pylist())) == 1 for r in runs)
+
+
+def test_scores_do_not_depend_on_the_batch(spark):
+    rows = [(i, _text(i, 1 + i % 7)) for i in range(1300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    model, counts = classlm.train(docs, words=10, classes=6, rounds=1)
+    got = {r.doc_id: r for r in classlm.score(docs, model, counts).collect()}
+    seen = Counter(w for _, t in rows for w in [*word_list(t), classlm.END])
+    total = math.log10(model.train_tokens + model.distinct + 1)
+    for i, t in rows:
+        words = [*word_list(t), classlm.END]
+        assert (got[i].n_tokens, got[i].n_known) == (len(words), len(words))
+        assert got[i].base_score == pytest.approx(sum(math.log10(seen[w] + 1) - total for w in words))
+
+
 # 8 language
 
 
