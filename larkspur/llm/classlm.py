@@ -190,13 +190,18 @@ def exchange(pairs: DataFrame, vocabulary: Vocabulary, classes: int, rounds: int
     for turn in range(rounds):
         shipped = spark.sparkContext.broadcast(own)
 
-        def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # A task adds up in a table of its own, whose size is bounded by the units and classes.
+            at = shipped.value
+            cells = np.zeros((2, len(at), classes), np.int64)
             for part in batches:
-                a, b, n = part["a"].to_numpy(), part["b"].to_numpy(), part["n"].to_numpy()
-                at = shipped.value
-                yield pd.DataFrame({"unit": np.append(b, a), "side": np.repeat(np.array([0, 1], np.int32), len(a)), "other": np.append(at[a], at[b]), "n": np.append(n, n)})
+                a, b, n = (part.column(c).to_numpy(zero_copy_only=False) for c in "abn")
+                np.add.at(cells[0].reshape(-1), b * classes + at[a], n)
+                np.add.at(cells[1].reshape(-1), a * classes + at[b], n)
+            side, unit, other = np.nonzero(cells)
+            yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(side, pa.int32()), pa.array(other), pa.array(cells[side, unit, other])], ["unit", "side", "other", "n"])
 
-        sides = pairs.mapInPandas(labelled, "unit long, side int, other long, n long").groupBy("unit", "side", "other").agg(F.sum("n").alias("n"))
+        sides = pairs.mapInArrow(labelled, "unit long, side int, other long, n long").groupBy("unit", "side", "other").agg(F.sum("n").alias("n"))
         sides = stored(sides, "exchange")
         table = sides.filter("side = 0").join(spark.createDataFrame(pd.DataFrame({"unit": np.arange(len(own)), "own": own})), "unit").groupBy("other", "own").agg(F.sum("n").alias("n")).toPandas()
         grid = np.zeros((classes, classes))
