@@ -37,8 +37,8 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token files of what is left; one row per document, read back from them."""
     small_batches(spark)
     path = workspace(spark, "llm-tokens")
-    tokens_out.write_token_files(docs, path, queries.tokenizer_path())
-    return tokens_out.read_token_files(spark, path)
+    tokens_out.write_token_files(docs, path, queries.tokenizer_path(), sparing=True)
+    return tokens_out.read_token_files(spark, path, sparing=True)
 
 
 STAGES = [

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,24 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(name, rows)
 
 
+def give_back() -> None:
+    """What this Python process has freed goes back to the system. Spark keeps workers for later tasks, and both allocators keep what was
+    freed, so a worker would go on holding about as much as the largest step of any of its tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def start_afresh() -> None:
+    """For a task's start: tokenizers that earlier stages left in this worker go too. A stage that needs them again makes them again."""
+    shelf = sys.modules.get("_larkspur_worker")
+    if shelf:
+        vars(shelf).pop("encoders", None)
+        vars(shelf).pop("aligners", None)
+    give_back()
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids are fold -1."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(-1))

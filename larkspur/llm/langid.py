@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import bounded_rows
+from larkspur.llm.common import bounded_rows, start_afresh
 
 UNDETERMINED = "und"
 BINS = 4096
@@ -132,6 +132,7 @@ def train_languages(docs: DataFrame, sample_rows: int = 4_000) -> CodeModel | No
     wanted = bounded_rows(known.select("doc_id").distinct(), "doc_id", sample_rows)
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_afresh()
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
@@ -167,6 +168,7 @@ def identify(docs: DataFrame, model: CodeModel | None, least_margin: float = 0.2
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_afresh()
         model = shipped.value
         # A few texts at a time, also on the way back: batches of whole texts would fill the memory of task and executor.
         for batch in batches:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import stored, word_list
+from larkspur.llm.common import start_afresh, stored, word_list
 
 SHINGLE = 5
 #: Values in a signature, values in a chunk (one long), bits of a value.
@@ -95,6 +95,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, digest`` (of the whole set; null if empty) and the signature for every row."""
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_afresh()
         known = _WordHashes()
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
@@ -132,6 +133,16 @@ def _keys() -> Column:
     return F.array(*made)
 
 
+def keyed(nodes: DataFrame) -> DataFrame:
+    """``node, key, turn``: every key of every node.
+
+    The nodes, few bytes each, are dealt out first: their files are few, and a task that counts the keys of a whole file holds a map of
+    fifty entries per node.
+    """
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return nodes.repartition(parts, "node").select("node", *_SIGNATURE, F.explode(_keys()).alias("k")).select("node", "k.key", "k.turn")
+
+
 def _met_first(a: str, b: str) -> Column:
     """True for just one of the keys that a pair shares, the first in turn. A function over arrays keeps the generated code short."""
     one, two = (F.array(*[F.col(f"{side}.{s}") for s in _SIGNATURE]) for side in (a, b))
@@ -168,6 +179,7 @@ def sketches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node``, its whole shingle set and the sharper signature, for the documents in ``wanted`` (``node``)."""
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_afresh()
         known = _WordHashes()
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
@@ -203,7 +215,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = sets.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     nodes = stored(full.groupBy("digest", *_SIGNATURE).agg(F.min("doc_id").alias("node")), "nodes")
 
-    keys = nodes.select("node", *_SIGNATURE, F.explode(_keys()).alias("k")).select("node", "k.key", "k.turn")
+    keys = keyed(nodes)
     crowded = keys.select("key", "node").groupBy("key").agg(F.count("*").alias("crowd")).filter("crowd > 1")
     shared = stored(keys.join(crowded, "key"), "shared")
 

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import give_back, start_afresh
 from larkspur.llm.tokencoder import decode_segments, encode_segments
 
 END_ID = 2
@@ -134,12 +135,13 @@ def _shared_encoder(definition: str) -> ChunkEncoder:
     return shelf.encoders[key]
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segment_ids: int = 1 << 22, block: int = 4096) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segment_ids: int = 1 << 22, block: int = 4096, sparing: bool = False) -> None:
     """Writes ``docs`` (``doc_id``, ``text``) as token segments under ``path``, in ascending ``doc_id``.
 
     ``tokenizer`` is the path of a tokenizer definition that the driver can read; it travels with the job. Null texts are empty ones;
     every document ends with ``end_id``. Null ids come first; rows of equal id are ordered by text. A segment holds
-    whole documents, about ``segment_ids`` ids or one longer document.
+    whole documents, about ``segment_ids`` ids or one longer document. ``sparing`` workers give memory back before and after coding, for
+    executors that earlier stages have filled; the files are the same.
     """
     spark = docs.sparkSession
     definition = spark.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
@@ -150,12 +152,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         def coded() -> Iterator[pa.RecordBatch]:
             nonlocal segment
+            if sparing:
+                give_back()
             payloads = encode_segments([ids for _, _, ids in closed], block)
             for (doc_ids, sizes, ids), payload in zip(closed, payloads):
                 columns = [pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([payload], pa.binary())], ["shard", "segment", "n_ids", "doc_ids", "sizes", "payload"])
                 segment += 1
             closed.clear()
+            if sparing:
+                del payloads
+                give_back()
 
         def close() -> Iterator[pa.RecordBatch]:
             """Ends the held documents' segment. It waits for others, unless they are too many together."""
@@ -186,16 +193,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     ordered.mapInArrow(encoded, schema).write.mode("overwrite").parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, sparing: bool = False) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files.
 
     ``start`` counts the ids of all documents before it. Block checksums are verified. Segment totals are added up per shard, then
-    over the shards, of which there are as many as write tasks.
+    over the shards, of which there are as many as write tasks. ``sparing`` workers drop the writers' tokenizers and give memory back.
     """
     segments = spark.read.parquet(path)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "segment", "inside", "doc_id", "n_tokens", "ids_crc32"]
+        if sparing:
+            start_afresh()
         for batch in batches:
             # Runs of segments that are decoded together.
             run = np.cumsum(batch.column("n_ids").to_numpy()) // CODED_IDS
@@ -208,6 +217,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 sums = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(starts.tolist(), sizes.tolist())]
                 own = [np.full(len(sizes), batch.column(c)[i].as_py(), np.int32) for c in ("shard", "segment")]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(starts), pa.array(doc_ids, pa.int64()), pa.array(sizes), pa.array(sums, pa.int64())], names)
+            if sparing:
+                give_back()
 
     read = segments.select("shard", "segment", "n_ids", "doc_ids", "sizes", "payload").mapInArrow(decoded, "shard int, segment int, inside long, doc_id long, n_tokens long, ids_crc32 long")
     totals = segments.select("shard", "segment", "n_ids")
